@@ -1,10 +1,14 @@
 """The registered queries of this subpackage and their SQL for DuckDB."""
 
+from .bpe import op6_byte_bpe
+from .packing import op5_packing
 from .shard import op7_sharding
 from .tiff import op9_media_tiff
 from .urls import OP8_SQL, op8_url_filters
 
 QUERIES = {
+    "op5_packing": op5_packing,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
     "op9_media_tiff": op9_media_tiff,
