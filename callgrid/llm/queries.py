@@ -2,15 +2,17 @@
 
 from .bpe import op6_byte_bpe
 from .packing import op5_packing
+from .quality import OP2_SQL, op2_quality_rules
 from .shard import op7_sharding
 from .tiff import op9_media_tiff
 from .urls import OP8_SQL, op8_url_filters
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
     "op9_media_tiff": op9_media_tiff,
 }
-ORACLES = {"op8_url_filters": OP8_SQL}
+ORACLES = {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL}
