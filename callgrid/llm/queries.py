@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL for DuckDB."""
 
 from .bpe import op6_byte_bpe
+from .minhash import op1_minhash_dedup
 from .packing import op5_packing
 from .quality import OP2_SQL, op2_quality_rules
 from .shard import op7_sharding
@@ -8,6 +9,7 @@ from .tiff import op9_media_tiff
 from .urls import OP8_SQL, op8_url_filters
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
