@@ -5,10 +5,12 @@ from .minhash import op1_minhash_dedup
 from .packing import op5_packing
 from .quality import OP2_SQL, op2_quality_rules
 from .shard import op7_sharding
+from .substrings import op4_substring_dedup
 from .tiff import op9_media_tiff
 from .urls import OP8_SQL, op8_url_filters
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op5_packing": op5_packing,
