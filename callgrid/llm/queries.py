@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL for DuckDB."""
 
 from .bpe import op6_byte_bpe
+from .lines import op10_fuzzy_lines
 from .minhash import op1_minhash_dedup
 from .packing import op5_packing
 from .quality import OP2_SQL, op2_quality_rules
@@ -10,6 +11,7 @@ from .tiff import op9_media_tiff
 from .urls import OP8_SQL, op8_url_filters
 
 QUERIES = {
+    "op10_fuzzy_lines": op10_fuzzy_lines,
     "op4_substring_dedup": op4_substring_dedup,
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
