@@ -4,6 +4,7 @@ from .bpe import op6_byte_bpe
 from .lines import op10_fuzzy_lines
 from .minhash import op1_minhash_dedup
 from .packing import op5_packing
+from .pii import op3_pii
 from .quality import OP2_SQL, op2_quality_rules
 from .shard import op7_sharding
 from .substrings import op4_substring_dedup
@@ -11,6 +12,7 @@ from .tiff import op9_media_tiff
 from .urls import OP8_SQL, op8_url_filters
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op4_substring_dedup": op4_substring_dedup,
     "op1_minhash_dedup": op1_minhash_dedup,
