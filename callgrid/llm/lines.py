@@ -146,7 +146,7 @@ def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "gone")
     small_batches(docs.sparkSession)
     both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__mark"]), "left").drop("__id", "__mark")
-    place = docs.columns.index("text")
+    names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,8 +156,8 @@ def without_duplicate_lines(docs: DataFrame) -> DataFrame:
                     drop = set(lost)
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if i == place else b.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(out, pa.string()) if i == place else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return both.mapInArrow(run, docs.schema)
 
