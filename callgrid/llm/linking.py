@@ -1,7 +1,14 @@
-"""Links between items that are alike, from banded sketches: stars, then what stars leave open.
+"""Links between items that are alike, from banded sketches, in two rounds; documents and lines use it alike.
 
-Used by document and line dedup alike. Items are heads (node, n, keys, sketch), one row each or more with equal
-values; what a node's set is made of comes from ``contents`` and is turned into a set by ``to_set`` inside tasks.
+1. Each bucket gives a star: an edge from its first member to each other. Edges are verified on the full
+   sets, and verified links are joined to components.
+2. A bucket whose other members still lie in several components is looked through once more, as two of them
+   may be alike while neither is like the first: inside a task, sketches of members of different components
+   are compared, and those that may be alike are verified on the full sets. Only links leave the task.
+   Large buckets are dealt in chunks, a task for each pair of chunks.
+
+So the edges are as many as the bucket entries, and no link between items of one bucket is lost. Items are heads
+(node, n, keys, sketch); what a node's set is made of comes from ``contents`` and is turned into a set inside tasks.
 """
 
 from __future__ import annotations
@@ -17,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import saved, small_batches
 from .components import components
 
-#: Members of a bucket, and bytes of their contents, that go to one chunk.
-CHUNK_ROWS, CHUNK_BYTES = 4096, 32 << 20
+#: Members of a bucket that go to one chunk.
+CHUNK_ROWS = 4096
 
 
 def prefilter(df: DataFrame, key: Column, wanted: DataFrame, column: str, most_bits: int = 1 << 23) -> DataFrame:

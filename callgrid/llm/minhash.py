@@ -1,21 +1,12 @@
 """Near-duplicate documents by MinHash.
 
 One-permutation sketches with optimal densification are cut into bands; documents that agree in a band share
-a bucket. Documents with equal shingle sets count once. Then, in two rounds:
-
-1. Each bucket gives a star: an edge from its first member to each other. Edges are verified on the full
-   sets, and verified links are joined to components.
-2. A bucket whose other members still lie in several components is looked through once more, as two of them
-   may be alike while neither is like the first: inside a task, sketches of members of different components
-   are compared, and those that may be alike are verified on the full sets. Only links leave the task.
-   Large buckets are dealt in chunks, a task for each pair of chunks.
-
-So the edges are as many as the bucket entries, and no link between documents of one bucket is lost.
+a bucket, and documents with equal shingle sets count once. ``linking`` takes the buckets from there: star-
+shaped candidate edges, verified on the full sets, then what the stars leave open.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, saved, small_batches
-from .components import components
+from .linking import link, prefilter
 from .shingles import OnePermutation, band_keys, shingle_set, word_hashes
 
 #: Words of a shingle; bands and rows. A pair of similarity 0.85 shares no band with a probability of 2e-8, one of 0.8 of 3e-6.
 WORDS, BANDS, ROWS = 5, 24, 4
-#: Members of a bucket, and bytes of their sets, that go to one chunk.
-CHUNK_ROWS, CHUNK_BYTES = 4096, 32 << 20
 
 
 def sketches(docs: DataFrame, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -70,7 +59,7 @@ def sketches(docs: DataFrame, n: int = WORDS, bands: int = BANDS, rows: int = RO
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int = WORDS) -> DataFrame:
-    """node and set (sorted 64-bit hashes) of the ``wanted`` (node, doc_id, class1, class2)."""
+    """node and content (sorted 64-bit hashes) of the ``wanted`` (node, doc_id, class1)."""
     text = docs.select(F.col("doc_id").alias("__id"), "text")
     chosen = text.join(wanted, text["__id"].eqNullSafe(wanted["doc_id"])).select("node", "class1", "text")
 
@@ -82,65 +71,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int = WORDS) -> DataFrame:
                 if int(s.sum(dtype=np.uint64).view(np.int64)) == c:  # of rows with one doc_id, those of this class
                     nodes.append(node)
                     found.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "set"])
-
-    return chosen.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
-
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "content"])
 
-def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = (a, b) if len(a) < len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
+    return chosen.mapInArrow(run, "node long, content binary").dropDuplicates(["node"])
 
 
-def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose full sets are alike."""
-    with_b = edges.join(sets.withColumnRenamed("node", "b").withColumnRenamed("set", "set_b"), "b")
-    both = with_b.join(sets.withColumnRenamed("node", "a").withColumnRenamed("set", "set_a"), "a").select("a", "b", "set_a", "set_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = [_alike(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _links_inside(percent: int, bins: int):
-    """For one pair of chunks of a bucket: links between members of different components."""
-    likely = percent / 100 - 5.2 * math.sqrt(percent / 100 * (1 - percent / 100) / bins)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        band, order = key[0].as_py(), np.argsort(t["node"])
-        node, label, chunk, size = (np.array(t[c])[order] for c in ("node", "label", "chunk", "n"))
-        sketch = np.array([np.frombuffer(t["sketch"][i], np.uint16) for i in order])
-        keys = np.array([t["keys"][i] for i in order])
-        own = keys == band
-        before = np.argmax(own, axis=1)[0] if own.any() else 0
-        sets = [np.frombuffer(t["set"][i], np.uint64) for i in order]
-        a_out, b_out = [], []
-        low, high = key[1].as_py(), key[2].as_py()
-        for i in range(len(node)):
-            rest = np.arange(i + 1, len(node))
-            rest = rest[label[rest] != label[i]]
-            if low != high:
-                rest = rest[chunk[rest] != chunk[i]]
-            rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
-            rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= likely] if len(rest) else rest
-            if before and len(rest):  # the pair's first common bucket deals with it
-                rest = rest[~(keys[rest, :before] == keys[i, :before]).any(axis=1)]
-            for j in rest:
-                if _alike(sets[i], sets[j], percent):
-                    a_out.append(int(node[i]))
-                    b_out.append(int(node[j]))
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-    return run
+def stored_set(content: bytes) -> np.ndarray:
+    return np.frombuffer(content, np.uint64)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -157,29 +94,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, bands: i
     classes = base.where("n_shingles > 0").groupBy("class1", "class2", "n_shingles").agg(F.min("row").alias("node"))
     member = base.select("row", "doc_id", "n_shingles", "class1", "class2").join(classes, ["class1", "class2", "n_shingles"], "left")
     member = saved(member.withColumn("node", F.coalesce("node", "row")), "members")
-    heads = base.join(member.where("row = node").select("row"), "row", "left_semi").where("n_shingles > 0").withColumnRenamed("row", "node")
-    entries = heads.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    stars = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("top"), F.count("*").alias("many")).where("many > 1")
-    shared = saved(entries.join(stars.select("key", F.col("top.node").alias("top"), F.col("top.n").alias("top_n")), "key"), "buckets")
-    edges = shared.where(f"node <> top AND 100 * least(n, top_n) >= {percent} * greatest(n, top_n)").select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
-    involved = heads.select("node", "doc_id", "class1", "class2").join(shared.select("node").distinct(), "node", "left_semi")
-    small_batches(docs.sparkSession, 100)
-    sets = saved(full_sets(docs, involved, n), "sets")
-    links = saved(verified(edges, sets, percent), "links")
-    labels = components(links)
-
-    tagged = shared.where("node <> top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("top", "top_n")
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("many"), F.sum("n").alias("all")).where("least < most")
-    chunks = F.greatest(F.ceil(F.col("many") / CHUNK_ROWS), F.ceil(F.col("all") * 8 / CHUNK_BYTES)).cast("int")
-    again = tagged.join(mixed.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "label", "chunk", "n"
-    )
-    detail = heads.select("node", "keys", "sketch").join(sets, "node")
-    more = again.join(detail, "node").groupBy("key", "low", "high").applyInArrow(_links_inside(percent, bands * rows), "a long, b long")
-    more = saved(more, "more-links")
-    if more.head(1):
-        labels = components(links.union(more))
+    heads = base.join(member.where("row = node").select("row"), "row", "left_semi").where("n_shingles > 0")
+    heads = heads.select(F.col("row").alias("node"), "doc_id", "class1", "class2", F.col("n_shingles").alias("n"), "keys", "sketch")
+
+    def contents(nodes: DataFrame) -> DataFrame:
+        wanted = heads.select("node", "doc_id", "class1").join(nodes, "node", "left_semi")
+        near = prefilter(docs.select("doc_id", "text"), F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("k")), "k")
+        small_batches(docs.sparkSession, 100)
+        return full_sets(near, wanted, n)
+
+    labels = link(heads, contents, stored_set, percent, bands * rows, once=True)
     placed = member.select("row", "doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return placed.join(first, "label").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
