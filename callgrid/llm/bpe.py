@@ -12,7 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ NO_PAIR = np.int64(1) << 62
 #: Cells (pieces times tree leaves) that are worked on at once.
 CELLS = 1 << 19
 #: Entries kept in a task's cache of encoded strings, and the longest string kept.
-CACHE, LONGEST = 800_000, 48
+CACHE, LONGEST = 500_000, 48
 
 
 class Merges:
@@ -139,11 +140,22 @@ def spans(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
 class Cache(dict):
     """String -> bytes, bounded: a full cache takes no more, and is emptied when it no longer serves."""
 
-    def learn(self, fresh: dict[str, bytes], asked: int) -> None:
-        if len(self) >= CACHE and len(fresh) > 0.3 * asked:
+    def __init__(self, most: int = CACHE):
+        super().__init__()
+        self.most = most
+
+    @contextmanager
+    def holding(self, fresh: dict[str, bytes], asked: int) -> Iterator[Cache]:
+        """The cache with ``fresh`` added; afterwards only what there is room for stays."""
+        room = len(self) < self.most
+        self.update(fresh)
+        yield self
+        if not room and len(fresh) > 0.3 * asked:
             self.clear()
-        if len(self) < CACHE:
-            self.update((c, v) for c, v in fresh.items() if len(c) <= LONGEST)
+            return
+        for key in fresh:
+            if not room or len(key) > LONGEST:
+                self.pop(key, None)
 
 
 #: A run of white space with what follows it up to the next: pieces of the pattern never go over these bounds.
@@ -191,14 +203,14 @@ class ByteBpe:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         split = [(ASCII_CHUNK if t.isascii() else CHUNK).findall(t) for t in texts]
-        known = self.cache
-        new = list({c for chunks in split for c in chunks if c not in known})
+        new = list(set().union(*split).difference(self.cache))
         cut = [self.cut(c) for c in new]
-        pieces = list({p for parts in cut for p in parts})
+        pieces = list(set().union(*cut))
         ids = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
         fresh = {c: ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for c, parts in zip(new, cut, strict=True)}
-        known.learn(fresh, sum(map(len, split)))
-        return [b"".join([known[c] if c in known else fresh[c] for c in chunks]) for chunks in split] if fresh else [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        with self.cache.holding(fresh, sum(map(len, split))) as known:
+            find = known.__getitem__
+            return [b"".join(map(find, chunks)) for chunks in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -10,22 +10,71 @@ numbers the pieces of each length and looks their places up in the plan.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Cache
+from .bpe import PUNCTUATION, Cache
 from .common import read, saved, small_batches
+from .shingles import blocks, word_spans
 
 WINDOW, END = 4096, 2
 #: The pre-tokenizer of the vocabulary file (a fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of these characters only may be cut at white space and lower-cased by str.lower() before they reach the
-#: tokenizer, as no normalisation crosses white space there; all others go to the tokenizer whole.
-PLAIN = regex.compile(r"[\t-\r -~ -įı-ɏ‐-‧€]*+")
+#: Texts of these characters only may be cut at white space (here: the bytes 9 to 13 and 32) and lower-cased by str.lower()
+#: before they reach the tokenizer, as no normalisation crosses white space there; all others go to it whole.
+PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*+")
+#: Words, and pieces of words, whose ids a task keeps; bytes of text that it works on at once.
+MOST_WORDS, MOST_PARTS, AT_ONCE = 1 << 20, 300_000, 1 << 19
+
+
+class WordTable:
+    """Hash of a word -> its ids, in flat arrays: an open hash table over the ends of each word's run of ids."""
+
+    def __init__(self, most: int = MOST_WORDS):
+        self.most, self.mask = most, (1 << (4 * most - 1).bit_length()) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(self.mask + 1, np.uint64)
+        self.word = np.full(self.mask + 1, -1, np.int32)
+        self.ends = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint16)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        at = (hashes & np.uint64(self.mask)).astype(np.int64)
+        out, open_ = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        while len(open_):
+            word = self.word[at]
+            hit = (word >= 0) & (self.key[at] == hashes[open_])
+            out[open_[hit]] = word[hit]
+            more = ~hit & (word >= 0)
+            open_, at = open_[more], (at[more] + 1) & self.mask
+        return out
+
+    def room(self, n: int) -> bool:
+        return len(self.ends) - 1 + n <= self.most
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """New words, their ids as 16-bit integers."""
+        number = np.arange(len(hashes), dtype=np.int32) + np.int32(len(self.ends) - 1)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 2)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint16)])
+        at, open_ = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(len(hashes))
+        while len(open_):
+            free = np.flatnonzero(self.word[at] < 0)
+            slots, first = np.unique(at[free], return_index=True)
+            chosen = open_[free[first]]
+            self.key[slots], self.word[slots] = hashes[chosen], number[chosen]
+            left = np.ones(len(open_), bool)
+            left[free[first]] = False
+            open_, at = open_[left], (at[left] + 1) & self.mask
 
 
 class WordTokenizer:
@@ -36,28 +85,65 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.parts = Cache(), Cache()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        cut = [PIECES.findall(w.lower()) for w in words]
-        new = list({p for parts in cut for p in parts if p not in self.parts})
-        fresh = dict(zip(new, self.whole(new), strict=True)) if new else {}
-        known = self.parts
-        made = {w: b"".join([known[p] if p in known else fresh[p] for p in parts]) for w, parts in zip(words, cut, strict=True)}
-        known.learn(fresh, sum(map(len, cut)))
-        return made
+        self.words, self.rest, self.parts = WordTable(), WordTable(MOST_WORDS // 4), Cache(MOST_PARTS)
+
+    def whole(self, texts: list[str], kind: str) -> list[bytes]:
+        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def cut(word: str) -> list[str]:
+        """The tokenizer's pieces of a word of a plain text; the commonest shapes need no pattern."""
+        word = word.lower()
+        if word.isalpha():
+            return [word]
+        if word[-1] in PUNCTUATION and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return PIECES.findall(word)
+
+    def learn(self, words: list[str], asked: int) -> list[bytes]:
+        """The ids of each word, as 16-bit integers; ``asked``: of how many words these are the unknown ones."""
+        cut = [self.cut(w) for w in words]
+        new = list(set().union(*cut).difference(self.parts))
+        with self.parts.holding(dict(zip(new, self.whole(new, "H"), strict=True)) if new else {}, asked) as known:
+            return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in cut]
+
+    def plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of plain texts. Words go to a table that keeps the first that it met; once it is full, to a smaller one that is emptied now and then."""
+        joined = b"\n".join(texts)
+        h, starts, ends = word_spans(joined)
+        main = self.words.find(h)
+        odd = np.flatnonzero(main < 0)
+        other = self.rest.find(h[odd])
+        new, first = np.unique(h[odd[other < 0]], return_index=True)
+        table, where = self.words, odd[other < 0][first]
+        if not self.words.room(len(new)):
+            table = self.rest
+            if not table.room(len(new)):
+                table.clear()
+                new, first = np.unique(h[odd], return_index=True)
+                where = odd[first]
+                if not table.room(len(new)):
+                    table = self.rest = WordTable(2 * len(new))
+        if len(new):
+            table.add(new, self.learn([joined[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], len(h)))
+            main = self.words.find(h)
+            odd = np.flatnonzero(main < 0)
+            other = self.rest.find(h[odd])
+        low, high = self.words.ends[main], self.words.ends[main + 1]
+        low[odd], high[odd] = self.rest.ends[other] + len(self.words.ids), self.rest.ends[other + 1] + len(self.words.ids)
+        counts = high - low
+        ids = np.concatenate([self.words.ids, self.rest.ids])[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+        edges = np.cumsum([len(t) + 1 for t in texts])
+        last = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, edges)].tolist()
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *last[:-1]], last, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        known = self.words
-        fresh = self.learn(list({w for words in split if words for w in words if w not in known}))
-        known.learn(fresh, sum(len(w) for w in split if w))
-        odd = iter(self.whole([t for t, w in zip(texts, split, strict=True) if w is None]))
-        return [next(odd) if w is None else b"".join([known[x] if x in known else fresh[x] for x in w]) for w in split]
+        easy = [bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        raw = [t.encode() for t, e in zip(texts, easy, strict=True) if e]
+        fast = iter([x for part in blocks([len(t) for t in raw], AT_ONCE) for x in self.plain(raw[part.start : part.stop])])
+        odd = iter(self.whole([t for t, e in zip(texts, easy, strict=True) if not e], "I"))
+        return [next(fast) if e else next(odd) for e in easy]
 
 
 _LOADED: dict[str, WordTokenizer] = {}

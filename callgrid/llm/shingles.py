@@ -31,22 +31,27 @@ def _space(d: np.ndarray) -> np.ndarray:
     return (d == 32) | ((d >= 9) & (d <= 13))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One 64-bit hash for each word (what lies between the bytes 9 to 13 and 32), in order."""
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash, the start and the end of each word (what lies between the bytes 9 to 13 and 32), in order."""
     out, at = [], 0
     while at < len(text):
         end = min(len(text), at + BLOCK)
         while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
             end += 1
         d = np.frombuffer(text, np.uint8, end - at, at)
-        word = ~_space(d)
-        edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        edge = np.flatnonzero(np.diff(~_space(d), prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
         up, down = _powers(len(d) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((d.astype(np.uint64) + np.uint64(1)) * up[: len(d)], dtype=np.uint64)])
-        out.append(mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(56)))
+        out.append((mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(56)), starts + at, ends + at))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
+    h, starts, ends = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (none.astype(np.uint64), none, none)
+    return h, starts, ends
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return word_spans(text)[0]
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
