@@ -18,4 +18,4 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
         ORACLES[name] = cte + sql
 
 
-from . import q_attribution, q_behaviour, q_compare, q_graph, q_movement, q_records, q_reports, q_stats  # noqa: E402,F401  each module registers its queries
+from . import q_attribution, q_behaviour, q_compare, q_graph, q_modules, q_movement, q_records, q_reports, q_stats  # noqa: E402,F401  each module registers its queries
