@@ -50,7 +50,7 @@ def week_start(ts: str = "start_time") -> Column:
 
 def hms(seconds: Column) -> Column:
     s = seconds.cast("long")
-    return F.when(s >= 3600, F.format_string("%dh %dm %ds", F.expr("1") * F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).when(s >= 60, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
+    return F.when(s >= 3600, F.format_string("%dh %dm %ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).when(s >= 60, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
 
 
 def human_bytes(n: Column, base: int = 1024) -> Column:
