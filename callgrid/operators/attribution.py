@@ -128,3 +128,18 @@ def compressed(rows: DataFrame) -> DataFrame:
     change = F.when(F.lag("call_type").over(w) == F.col("call_type"), 0).otherwise(1)
     r = r.withColumn("c", change).withColumn("block", F.sum("c").over(w))
     return r.groupBy("subject", "day", "block", "call_type").agg(F.count("*").alias("times"))
+
+
+def app_by_port(ipdr: DataFrame, apps: DataFrame) -> DataFrame:
+    """The first app (by ord) that lists the destination port, with a bonus of 3 (98 at most) for its protocol. apps: ord, app, port, protocol, confidence."""
+    each = F.broadcast(apps.select("ord", "app", F.col("port").alias("destination_port"), F.col("protocol").alias("__p"), F.col("confidence").alias("__c")))
+    hit = ipdr.join(each, "destination_port").groupBy("id", "protocol").agg(F.min_by(F.struct("app", "__p", "__c"), "ord").alias("a"))
+    return hit.select("id", F.col("a.app").alias("app"), F.when(F.upper("protocol") == F.col("a.__p"), F.least(F.lit(98), F.col("a.__c") + 3)).otherwise(F.col("a.__c")).cast("long").alias("confidence"))
+
+
+def traffic_pattern(rows: DataFrame) -> DataFrame:
+    """A label for each session by volume and direction: the part of the rules whose thresholds are documented."""
+    total = F.coalesce("bytes_uploaded", F.lit(0)) + F.coalesce("bytes_downloaded", F.lit(0))
+    up = F.coalesce("bytes_uploaded", F.lit(0)) / F.when(total > 0, total)
+    label = F.when(total == 0, "probe").when(up > 0.8, "upload").when(up < 0.1, "download").when(total < 10_000, "signalling").otherwise("interactive")
+    return rows.select("id", label.alias("pattern"))

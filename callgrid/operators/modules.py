@@ -168,3 +168,17 @@ def training_rows(cdr: DataFrame, n: int = 5) -> DataFrame:
 
 def first_seen(rows: DataFrame) -> DataFrame:
     return rows.groupBy("subject", "call_type").agg(when_text(F.min("start_time")).alias("first"))
+
+
+def leads(cdr: DataFrame, n: int = 20) -> DataFrame:
+    """Scored rules in one list: the most contacted, night callers, SIM or handset changes."""
+    from .behaviour import identity_report
+    from .reports import owned
+
+    own = owned(cdr)
+    top = cdr.groupBy(F.col("b_party_number").alias("subject")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "subject").limit(n).select("subject", F.lit("most contacted").alias("rule"), F.least(F.lit(60), F.col("c")).cast("long").alias("score"))
+    night = time_profile(own).where("night >= 40").select("subject", F.lit("night activity").alias("rule"), F.least(F.lit(100), F.col("night").cast("long")).alias("score"))
+    ids = identity_report(own)
+    swap = ids.where("swaps > 0").select("subject", F.lit("SIM change").alias("rule"), F.least(F.lit(85), 70 + 5 * F.col("swaps")).cast("long").alias("score"))
+    device = ids.where("devices > 0").select("subject", F.lit("handset change").alias("rule"), F.least(F.lit(78), 60 + 6 * F.col("devices")).cast("long").alias("score"))
+    return top.union(night).union(swap).union(device).orderBy(F.desc("score"), "rule", "subject")

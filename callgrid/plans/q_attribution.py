@@ -50,3 +50,9 @@ register("N08_compressed", lambda t: a.compressed(owned(t.cdr)), ", c0 AS (SELEC
 TK = ", t0 AS (SELECT *, a_party_number AS subject, (epoch_us(start_time)-epoch_us(lag(start_time) OVER (PARTITION BY a_party_number ORDER BY start_time, id)))/1e6 AS gap FROM cdr), t1 AS (SELECT *, CAST(sum(CASE WHEN gap>1800 THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY start_time, id) AS BIGINT) AS session FROM t0) "
 register("N09_talk_sessions", lambda t: a.talk_sessions(owned(t.cdr)).drop("start"), TK + "SELECT subject, session, count(*) AS calls, CAST(sum(duration_seconds) AS BIGINT) AS seconds, count(DISTINCT b_party_number) AS others, round(arg_min_null(gap, (start_time, id))/60,2) AS gap_before_min FROM t1 GROUP BY 1,2")
 register("N09_session_gaps", lambda t: a.session_gaps(owned(t.cdr)), TK + "SELECT subject, round(avg(gap)/60,2) AS avg_min, round(max(gap)/60,2) AS max_min, round(min(gap)/60,2) AS min_min, count(*) FILTER (WHERE gap>3600) AS over_1h, count(*) FILTER (WHERE gap>21600) AS over_6h, count(*) FILTER (WHERE gap>86400) AS over_24h FROM t0 GROUP BY 1")
+APPS = "ap(ord,app,port,proto,conf) AS (VALUES " + ",".join(f"({i},'{x}',{p},'{proto}',{c})" for i, (x, ports_, proto, c) in enumerate(s.APPS) for p in ports_) + ")"
+register("M15_app_by_port", lambda t: a.app_by_port(t.ipdr, s.apps(t.spark)), f", {APPS} SELECT id, app, CAST(CASE WHEN protocol=proto THEN least(98,conf+3) ELSE conf END AS BIGINT) AS confidence FROM ipdr JOIN ap ON port=destination_port QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord)=1")
+register(
+    "M17_traffic_pattern", lambda t: a.traffic_pattern(t.ipdr),
+    " SELECT id, CASE WHEN b=0 THEN 'probe' WHEN bytes_uploaded/b>0.8 THEN 'upload' WHEN bytes_uploaded/b<0.1 THEN 'download' WHEN b<10000 THEN 'signalling' ELSE 'interactive' END AS pattern FROM (SELECT *, bytes_uploaded+bytes_downloaded AS b FROM ipdr)",
+)

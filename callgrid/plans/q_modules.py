@@ -64,3 +64,4 @@ register(
     "A15_training_rows", lambda t: p.training_rows(t.cdr),
     ", tc AS (SELECT subject, string_agg(b, ',' ORDER BY c DESC, b) AS top_contacts FROM (SELECT a_party_number AS subject, b_party_number AS b, count(*) AS c FROM cdr GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY c DESC, b)<=5) GROUP BY 1) SELECT a_party_number AS subject, count(*) AS calls, count(DISTINCT b_party_number) AS contacts, count(DISTINCT tower_id) AS towers, round(count(*) FILTER (WHERE hour(start_time)>=23 OR hour(start_time)<5)/count(*),3) AS night_share, min(top_contacts) AS top_contacts FROM cdr JOIN tc ON tc.subject=a_party_number GROUP BY 1",
 )
+register("P21_leads", lambda t: p.leads(t.cdr))
