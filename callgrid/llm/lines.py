@@ -18,15 +18,19 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, SPACE_CLASS, read, saved, small_batches
 from .linking import link, prefilter
-from .shingles import _BASE, BLOCK, OnePermutation, band_keys, blocks, mix
+from .shingles import BLOCK, OnePermutation, _powers, band_keys, blocks, mix
 
 #: Characters of a shingle; percent of the union that must be common; bands and rows: a pair of similarity 0.85
-#: shares no band with a probability of 1.4e-4, one of 0.9 of 3e-6.
-SHINGLE, PERCENT, BANDS, ROWS = 8, 85, 12, 4
+#: shares no band with a probability of 6e-4, one of 0.9 of 2e-5.
+SHINGLE, PERCENT, BANDS, ROWS = 8, 85, 10, 4
 
 
 def normalised(line: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(line, F.lit(SPACE))), SPACE_CLASS + "+", " ")
+    bare = F.lower(F.trim(line, F.lit(SPACE)))
+    odd = F.contains(bare, F.lit("  "))
+    for c in SPACE[1:]:
+        odd = odd | F.contains(bare, F.lit(c))
+    return F.when(odd, F.regexp_replace(bare, SPACE_CLASS + "+", " ")).otherwise(bare)
 
 
 def text_lines(text: Column) -> Column:
@@ -35,12 +39,12 @@ def text_lines(text: Column) -> Column:
 
 
 def shingle_hashes(points: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the ``k`` characters from each place on; shorter at the end."""
-    padded = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(k - 1, np.uint64)])
-    total = np.zeros(len(points), np.uint64)
-    for i in range(k):
-        total = total * np.uint64(_BASE) + padded[i : i + len(points)]
-    return mix(total)
+    """A hash of the ``k`` characters from each place on; of fewer at the end."""
+    up, down = _powers(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
+    ends = np.minimum(np.arange(k, len(points) + k), len(points))
+    return mix((total[ends] - total[:-1]) * down[: len(points)])
 
 
 def line_set(content: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -52,7 +56,7 @@ def line_set(content: bytes, k: int = SHINGLE) -> np.ndarray:
 def line_sketches(lines: list[bytes], oph: OnePermutation, k: int = SHINGLE) -> np.ndarray:
     """The densified sketch of each line, none of them empty."""
     values, full = [], []
-    for part in blocks([len(x) for x in lines], BLOCK):
+    for part in blocks([len(x) for x in lines], BLOCK // 2):  # so lines times bins stay under 2**26
         texts = [lines[i].decode() for i in part]
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -64,16 +68,20 @@ def line_sketches(lines: list[bytes], oph: OnePermutation, k: int = SHINGLE) ->
         for i in np.flatnonzero(sizes < k):  # a short line is one shingle, without what follows it
             h[starts[i]] = line_set(texts[i].encode(), k)[0]
         owner, h = owner[whole], h[whole]
-        bin_ = (np.searchsorted(oph.edges, h, side="right") - 1) if oph.bins & (oph.bins - 1) else (h >> np.uint64(64 - oph.bins.bit_length() + 1)).astype(np.int64)
-        least = np.full(len(sizes) * oph.bins, np.iinfo(np.uint64).max)
-        np.minimum.at(least, owner * oph.bins + bin_, h)
-        values.append(least.reshape(-1, oph.bins))
-        full.append(values[-1] != np.iinfo(np.uint64).max)
+        bin_ = (h >> np.uint64(32)) * np.uint64(oph.bins) >> np.uint64(32)
+        # the least value of each line and bin: both in one number, sorted, and of each bin the first
+        keyed = np.sort((owner.astype(np.uint64) * np.uint64(oph.bins) + bin_ << np.uint64(38)) | (h & np.uint64((1 << 38) - 1)))
+        slot = (keyed >> np.uint64(38)).astype(np.int64)
+        first = np.flatnonzero(np.diff(slot, prepend=-1))
+        least, filled = np.zeros(len(sizes) * oph.bins, np.uint64), np.zeros(len(sizes) * oph.bins, bool)
+        least[slot[first]], filled[slot[first]] = keyed[first], True
+        values.append((least & np.uint64((1 << 38) - 1)).reshape(-1, oph.bins))
+        full.append(filled.reshape(-1, oph.bins))
     return np.concatenate([oph.densify(v, f) for v, f in zip(values, full, strict=True)]) if values else np.zeros((0, oph.bins), np.uint64)
 
 
 def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, mark, nodes (hash of each line, null where blank), fresh (node, keys, sketch of lines new to the task's batch)."""
+    """doc_id, mark, nodes (hash of each line, null where blank), fresh (node and keys of lines new to the task's batch)."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     listed = docs.select("doc_id", F.xxhash64("text").alias("mark"), text_lines(F.col("text")).alias("lines"))
@@ -91,25 +99,24 @@ def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             texts = pc.cast(lines.values.take(pa.array(at)), pa.binary()).to_pylist()
             dense = line_sketches(texts, oph)
             keys = band_keys(dense, bands, rows).view(np.int64)
-            low = (dense >> np.uint64(20)).astype(np.uint16)
             home = np.searchsorted(nodes.offsets.to_numpy(), at, side="right") - 1
             offsets = np.searchsorted(home, np.arange(b.num_rows + 1))
             fresh = pa.StructArray.from_arrays(
-                [pa.array(ids[at]), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()), pa.array(keys.ravel())), pa.array([r.tobytes() for r in low], pa.binary())],
-                names=["node", "keys", "sketch"],
+                [pa.array(ids[at]), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()), pa.array(keys.ravel()))],
+                names=["node", "keys"],
             )
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), nodes, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fresh)], names=["doc_id", "mark", "nodes", "fresh"]
             )
 
-    schema = f"doc_id {kind}, mark long, nodes array<long>, fresh array<struct<node: long, keys: array<long>, sketch: binary>>"
+    schema = f"doc_id {kind}, mark long, nodes array<long>, fresh array<struct<node: long, keys: array<long>>>"
     return listed.mapInArrow(run, schema)
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, mark, n_lines), and the places (from 0) of the lines that each loses (doc_id, mark, gone)."""
     base = saved(_sketched(docs, bands, rows), "lines")
-    heads = base.select(F.explode("fresh").alias("f")).select("f.node", F.lit(1).alias("n"), "f.keys", "f.sketch")
+    heads = base.select(F.explode("fresh").alias("f")).select("f.node", "f.keys")
 
     def contents(nodes: DataFrame) -> DataFrame:
         each = docs.select(F.explode(F.array_distinct(text_lines(F.col("text")))).alias("line")).where("line <> ''")

@@ -8,7 +8,7 @@
    Large buckets are dealt in chunks, a task for each pair of chunks.
 
 So the edges are as many as the bucket entries, and no link between items of one bucket is lost. Items are heads
-(node, n, keys, sketch); what a node's set is made of comes from ``contents`` and is turned into a set inside tasks.
+(node, keys); what a node's set is made of comes from ``contents`` and is turned into a set inside tasks.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import saved, small_batches
 from .components import components
+from .shingles import OnePermutation
 
 #: Members of a bucket that go to one chunk.
 CHUNK_ROWS = 4096
+#: Bits (8 MB of them) of the broadcast bitmap of bucket keys that have several members.
+KEY_BITS = 1 << 26
 
 
 def prefilter(df: DataFrame, key: Column, wanted: DataFrame, column: str, most_bits: int = 1 << 23) -> DataFrame:
@@ -78,11 +81,13 @@ def _inside(percent: int, bins: int, to_set: Callable[[bytes], np.ndarray]) -> C
         t = table.to_pydict()
         order = np.argsort(t["node"])
         node, label, chunk = (np.array(t[c])[order] for c in ("node", "label", "chunk"))
-        sketch = np.array([np.frombuffer(t["sketch"][i], np.uint16) for i in order])
         keys = np.array([t["keys"][i] for i in order])
+        sets = [to_set(t["content"][i]) for i in order]
+        oph = OnePermutation(bins)
+        raw = [oph.sketch(s) for s in sets]
+        sketch = oph.densify(np.array([v for v, _ in raw]), np.array([f for _, f in raw]))
         band = int(np.argmax(keys[0] == key[0].as_py()))
         apart = key[1].as_py() != key[2].as_py()
-        sets: dict[int, np.ndarray] = {}
         found: list[tuple[int, int]] = []
         for i in range(len(node)):
             rest = np.arange(i + 1, len(node))
@@ -93,12 +98,7 @@ def _inside(percent: int, bins: int, to_set: Callable[[bytes], np.ndarray]) -> C
                 rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= likely]
             if band and len(rest):  # the first bucket that a pair shares deals with it
                 rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
-            for j in rest:
-                for x in (i, j):
-                    if x not in sets:
-                        sets[x] = to_set(t["content"][order[x]])
-                if alike(sets[i], sets[j], percent):
-                    found.append((int(node[i]), int(node[j])))
+            found.extend((int(node[i]), int(node[j])) for j in rest if alike(sets[i], sets[j], percent))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -108,14 +108,19 @@ def _inside(percent: int, bins: int, to_set: Callable[[bytes], np.ndarray]) -> C
 def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], to_set: Callable[[bytes], np.ndarray], percent: int, bins: int, once: bool) -> DataFrame:
     """node and label of all nodes that links reach.
 
-    heads: node, n (a size that the ratio of sizes may be judged by, or 1), keys (one for each band), sketch (16 bits of each
-    bin); ``once``: a node has one row. contents gives node and content of a table of nodes.
+    heads: node and keys (one for each band); ``once``: a node has one row, with n, the size of its set, so that edges between sets of
+    too unlike sizes drop out before the sets are fetched. contents gives node and content of a table of nodes.
     """
-    entries = heads.select("node", "n", F.explode("keys").alias("key"))
-    stars = entries.groupBy("key").agg(F.min("node").alias("top"), F.max("node").alias("last"), F.min_by("n", "node").alias("top_n")).where("top < last").drop("last")
-    shared = entries.join(stars, "key")
+    sizes = ["n"] if once else []
+    entries = heads.select("node", *sizes, F.explode("keys").alias("key"))
+    stars = entries.groupBy("key").agg(F.min("node").alias("top"), F.max("node").alias("last"), *[F.min_by("n", "node").alias("top_n") for _ in sizes]).where("top < last").drop("last")
+    stars = saved(stars, "stars")
+    shared = prefilter(entries, F.col("key"), stars, "key", KEY_BITS).join(stars, "key")
     shared = saved(shared if once else shared.dropDuplicates(["key", "node"]), "buckets")
-    edges = shared.where(f"node <> top AND 100 * least(n, top_n) >= {percent} * greatest(n, top_n)").select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
+    edges = shared.where("node <> top")
+    if once:
+        edges = edges.where(f"100 * least(n, top_n) >= {percent} * greatest(n, top_n)")
+    edges = edges.select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
     nodes = shared.select("node").distinct()
     content = saved(contents(nodes), "contents")
     small_batches(heads.sparkSession, 100)
@@ -130,7 +135,7 @@ def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], to_set: C
         "key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "label", "chunk"
     )
     open_nodes = again.select("node").distinct()
-    detail = heads.select("node", "keys", "sketch").join(open_nodes, "node", "left_semi")
+    detail = heads.select("node", "keys").join(open_nodes, "node", "left_semi")
     detail = (detail if once else detail.dropDuplicates(["node"])).join(content, "node")
     more = saved(again.join(detail, "node").groupBy("key", "low", "high").applyInArrow(_inside(percent, bins, to_set), "a long, b long"), "more-links")
     return components(links.union(more)) if more.head(1) else labels

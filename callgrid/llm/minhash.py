@@ -23,7 +23,7 @@ WORDS, BANDS, ROWS = 5, 24, 4
 
 
 def sketches(docs: DataFrame, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, class1 and class2 (equal for equal sets), keys (one for each band), sketch (16 bits of each bin).
+    """doc_id, n_shingles, class1 and class2 (equal for equal sets), keys (one for each band).
 
     Documents without words have no shingles and null keys.
     """
@@ -46,16 +46,15 @@ def sketches(docs: DataFrame, n: int = WORDS, bands: int = BANDS, rows: int = RO
             keys = band_keys(dense, bands, rows)
             none = np.array(sizes) == 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)), mask=pa.array(none))
-            low = (dense >> np.uint64(20)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)),
-                    pa.array(np.array(second, np.uint64).view(np.int64)), lists, pa.array([r.tobytes() for r in low], pa.binary()),
+                    pa.array(np.array(second, np.uint64).view(np.int64)), lists,
                 ],
-                names=["doc_id", "n_shingles", "class1", "class2", "keys", "sketch"],
+                names=["doc_id", "n_shingles", "class1", "class2", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class1 long, class2 long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class1 long, class2 long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int = WORDS) -> DataFrame:
@@ -95,7 +94,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, bands: i
     member = base.select("row", "doc_id", "n_shingles", "class1", "class2").join(classes, ["class1", "class2", "n_shingles"], "left")
     member = saved(member.withColumn("node", F.coalesce("node", "row")), "members")
     heads = base.join(member.where("row = node").select("row"), "row", "left_semi").where("n_shingles > 0")
-    heads = heads.select(F.col("row").alias("node"), "doc_id", "class1", "class2", F.col("n_shingles").alias("n"), "keys", "sketch")
+    heads = heads.select(F.col("row").alias("node"), "doc_id", "class1", "class2", F.col("n_shingles").alias("n"), "keys")
 
     def contents(nodes: DataFrame) -> DataFrame:
         wanted = heads.select("node", "doc_id", "class1").join(nodes, "node", "left_semi")
