@@ -4,7 +4,8 @@
    sets, and verified links are joined to components.
 2. A bucket whose other members still lie in several components is looked through once more, as two of them
    may be alike while neither is like the first: inside a task, sketches of members of different components
-   are compared, and those that may be alike are verified on the full sets. Only links leave the task.
+   are compared, and those that may be alike are verified on the full sets. A link makes two components one
+   there and then, so fewer links leave the task than the bucket has members.
    Large buckets are dealt in chunks, a task for each pair of chunks.
 
 So the edges are as many as the bucket entries, and no link between items of one bucket is lost. Items are heads
@@ -98,7 +99,10 @@ def _inside(percent: int, bins: int, to_set: Callable[[bytes], np.ndarray]) -> C
                 rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= likely]
             if band and len(rest):  # the first bucket that a pair shares deals with it
                 rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
-            found.extend((int(node[i]), int(node[j])) for j in rest if alike(sets[i], sets[j], percent))
+            for j in rest:
+                if label[j] != label[i] and alike(sets[i], sets[j], percent):
+                    found.append((int(node[i]), int(node[j])))
+                    label[label == label[j]] = label[i]
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
