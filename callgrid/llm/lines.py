@@ -8,34 +8,29 @@ this folder. Of each component one line stays: the first by doc_id and place.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS, read, saved, small_batches
-from .linking import link, prefilter
+from .common import read, saved, small_batches
+from .linking import Items, link, prefilter
 from .shingles import BLOCK, OnePermutation, _powers, band_keys, blocks, mix
 
 #: Characters of a shingle; percent of the union that must be common; bands and rows: a pair of similarity 0.85
 #: shares no band with a probability of 6e-4, one of 0.9 of 2e-5.
 SHINGLE, PERCENT, BANDS, ROWS = 8, 85, 10, 4
+#: White space, and characters that str.split() takes for white space beyond it.
+SPLIT, ODD = re.compile("[\x20\x09-\x0d]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def normalised(line: Column) -> Column:
-    bare = F.lower(F.trim(line, F.lit(SPACE)))
-    odd = F.contains(bare, F.lit("  "))
-    for c in SPACE[1:]:
-        odd = odd | F.contains(bare, F.lit(c))
-    return F.when(odd, F.regexp_replace(bare, SPACE_CLASS + "+", " ")).otherwise(bare)
-
-
-def text_lines(text: Column) -> Column:
-    """All lines of a text, normalised; blank ones are empty. None for null."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), normalised)
+def normalised(line: str) -> str:
+    """Trimmed, runs of the white space of SPACE as one space, lower case."""
+    return " ".join([w for w in SPLIT.split(line.lower()) if w]) if ODD.search(line) else " ".join(line.lower().split())
 
 
 def shingle_hashes(points: np.ndarray, k: int) -> np.ndarray:
@@ -80,37 +75,69 @@ def line_sketches(lines: list[bytes], oph: OnePermutation, k: int = SHINGLE) ->
     return np.concatenate([oph.densify(v, f) for v, f in zip(values, full, strict=True)]) if values else np.zeros((0, oph.bins), np.uint64)
 
 
+class LineItems(Items):
+    """Contents are lines in UTF-8; their sets hold the shingles themselves."""
+
+    def to_set(self, content: bytes) -> set[str]:
+        line = content.decode()
+        return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+    def sketches(self, contents: list[bytes]) -> np.ndarray:
+        return line_sketches(contents, OnePermutation(self.bins))
+
+    def common(self, a: set[str], b: set[str]) -> int:
+        return len(a & b)
+
+
+def _node(line: bytes) -> int:
+    """A line's hash as a signed 64-bit integer."""
+    h = xxhash.xxh64_intdigest(line)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, mark, nodes (hash of each line, null where blank), fresh (node and keys of lines new to the task's batch)."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    listed = docs.select("doc_id", F.xxhash64("text").alias("mark"), text_lines(F.col("text")).alias("lines"))
-    listed = listed.withColumn("nodes", F.transform("lines", lambda x: F.when(x != "", F.xxhash64(x))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         oph = OnePermutation(bands * rows)
         for b in batches:
-            lines, nodes = b.column(2), b.column(3)
-            ids = nodes.values.fill_null(0).to_numpy(zero_copy_only=False)
-            used = nodes.values.is_valid().to_numpy(zero_copy_only=False)
-            where = np.flatnonzero(used)
-            new, first = np.unique(ids[where], return_index=True)
-            at = np.sort(where[first])
-            texts = pc.cast(lines.values.take(pa.array(at)), pa.binary()).to_pylist()
-            dense = line_sketches(texts, oph)
-            keys = band_keys(dense, bands, rows).view(np.int64)
-            home = np.searchsorted(nodes.offsets.to_numpy(), at, side="right") - 1
-            offsets = np.searchsorted(home, np.arange(b.num_rows + 1))
+            nodes, counts, known, texts, homes = [], [0], set(), [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                found = []
+                for line in (text or "").split("\n"):
+                    raw = normalised(line).encode()
+                    node = _node(raw) if raw else None
+                    found.append(node)
+                    if raw and node not in known:
+                        known.add(node)
+                        texts.append(raw)
+                        homes.append((i, node))
+                nodes.append(found)
+                counts.append(len(homes))
+            keys = band_keys(line_sketches(texts, oph), bands, rows).view(np.int64)
             fresh = pa.StructArray.from_arrays(
-                [pa.array(ids[at]), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()), pa.array(keys.ravel()))],
-                names=["node", "keys"],
+                [pa.array([n for _, n in homes], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(homes) + 1) * bands, pa.int32()), pa.array(keys.ravel()))], names=["node", "keys"]
             )
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), nodes, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fresh)], names=["doc_id", "mark", "nodes", "fresh"]
+                [b.column(0), b.column(1), pa.array(nodes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), fresh)], names=["doc_id", "mark", "nodes", "fresh"]
             )
 
     schema = f"doc_id {kind}, mark long, nodes array<long>, fresh array<struct<node: long, keys: array<long>>>"
-    return listed.mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, schema)
+
+
+def _each_line(docs: DataFrame) -> DataFrame:
+    """node and content of the lines, each once in a task's batch."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = {_node(raw): raw for text in b.column(0).to_pylist() for line in (text or "").split("\n") if (raw := normalised(line).encode())}
+            yield pa.RecordBatch.from_arrays([pa.array(list(each), pa.int64()), pa.array(list(each.values()), pa.binary())], names=["node", "content"])
+
+    return docs.select("text").mapInArrow(run, "node long, content binary")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -119,11 +146,10 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     heads = base.select(F.explode("fresh").alias("f")).select("f.node", "f.keys")
 
     def contents(nodes: DataFrame) -> DataFrame:
-        each = docs.select(F.explode(F.array_distinct(text_lines(F.col("text")))).alias("line")).where("line <> ''")
-        near = prefilter(each.withColumn("node", F.xxhash64("line")), F.col("node"), nodes, "node")
-        return near.dropDuplicates(["node"]).join(nodes, "node", "left_semi").select("node", F.col("line").cast("binary").alias("content"))
+        near = prefilter(_each_line(docs), F.col("node"), nodes, "node")
+        return near.dropDuplicates(["node"]).join(nodes, "node", "left_semi").select("node", "content")
 
-    labels = link(heads, contents, line_set, percent, bands * rows, once=False)
+    labels = link(heads, contents, LineItems(bands * rows), percent, once=False)
     placed = base.select("doc_id", "mark", F.posexplode("nodes").alias("at", "node")).where("node IS NOT NULL")
     named = placed.join(labels, "node", "left").select(
         "doc_id", "mark", "at", F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "at").alias("where")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +48,34 @@ def prefilter(df: DataFrame, key: Column, wanted: DataFrame, column: str, most_b
     return hit.where("(shiftright(__bits, cast(__p % 64 as int)) & 1) = 1").select(df.columns)
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether ``percent`` of the union of two sorted sets is common."""
-    small, large = (a, b) if len(a) < len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
+class Items:
+    """How contents of nodes are compared: as sorted arrays of hashes, which the contents are already."""
 
+    def __init__(self, bins: int):
+        self.bins = bins
 
-def verified(edges: DataFrame, contents: DataFrame, percent: int, to_set: Callable[[bytes], np.ndarray]) -> DataFrame:
+    def to_set(self, content: bytes) -> Any:
+        return np.frombuffer(content, np.uint64)
+
+    def sketches(self, contents: list[bytes]) -> np.ndarray:
+        oph = OnePermutation(self.bins)
+        raw = [oph.sketch(self.to_set(c)) for c in contents]
+        return oph.densify(np.array([v for v, _ in raw]), np.array([f for _, f in raw]))
+
+    def common(self, a: Any, b: Any) -> int:
+        small, large = (a, b) if len(a) < len(b) else (b, a)
+        at = np.searchsorted(large, small)
+        return int((large[np.minimum(at, len(large) - 1)] == small).sum())
+
+    def alike(self, a: Any, b: Any, percent: int) -> bool:
+        """Whether ``percent`` of the union of two sets is common."""
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            return False
+        common = self.common(a, b)
+        return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def verified(edges: DataFrame, contents: DataFrame, percent: int, items: Items) -> DataFrame:
     """The edges (a, b) whose full sets are alike."""
     with_b = edges.join(contents.withColumnRenamed("node", "b").withColumnRenamed("content", "content_b"), "b")
     both = with_b.join(contents.withColumnRenamed("node", "a").withColumnRenamed("content", "content_a"), "a").select("a", "b", "content_a", "content_b")
@@ -66,29 +84,28 @@ def verified(edges: DataFrame, contents: DataFrame, percent: int, to_set: Callab
         for batch in batches:
             last, keep = (None, None), []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                last = last if last[0] == a else (a, to_set(x))
-                keep.append(alike(last[1], to_set(y), percent))
+                last = last if last[0] == a else (a, items.to_set(x))
+                keep.append(items.alike(last[1], items.to_set(y), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _inside(percent: int, bins: int, to_set: Callable[[bytes], np.ndarray]) -> Callable[[tuple, pa.Table], pa.Table]:
-    """For one pair of chunks of a bucket: links between members of different components."""
+def _inside(percent: int, items: Items) -> Callable[[tuple, pa.Table], pa.Table]:
+    """For one pair of chunks of a bucket: links that make one component of members of several."""
     share = percent / 100
-    likely = share - 5.2 * math.sqrt(share * (1 - share) / bins)
+    likely = share - 5.2 * math.sqrt(share * (1 - share) / items.bins)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = table.to_pydict()
         order = np.argsort(t["node"])
         node, label, chunk = (np.array(t[c])[order] for c in ("node", "label", "chunk"))
         keys = np.array([t["keys"][i] for i in order])
-        sets = [to_set(t["content"][i]) for i in order]
-        oph = OnePermutation(bins)
-        raw = [oph.sketch(s) for s in sets]
-        sketch = oph.densify(np.array([v for v, _ in raw]), np.array([f for _, f in raw]))
+        contents = [t["content"][i] for i in order]
+        sketch = items.sketches(contents)
         band = int(np.argmax(keys[0] == key[0].as_py()))
         apart = key[1].as_py() != key[2].as_py()
+        sets: dict[int, Any] = {}
         found: list[tuple[int, int]] = []
         for i in range(len(node)):
             rest = np.arange(i + 1, len(node))
@@ -99,8 +116,13 @@ def _inside(percent: int, bins: int, to_set: Callable[[bytes], np.ndarray]) -> C
                 rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= likely]
             if band and len(rest):  # the first bucket that a pair shares deals with it
                 rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
-            for j in rest:
-                if label[j] != label[i] and alike(sets[i], sets[j], percent):
+            for j in rest.tolist():
+                if label[j] == label[i]:
+                    continue
+                for x in (i, j):
+                    if x not in sets:
+                        sets[x] = items.to_set(contents[x])
+                if items.alike(sets[i], sets[j], percent):
                     found.append((int(node[i]), int(node[j])))
                     label[label == label[j]] = label[i]
         a, b = zip(*found, strict=True) if found else ((), ())
@@ -109,7 +131,7 @@ def _inside(percent: int, bins: int, to_set: Callable[[bytes], np.ndarray]) -> C
     return run
 
 
-def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], to_set: Callable[[bytes], np.ndarray], percent: int, bins: int, once: bool) -> DataFrame:
+def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], items: Items, percent: int, once: bool) -> DataFrame:
     """node and label of all nodes that links reach.
 
     heads: node and keys (one for each band); ``once``: a node has one row, with n, the size of its set, so that edges between sets of
@@ -128,7 +150,7 @@ def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], to_set: C
     nodes = shared.select("node").distinct()
     content = saved(contents(nodes), "contents")
     small_batches(heads.sparkSession, 100)
-    links = saved(verified(edges, content, percent, to_set), "links")
+    links = saved(verified(edges, content, percent, items), "links")
     labels = components(links)
 
     tagged = shared.where("node <> top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label")
@@ -141,5 +163,5 @@ def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], to_set: C
     open_nodes = again.select("node").distinct()
     detail = heads.select("node", "keys").join(open_nodes, "node", "left_semi")
     detail = (detail if once else detail.dropDuplicates(["node"])).join(content, "node")
-    more = saved(again.join(detail, "node").groupBy("key", "low", "high").applyInArrow(_inside(percent, bins, to_set), "a long, b long"), "more-links")
+    more = saved(again.join(detail, "node").groupBy("key", "low", "high").applyInArrow(_inside(percent, items), "a long, b long"), "more-links")
     return components(links.union(more)) if more.head(1) else labels

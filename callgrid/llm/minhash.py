@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, saved, small_batches
-from .linking import link, prefilter
+from .linking import Items, link, prefilter
 from .shingles import OnePermutation, band_keys, shingle_set, word_hashes
 
 #: Words of a shingle; bands and rows. A pair of similarity 0.85 shares no band with a probability of 2e-8, one of 0.8 of 3e-6.
@@ -75,10 +75,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int = WORDS) -> DataFrame:
     return chosen.mapInArrow(run, "node long, content binary").dropDuplicates(["node"])
 
 
-def stored_set(content: bytes) -> np.ndarray:
-    return np.frombuffer(content, np.uint64)
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document.
 
@@ -102,7 +98,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, bands: i
         small_batches(docs.sparkSession, 100)
         return full_sets(near, wanted, n)
 
-    labels = link(heads, contents, stored_set, percent, bands * rows, once=True)
+    labels = link(heads, contents, Items(bands * rows), percent, once=True)
     placed = member.select("row", "doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return placed.join(first, "label").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
