@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, saved, small_batches
+from .linking import prefilter
 from .shingles import _powers, mix, run_hashes, word_hashes
 
 #: Words of a window, and of the runs among which a window's node is chosen.
@@ -110,8 +111,12 @@ def _covered(n: int, spans: list[dict]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents (doc_id, mark, n_words, sha), the texts that may lose words (doc_id, mark, text), and the repeats by document (doc_id, mark, spans: words [s, e))."""
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, mark, n_words, sha) and the repeats of those that have any (doc_id, mark, spans: words [s, e))."""
     base = saved(_walked(docs, window, node), "paths")
     each = base.where("doc_id IS NOT NULL").select("doc_id", "mark", F.explode("paths").alias("p"))
     met = each.groupBy(F.col("p.node").alias("node")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node")
@@ -122,19 +127,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> t
     whole = placed.where("doc_id > first").select("doc_id", "mark", F.col("start").alias("s"), (F.col("start") + F.col("count") + (window - 1)).alias("e"))
     open_ = placed.where("doc_id = first").join(branches, "node", "left_semi")
     where = open_.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("node", "start", "count")).alias("where"))
-    some = saved(whole.select("doc_id", "mark").union(where.select("doc_id", "mark")).distinct(), "repeat-documents")
-    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    texts = saved(marked.join(some, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]), "repeat-texts")
     small_batches(docs.sparkSession, 200)
-    looked = saved(_windows(texts.join(where, ["doc_id", "mark"]), window), "branch-windows")
+    looked = saved(_windows(_marked(docs).join(where, ["doc_id", "mark"]), window), "branch-windows")
     shared = looked.groupBy("node", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     single = looked.join(shared, ["node", "hash"]).where("doc_id > first").select("doc_id", "mark", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
     spans = whole.union(single).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return base.drop("paths"), texts, spans
+    return base.drop("paths"), saved(spans, "repeats")
 
 
-def _cut(texts: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
-    kind = dict(texts.dtypes)["doc_id"]
+def _cut(docs: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
+    """doc_id, mark, number of words gone and what is left (the text or its digest), one row for each doc_id and text."""
+    kind = dict(docs.dtypes)["doc_id"]
+    texts = prefilter(_marked(docs), F.xxhash64("doc_id", "mark"), spans.select(F.xxhash64("doc_id", "mark").alias("k")), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,7 +151,7 @@ def _cut(texts: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
                 out.append(left.decode() if keep_text else hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "mark", "gone", "left"])
 
-    return texts.join(spans, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans").mapInArrow(run, f"doc_id {kind}, mark long, gone long, left string")
+    return texts.join(spans, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans").mapInArrow(run, f"doc_id {kind}, mark long, gone long, left string").dropDuplicates(["doc_id", "mark"])
 
 
 def removed(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
@@ -158,8 +162,8 @@ def removed(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFram
     lose none; rows with a null doc_id neither lose words nor count as earlier documents; rows that repeat a
     doc_id are not earlier than each other; an empty table gives no rows; other columns are ignored.
     """
-    base, texts, spans = repeated_spans(docs, window, node)
-    cut = _cut(texts, spans, keep_text=False)
+    base, spans = repeated_spans(docs, window, node)
+    cut = _cut(docs, spans, keep_text=False)
     return base.join(cut, ["doc_id", "mark"], "left").select(
         "doc_id", "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left", "sha").alias("kept_sha256")
     )
@@ -167,8 +171,8 @@ def removed(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFram
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
     """The documents with repeated words removed; a text that loses words has its others joined by one space. Columns stay."""
-    _, texts, spans = repeated_spans(docs, window, node)
-    cut = _cut(texts, spans, keep_text=True).withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark").withColumnRenamed("left", "__left").drop("gone")
+    _, spans = repeated_spans(docs, window, node)
+    cut = _cut(docs, spans, keep_text=True).withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark").withColumnRenamed("left", "__left").drop("gone")
     joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__id"]) & (F.xxhash64(docs["text"]) == cut["__mark"]), "left")
     return joined.select(*[F.coalesce("__left", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
