@@ -9,6 +9,7 @@ numbers the pieces of each length and looks their places up in the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,18 +27,18 @@ from .shingles import blocks, word_spans
 WINDOW, END = 4096, 2
 #: The pre-tokenizer of the vocabulary file (a fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of these characters only may be cut at white space (here: the bytes 9 to 13 and 32) and lower-cased by str.lower()
+#: Texts without any other characters than these may be cut at white space (here: the bytes 9 to 13 and 32) and lower-cased by str.lower()
 #: before they reach the tokenizer, as no normalisation crosses white space there; all others go to it whole.
-PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*+")
+ODD = re.compile("[^\t-\r\x20-\x7e\xa1-įı-ɏ‐-‧€]")
 #: Words, and pieces of words, whose ids a task keeps; bytes of text that it works on at once.
-MOST_WORDS, MOST_PARTS, AT_ONCE = 1 << 20, 300_000, 1 << 19
+MOST_WORDS, MOST_PARTS, AT_ONCE = 900_000, 250_000, 1 << 19
 
 
 class WordTable:
     """Hash of a word -> its ids, in flat arrays: an open hash table over the ends of each word's run of ids."""
 
     def __init__(self, most: int = MOST_WORDS):
-        self.most, self.mask = most, (1 << (4 * most - 1).bit_length()) - 1
+        self.most, self.mask = most, (1 << (2 * most - 1).bit_length()) - 1
         self.clear()
 
     def clear(self) -> None:
@@ -139,7 +140,7 @@ class WordTokenizer:
         return [raw[4 * a : 4 * b] for a, b in zip([0, *last[:-1]], last, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        easy = [bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        easy = [ODD.search(t) is None and "<|" not in t for t in texts]
         raw = [t.encode() for t, e in zip(texts, easy, strict=True) if e]
         fast = iter([x for part in blocks([len(t) for t in raw], AT_ONCE) for x in self.plain(raw[part.start : part.stop])])
         odd = iter(self.whole([t for t, e in zip(texts, easy, strict=True) if not e], "I"))
@@ -149,17 +150,23 @@ class WordTokenizer:
 _LOADED: dict[str, WordTokenizer] = {}
 
 
+def loaded(path: str) -> WordTokenizer:
+    """One tokenizer for each Python worker, whose tables serve all its tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokenizer(path)
+    return _LOADED[path]
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece: whole windows, then the remainder."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = WordTokenizer(path)
+        tokenizer = loaded(path)
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
-            for i, ids in enumerate(_LOADED[path].encode([t or "" for t in b.column(1).to_pylist()])):
+            for i, ids in enumerate(tokenizer.encode([t or "" for t in b.column(1).to_pylist()])):
                 ids += end.to_bytes(4, "little")
                 n = len(ids) // 4
                 for start in range(0, n, window):
