@@ -31,6 +31,11 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(x, F.lit(SPACE)) != "")
 
 
+def line_hash(line: Column) -> Column:
+    """The hash of a normalised line: trimmed, lower case, runs of white space as one space."""
+    return F.xxhash64(F.regexp_replace(F.lower(F.trim(line, F.lit(SPACE))), SPACE_CLASS + "+", " "))
+
+
 #: Words that repeated windows cover, from the array ``__h`` of window hashes: windows are sorted with their places, those
 #: equal to a neighbour are put back in order, and each adds the words that the one before has not covered.
 _REPEATED = f"""
@@ -53,7 +58,7 @@ def measures(docs: DataFrame) -> DataFrame:
     per_line = F.transform(
         "__l",
         lambda x: F.struct(
-            F.xxhash64(F.regexp_replace(F.lower(F.trim(x, F.lit(SPACE))), SPACE_CLASS + "+", " ")).alias("h"),
+            line_hash(x).alias("h"),
             F.size(F.split(F.trim(x, F.lit(SPACE)), SPACE_CLASS + "+", -1)).alias("n"),
         ),
     )
@@ -68,16 +73,9 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_left and row, an id of the row.
-
-    Null and empty texts have no words and fail the plain rules; a null host is a host like others; of rows
-    that repeat a doc_id each is judged; an empty table gives no rows; other columns are ignored. The first
-    document of a host (smallest doc_id) keeps a line that the others lose. Counts are summed before they
-    are shuffled, so a line or host with a third of all rows is no hot key; the lines are then joined with
-    the lines above the limit by an ordinary join, which adaptive execution splits.
-    """
-    narrow = docs.select("doc_id", "text", F.col("source").alias("host"))
+def _judged(docs: DataFrame, line_docs: int, line_share: float, least_left: float) -> DataFrame:
+    """The columns of verdicts(), and host, mark (a hash of the text) and gone, the hashes of the lines that the row loses (null for none)."""
+    narrow = docs.select("doc_id", "text", F.col("source").alias("host"), F.xxhash64("text").alias("mark"))
     base = saved(measures(narrow).drop("text").withColumn("row", F.monotonically_increasing_id()), "quality")
     hosts = base.groupBy("host").agg(F.count("*").alias("docs"))
     each = base.select("host", "doc_id", F.explode(F.array_distinct(F.transform("line_words", lambda x: x["h"]))).alias("h"))
@@ -85,20 +83,42 @@ def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LI
     common = counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(F.col("n") > F.col("docs") * line_share).select(counted["host"].alias("host_"), F.col("h").alias("h_"), "first")
     held = base.select("row", "host", "doc_id", F.explode("line_words").alias("x")).select("row", "host", "doc_id", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     met = (held["h"] == common["h_"]) & held["host"].eqNullSafe(common["host_"]) & ~held["doc_id"].eqNullSafe(common["first"])
-    lost = held.join(common, met).groupBy("row").agg(F.sum("n").alias("lost"))
+    lost = held.join(common, met).groupBy("row").agg(F.sum("n").alias("lost"), F.collect_set("h").alias("gone"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = base.drop("line_words", "host").join(lost, "row", "left").withColumn("n_left", left).withColumn("base_failed", failed)
+    out = base.drop("line_words").join(lost, "row", "left").withColumn("n_left", left).withColumn("base_failed", failed)
     depleted = F.col("lost").isNotNull() & ((F.col("n_left") < LEAST_WORDS) | (F.col("n_left") < least_left * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select(
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_left and row, an id of the row.
+
+    Null and empty texts have no words and fail the plain rules; a null host is a host like others; of rows
+    that repeat a doc_id each is judged; an empty table gives no rows; other columns are ignored. The first
+    document of a host (smallest doc_id) keeps a line that the others lose. Counts are summed before they
+    are shuffled, so a line or host with a third of all rows is no hot key; the lines are then joined with
+    the lines above the limit by an ordinary join, which adaptive execution splits.
+    """
+    return _judged(docs, line_docs, line_share, least_left).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left", "row"
     )
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all columns as they are; doc_ids that are null or repeated pass if one of their rows does."""
-    good = verdicts(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["__id"]), "left_semi")
+def keep_good(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The documents that pass, their texts without the lines above the limit; blank lines and all other columns stay.
+
+    doc_ids that are null or repeated pass if one of their rows does. A row is found again by doc_id, host and
+    the hash of its text, which settle what it loses; so texts are shuffled once.
+    """
+    judged = _judged(docs, line_docs, line_share, least_left)
+    judged = saved(judged.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("mark").alias("__mark"), "kept", F.col("gone").alias("__gone")), "verdicts")
+    good = judged.where("kept").select(F.col("__id").alias("__good")).distinct()
+    keep = judged.join(good, judged["__id"].eqNullSafe(good["__good"]), "left_semi").drop("kept").dropDuplicates(["__id", "__host", "__mark"])
+    met = docs["doc_id"].eqNullSafe(keep["__id"]) & docs["source"].eqNullSafe(keep["__host"]) & (F.xxhash64(docs["text"]) == keep["__mark"])
+    stays = F.filter(F.split("text", "\n", -1), lambda x: (F.trim(x, F.lit(SPACE)) == "") | ~F.array_contains("__gone", line_hash(x)))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    return docs.join(keep, met).withColumn("text", text).select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

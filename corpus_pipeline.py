@@ -23,8 +23,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; the others stay as they are."""
-    return keep_good(docs)
+    """Documents that the quality rules reject go; the others lose the lines above the limit of their host."""
+    return _counted(keep_good(docs))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,15 @@ def test_boilerplate_lines(spark):
     assert got[0] and not any(got[i] for i in range(1, 25)) and all(got[100 + i] for i in range(5)) and got[200]
 
 
+def test_boilerplate_lines_go(spark):
+    """Kept documents lose the line that others of their host repeat: not the first one, not in other hosts, not from a null host's."""
+    line, own = "Terms  of use apply to this page", lambda i: " ".join(f"own{i}w{j}" for j in range(40))
+    data = [(i, f"{own(i)}\n\n {line.lower() if i % 2 else line}\nlast {own(i + 1000)}", "a") for i in range(25)] + [(100, f"{own(100)}\n{line}", "b"), (101, f"{own(101)}\n{line}", None), (5, own(5), "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in rows(quality.keep_good(df)))
+    assert got == Counter((i, f"{own(i)}\n\nlast {own(i + 1000)}" if 0 < i < 25 and s == "a" else t, s) for i, t, s in data)
+
+
 def _base_spans(t):
     out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
