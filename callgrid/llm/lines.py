@@ -22,8 +22,8 @@ from .linking import Items, link, prefilter
 from .shingles import BLOCK, OnePermutation, _powers, band_keys, blocks, mix
 
 #: Characters of a shingle; percent of the union that must be common; bands and rows: a pair of similarity 0.85
-#: shares no band with a probability of 6e-4, one of 0.9 of 2e-5.
-SHINGLE, PERCENT, BANDS, ROWS = 8, 85, 10, 4
+#: shares no band with a probability of 7e-6, one of 0.9 of 2e-8.
+SHINGLE, PERCENT, BANDS, ROWS = 8, 85, 16, 4
 #: White space, and characters that str.split() takes for white space beyond it.
 SPLIT, ODD = re.compile("[\x20\x09-\x0d]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, over the odd cases of conftest."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from callgrid.llm import bpe, lines, minhash, packing, pii, quality, shard, substrings, tiff
+from callgrid.llm.shingles import OnePermutation, band_keys
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -248,3 +250,22 @@ def test_lines(docs, none):
     assert kept == len(total)
     assert (13, 5, (1, 2, 5)) in got or (13, 5, (1, 5)) in got
     assert lines.line_report(none).count() == 0 and lines.without_duplicate_lines(docs).count() == docs.count()
+
+
+def test_lines_at_the_threshold_share_a_band():
+    """Planted pairs from similarity 0.85 to 0.88: none is missed."""
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 20_000:
+        a = " ".join(r.choices(words, k=r.randint(16, 60)))
+        b = list(a)
+        for _ in range(r.randint(1, 3)):
+            b[r.randrange(len(b))] = "#"
+        b = "".join(b)
+        s, t = ({x[i : i + 8] for i in range(len(x) - 7)} for x in (a, b))
+        if 0.85 <= len(s & t) / len(s | t) < 0.88:
+            pairs.append((a.encode(), b.encode()))
+    oph = OnePermutation(lines.BANDS * lines.ROWS)
+    a, b = (band_keys(lines.line_sketches([p[i] for p in pairs], oph), lines.BANDS, lines.ROWS) for i in (0, 1))
+    assert (a == b).any(axis=1).all()
