@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,12 +59,12 @@ def pagerank(e: DataFrame, rounds: int = 30, alpha: float = 0.85, weighted: bool
     return rank
 
 
-def distances(e: DataFrame, pivots: DataFrame, most: int = 12) -> DataFrame:
+def distances(e: DataFrame, pivots: DataFrame) -> DataFrame:
     """Breadth-first levels from pivots (node): pivot, node, level, paths (number of shortest ones)."""
     b = saved(both_ways(e).select("src", "dst"), "bfs-edges")
     seen = saved(pivots.select(F.col("node").alias("pivot"), "node", F.lit(0).alias("level"), F.lit(1.0).alias("paths")), "bfs")
     front = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         near = front.join(b, front["node"] == b["src"]).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         front = saved(near.join(seen.select("pivot", "node"), ["pivot", "node"], "left_anti").select("pivot", "node", F.lit(level).alias("level"), "paths"), "front")
         if not front.head(1):
@@ -75,18 +77,31 @@ def pivots(e: DataFrame, k: int = 50) -> DataFrame:
     return nodes(e).orderBy(F.xxhash64("node"), "node").limit(k).select("node")
 
 
+#: Pivots whose levels are held at once.
+BATCH = 500
+
+
+def _batches(pivots: DataFrame) -> Iterator[DataFrame]:
+    kept = saved(pivots, "pivots")
+    parts = max(1, math.ceil(kept.count() / BATCH))
+    for i in range(parts):
+        yield kept.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == i)
+
+
 def closeness(e: DataFrame, from_: DataFrame) -> DataFrame:
     """Of the pivots: reached nodes over the sum of distances, scaled by the share of the graph that they reach."""
     n = nodes(e).count()
-    d = distances(e, from_).groupBy("pivot").agg((F.count("*") - 1).alias("reached"), F.sum("level").alias("total"))
+    d = None
+    for part in _batches(from_):
+        more = distances(e, part).groupBy("pivot").agg((F.count("*") - 1).alias("reached"), F.sum("level").alias("total"))
+        d = saved(more if d is None else d.union(more), "closeness")
     return d.where("total > 0").select(F.col("pivot").alias("node"), F.round(F.col("reached") / F.col("total") * F.col("reached") / max(n - 1, 1), 6).alias("closeness"))
 
 
-def betweenness(e: DataFrame, from_: DataFrame) -> DataFrame:
-    """Brandes' sums from the pivots, scaled to all nodes: exact if all nodes are pivots."""
+def _dependencies(e: DataFrame, from_: DataFrame) -> DataFrame:
+    """node and delta, the sum of Brandes' dependencies of the pivots on it."""
     b = saved(both_ways(e).select("src", "dst"), "bfs-edges")
     seen = saved(distances(e, from_), "levels")
-    k, n = from_.count(), nodes(e).count()
     deepest = seen.agg(F.max("level")).first()[0] or 0
     far = seen.select("pivot", F.col("node").alias("w"), F.col("level").alias("lw"), F.col("paths").alias("pw"))
     steps = saved(seen.select("pivot", F.col("node").alias("v"), F.col("level").alias("lv"), F.col("paths").alias("pv")).join(b, F.col("v") == b["src"]).join(far.withColumnRenamed("w", "dst"), ["pivot", "dst"]).where("lw = lv + 1").select("pivot", "v", F.col("dst").alias("w"), "lw", "pv", "pw"), "steps")
@@ -94,8 +109,18 @@ def betweenness(e: DataFrame, from_: DataFrame) -> DataFrame:
     for level in range(deepest, 0, -1):
         up = steps.where(F.col("lw") == level).join(delta, ["pivot", "w"]).groupBy("pivot", F.col("v").alias("w")).agg(F.sum(F.col("pv") / F.col("pw") * (1 + F.col("delta"))).alias("more"))
         delta = saved(delta.join(up, ["pivot", "w"], "left").select("pivot", "w", (F.col("delta") + F.coalesce("more", F.lit(0.0))).alias("delta")), "delta")
+    return delta.where("pivot <> w").groupBy(F.col("w").alias("node")).agg(F.sum("delta").alias("delta"))
+
+
+def betweenness(e: DataFrame, from_: DataFrame) -> DataFrame:
+    """Brandes' sums from the pivots, scaled to all nodes: exact if all nodes are pivots."""
+    k, n = from_.count(), nodes(e).count()
+    total = None
+    for part in _batches(from_):
+        more = _dependencies(e, part)
+        total = saved(more if total is None else total.union(more).groupBy("node").agg(F.sum("delta").alias("delta")), "dependencies")
     scale = (n / max(k, 1)) / max((n - 1) * (n - 2), 1)
-    return delta.where("pivot <> w").groupBy(F.col("w").alias("node")).agg(F.round(F.sum("delta") * scale, 6).alias("betweenness"))
+    return total.select("node", F.round(F.col("delta") * scale, 6).alias("betweenness"))
 
 
 def brokers(e: DataFrame, from_: DataFrame, n: int = 8) -> DataFrame:
@@ -253,26 +278,23 @@ def triads(e: DataFrame) -> DataFrame:
     return x.select("closed", (F.col("touch") - 2 * F.col("closed")).alias("open"), (F.col("m") * (F.col("n") - 2)).alias("total"))
 
 
-def core_numbers(e: DataFrame, most: int = 200) -> DataFrame:
-    """k-core by peeling: of each k the nodes that go before all have k + 1 contacts left."""
+def core_numbers(e: DataFrame) -> DataFrame:
+    """k-core by peeling: of each k the nodes that go before all have k + 1 contacts left; a k that takes no node is passed over."""
     left = saved(both_ways(e).select("src", "dst"), "core")
-    out = None
-    for k in range(1, most + 1):
-        while True:
-            low = saved(left.groupBy("src").agg(F.count("*").alias("d")).where(F.col("d") <= k).select("src"), "peel")
-            if not low.head(1):
-                break
-            named = low.select(F.col("src").alias("node"), F.lit(k).cast("long").alias("core"))
-            out = named if out is None else out.union(named)
-            rest = left.join(low, "src", "left_anti")
-            kept = saved(rest.join(low.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "core")
-            # nodes whose contacts all went have core k as well
-            bare = rest.select("src").distinct().join(kept.select("src").distinct(), "src", "left_anti")
-            out = out.union(bare.select(F.col("src").alias("node"), F.lit(k).cast("long").alias("core")))
-            left = kept
-        if not left.head(1):
-            break
-    return out
+    out, k = None, 0
+    while True:
+        least = left.groupBy("src").agg(F.count("*").alias("d")).agg(F.min("d")).first()[0]
+        if least is None:
+            return out
+        k = max(k, least)
+        low = saved(left.groupBy("src").agg(F.count("*").alias("d")).where(F.col("d") <= k).select("src"), "peel")
+        rest = left.join(low, "src", "left_anti")
+        kept = saved(rest.join(low.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "core")
+        # nodes whose contacts all went have core k as well
+        bare = rest.select("src").distinct().join(kept.select("src").distinct(), "src", "left_anti")
+        named = low.union(bare).select(F.col("src").alias("node"), F.lit(k).cast("long").alias("core"))
+        out = saved(named if out is None else out.union(named), "cores")
+        left = kept
 
 
 def roles(e: DataFrame, from_: DataFrame) -> DataFrame:

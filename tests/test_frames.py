@@ -52,6 +52,27 @@ def test_graph(spark):
     assert sum(ranks.values()) == pytest.approx(1) and ranks["c"] == pytest.approx(ranks["d"]) and ranks["c"] > ranks["a"]
 
 
+def test_graph_in_full(spark, monkeypatch):
+    """A chain longer than 12 steps, pivots in several batches, and a core of over 200."""
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 1) for i in range(14)], "src string, dst string, weight int")
+    c = {r["node"]: r["closeness"] for r in graph.closeness(chain, chain.where("src = 'n00'").select(F.col("src").alias("node"))).collect()}
+    assert c == {"n00": pytest.approx(14 / 105, abs=1e-6)}
+    monkeypatch.setattr(graph, "BATCH", 2)
+    path = chain.where("src < 'n03'")
+    b = {r["node"]: r["betweenness"] for r in graph.betweenness(path, graph.nodes(path).select("node")).collect()}
+    assert b == {"n00": 0, "n01": pytest.approx(2 / 3, abs=1e-6), "n02": pytest.approx(2 / 3, abs=1e-6), "n03": 0}
+    dense = spark.range(203).selectExpr("concat('m', id) AS src", "id").crossJoin(spark.range(203).selectExpr("concat('m', id) AS dst", "id AS other")).where("id < other").selectExpr("src", "dst", "1 AS weight")
+    assert [(r["core"], r["n"]) for r in graph.core_numbers(dense).groupBy("core").agg(F.count("*").alias("n")).collect()] == [(202, 203)]
+
+
+def test_closeness_of_every_node(spark):
+    """The registered query has a row for each node."""
+    from callgrid.plans import catalog
+
+    found = [catalog.QUERIES[q](spark, "/root/testdata/sf0.01").select("node") for q in ("I05_closeness", "I01_graph_nodes")]
+    assert sorted(r["node"] for r in found[0].collect()) == sorted(r["node"] for r in found[1].collect())
+
+
 def test_lcs():
     assert movement._lcs(list("abcbdab"), list("bdcaba")) == 4 and movement._lcs([], ["a"]) == 0
 
