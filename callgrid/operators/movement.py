@@ -96,13 +96,18 @@ def route_shingles(stream: DataFrame) -> DataFrame:
     return r.where("third IS NOT NULL").select("subject", "shingle").distinct()
 
 
-def shared_routes(stream: DataFrame, n: int = 15, most: int = SHARED_MOST, least: int = SHARED_LEAST) -> DataFrame:
-    """Pairs with at least three common runs of three towers; runs that over 30 subjects share say nothing and drop out, which also bounds the pairs."""
+def route_pairs(stream: DataFrame, most: int = SHARED_MOST, least: int = SHARED_LEAST) -> DataFrame:
+    """All pairs with at least ``least`` common runs of three towers; runs that over 30 subjects share say nothing and drop out, which also bounds the pairs."""
     s = route_shingles(stream)
     rare = s.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c").between(2, most)).select("shingle")
     s = s.join(rare, "shingle")
     g = s.select(F.col("subject").alias("a"), "shingle").join(s.select(F.col("subject").alias("b"), "shingle"), "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("segments"))
-    return g.where(F.col("segments") >= least).orderBy(F.desc("segments"), "a", "b").limit(n)
+    return g.where(F.col("segments") >= least)
+
+
+def shared_routes(stream: DataFrame, n: int = 15, most: int = SHARED_MOST, least: int = SHARED_LEAST) -> DataFrame:
+    """The pairs with most common runs."""
+    return route_pairs(stream, most, least).orderBy(F.desc("segments"), "a", "b").limit(n)
 
 
 def stays(stream: DataFrame, least: int = 2) -> DataFrame:
@@ -132,17 +137,18 @@ def zones(stream: DataFrame) -> DataFrame:
     return stream.where("tower_id IS NOT NULL").groupBy("subject", "tower_id").agg(F.count("*").alias("visits"))
 
 
-def lcs_similarity(stream: DataFrame, pairs: DataFrame, longest: int = 5000) -> DataFrame:
+def lcs_similarity(stream: DataFrame, pairs: DataFrame) -> DataFrame:
     """Longest common subsequence of tower runs, as a share of the shorter, of candidate pairs (a, b); never of all pairs.
 
-    A subject's towers form one list; beyond ``longest`` stops the list is cut into stretches that are compared in order and summed.
+    A subject's towers form one list, compared whole. Arrow batches are kept small, as routes may be long.
     """
+    stream.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     runs = tower_runs(stream).groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("start_time", "id", "tower_id"))).alias("s")).select("subject", F.transform("s", lambda x: x["tower_id"]).alias("route"))
     both = pairs.select("a", "b").join(runs.select(F.col("subject").alias("a"), F.col("route").alias("x")), "a").join(runs.select(F.col("subject").alias("b"), F.col("route").alias("y")), "b")
 
     def lcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "common": [sum(_lcs(list(x[i : i + longest]), list(y[i : i + longest])) for i in range(0, max(len(x), len(y)), longest)) for x, y in zip(pdf["x"], pdf["y"], strict=True)], "shorter": [min(len(x), len(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]})
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "common": [_lcs(list(x), list(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)], "shorter": [min(len(x), len(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]})
 
     return both.mapInPandas(lcs, "a string, b string, common long, shorter long").withColumn("similarity", F.round(F.col("common") / F.col("shorter"), 3))
 

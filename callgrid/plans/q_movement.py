@@ -49,7 +49,7 @@ register(
     "G11_position_fixes", lambda t: m.position_fixes(_stream(t), 240),
     ST + ", ww AS (SELECT *, CASE technology WHEN '5G' THEN 1.0 WHEN '4G' THEN 1/9.0 WHEN '3G' THEN 1/25.0 WHEN '2G' THEN 1/225.0 ELSE 1/25.0 END AS w, CAST(floor(t/14400) AS BIGINT) AS slot FROM st) SELECT subject, slot, count(DISTINCT tower_id) AS towers, round(sum(w*latitude)/sum(w),6) AS latitude, round(sum(w*longitude)/sum(w),6) AS longitude FROM ww GROUP BY 1,2 HAVING count(DISTINCT tower_id)>=2",
 )
-register("G12_lcs_similarity", lambda t: m.lcs_similarity(_stream(t), m.shared_routes(_stream(t), least=1)))
+register("G12_lcs_similarity", lambda t: m.lcs_similarity(_stream(t), m.route_pairs(_stream(t), least=1)))
 register("G13_zones", lambda t: m.zones(_stream(t)), ST + "SELECT subject, tower_id, count(*) AS visits FROM st GROUP BY 1,2")
 
 CO = ST + """, cp AS (SELECT CASE WHEN x.t<y.t OR (x.t=y.t AND x.id<y.id) THEN x.start_time ELSE y.start_time END AS first, least(x.subject,y.subject) AS a, greatest(x.subject,y.subject) AS b, CASE WHEN x.tower_id=y.tower_id THEN x.tower_id ELSE least(x.tower_id,y.tower_id)||'~'||greatest(x.tower_id,y.tower_id) END AS place

@@ -77,6 +77,16 @@ def test_lcs():
     assert movement._lcs(list("abcbdab"), list("bdcaba")) == 4 and movement._lcs([], ["a"]) == 0
 
 
+def test_lcs_of_all_pairs(spark):
+    """Seven subjects on one route are 21 pairs; a long route and its shifted copy have all but the shift in common."""
+    start = "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int)) AS start_time"
+    few = spark.range(5).crossJoin(spark.range(7).withColumnRenamed("id", "s")).selectExpr("id", "concat('s', s) AS subject", "concat('t', id) AS tower_id", start)
+    got = movement.lcs_similarity(few, movement.route_pairs(few, least=1)).collect()
+    assert len(got) == 21 and all((r["common"], r["similarity"]) == (5, 1.0) for r in got)
+    long = spark.range(6000).selectExpr("id", "'x' AS subject", "concat('t', id) AS tower_id", start).union(spark.range(6000).selectExpr("id", "'y' AS subject", "concat('t', id + 1000) AS tower_id", start))
+    assert [r["common"] for r in movement.lcs_similarity(long, movement.route_pairs(long, least=1)).collect()] == [5000]
+
+
 def test_ingest(spark, tmp_path):
     p = tmp_path / "feed.csv"
     p.write_text("Calling Number;B Party;Call Date;End Time;Duration;Site ID\n9811099887;981;01/02/2024 10:00:00;;60;T1\n98;97;2024-02-01 11:00;x;1.0;\n98;97;never;;5;T2\n")
