@@ -8,6 +8,8 @@ confidence then mark identifiers that no plain pattern finds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,33 +30,60 @@ LEFT, LEFT_CHARS = 2, 60
 #: Rounds of scoring; a trusted pattern introduces at least SUPPORT different seeds and has at least CONFIDENCE; an
 #: identifier is accepted with at least ACCEPT.
 ROUNDS, SUPPORT, CONFIDENCE, ACCEPT = 3, 5, 0.8, 0.8
+#: Matches of one text that are walked at once.
+BLOCK = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def folded(items: Column, empty: Column, step: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """The last state (at, out) of a walk over ``items`` from (``start``, ``empty``), where ``step`` appends to the array ``out``.
+
+    An append copies the array, so the walk goes block by block: n items cost about n * (BLOCK + n / BLOCK) copies, not n * n.
+    """
+
+    def walk(z: Column) -> Column:
+        one = lambda at, b: F.aggregate(F.slice(z, b * BLOCK + 1, F.lit(BLOCK)), F.struct(at.alias("at"), empty.alias("out")), step)
+        return F.aggregate(
+            F.sequence(F.lit(0), F.greatest((F.size(z) - 1) / BLOCK, F.lit(0)).cast("int")),
+            F.struct(F.lit(start).alias("at"), empty.alias("out")),
+            lambda acc, b: _let(one(acc["at"], b), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out"))),
+        )
+
+    return _let(items, walk)
+
+
+def apart(others: Column, taken: Column) -> Column:
+    """The ``others`` (start, end, value, left) that overlap none of ``taken`` (start, end): one walk up and one down."""
+    kind = "struct<start: int, own: boolean, end: int, value: string, left: string>"
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    row = lambda x, own: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), (x["value"] if own else F.lit(None).cast("string")).alias("value"), (x["left"] if own else F.lit(None).cast("string")).alias("left"))
+    every = F.array_sort(F.concat(F.transform(taken, lambda x: row(x, False)), F.transform(others, lambda x: row(x, True))))
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    # up: at is the greatest end of what is taken so far; down: at is the start of the last one taken
+    up = lambda acc, x: F.when(~x["own"], state(F.greatest(acc["at"], x["end"]), F.concat(acc["out"], F.array(x)))).otherwise(F.when(x["start"] < acc["at"], acc).otherwise(state(acc["at"], F.concat(acc["out"], F.array(x)))))
+    down = lambda acc, x: F.when(~x["own"], state(x["start"], acc["out"])).otherwise(F.when(acc["at"] < x["end"], acc).otherwise(state(acc["at"], F.concat(acc["out"], F.array(x)))))
+    left = folded(F.reverse(folded(every, none, up)["out"]), none, down, (1 << 31) - 1)["out"]
+    left = F.transform(left, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left")))
+    return F.when((F.size(others) == 0) | (F.size(taken) == 0), others).otherwise(left)
 
 
 def found(text: Column, pattern: str, guard: Column) -> Column:
     """start, end (code points, end exclusive), value and left (what stands before, up to the last match) of each match."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string, left: string>>)")
-    walked = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), hits.alias("h")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.when(x["h"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + F.length(x["p"]) + F.length(x["h"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["p"])).alias("start"),
-                            (acc["at"] + F.length(x["p"]) + F.length(x["h"])).alias("end"),
-                            x["h"].alias("value"),
-                            F.when(F.length(x["p"]) > LEFT_CHARS, F.substring(x["p"], -LEFT_CHARS, LEFT_CHARS)).otherwise(x["p"]).alias("left"),
-                        )
-                    ),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["h"])
+        left = F.when(F.length(x["p"]) > LEFT_CHARS, F.substring(x["p"], -LEFT_CHARS, LEFT_CHARS)).otherwise(x["p"])
+        match = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("value"), left.alias("left"))
+        return F.when(x["h"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(match)).alias("out")))
+
+    walked = folded(F.arrays_zip(pieces.alias("p"), hits.alias("h")), empty, step)["out"]
     return F.when(guard & F.coalesce(text.rlike(pattern), F.lit(False)), walked).otherwise(empty)
 
 
@@ -123,13 +152,16 @@ def spans(docs: DataFrame) -> DataFrame:
     seeds = base.select("row", F.explode(F.concat(*[_of_kind(k, "kind", "start", "end", "value", "left") for k in KINDS])).alias("x"))
     seeds = seeds.select("row", "x.*")
     taken = F.concat(*[F.transform(f"b_{k}", lambda x: F.struct(x["start"], x["end"])) for k in KINDS])
-    free = base.withColumn("taken", taken).select("row", F.explode(F.filter("others", lambda o: ~F.exists("taken", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))).alias("x"))
+    free = base.withColumn("taken", taken).select("row", F.explode(apart(F.col("others"), F.col("taken"))).alias("x"))
     free = free.select("row", F.lit(None).cast("string").alias("kind"), "x.*")
     met = saved(seeds.union(free).select("row", "kind", "start", "end", "value", _context(F.col("left")).alias("pattern")).where("pattern IS NOT NULL"), "contexts")
 
     # the graph: pattern - identifier, each pair once, whatever the number of copies of a text
     graph = met.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    trusted = graph.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.mode("kind").alias("kind_")).where(F.col("seeds") >= SUPPORT)
+    by_kind = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS]
+    # the kind of most seeds; of equal ones the first of KINDS
+    kind = F.greatest(*[F.struct(F.col(f"n_{k}").alias("n"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)])["kind"]
+    trusted = graph.groupBy("pattern").agg(F.count("kind").alias("seeds"), *by_kind).where(F.col("seeds") >= SUPPORT).select("pattern", kind.alias("kind_"))
     graph = saved(graph.join(trusted, "pattern").select("pattern", "value", "kind_", F.when(F.col("kind") == F.col("kind_"), 1.0).otherwise(0.0).alias("seed")), "pattern-graph")
     scores = graph.groupBy("value", "kind_").agg(F.max("seed").alias("score"))
     for _ in range(ROUNDS):
@@ -166,20 +198,34 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The documents with each span of personal data replaced by its kind in angle brackets; overlapping spans are one, named after the first. Columns stay."""
+    """The documents with each span of personal data replaced by its kind in angle brackets; overlapping spans are one, named after the first.
+
+    All columns stay, also where their names clash with inner ones, and all rows; null texts stay null; an empty table gives no rows.
+    """
     every = F.concat(*[_of_kind(k, "start", "end", "kind") for k in KINDS], F.transform("more", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     hit = spans(docs).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.array_sort(every).alias("__spans")).where(F.size("__spans") > 0)
-    both = docs.join(hit.dropDuplicates(["__id", "__mark"]), docs["doc_id"].eqNullSafe(hit["__id"]) & (F.xxhash64(docs["text"]) == hit["__mark"]), "left")
-    text = docs["text"]
-    cut = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">")))).alias("out"))
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)),
-    )
-    return both.select(*[F.when(F.col("__spans").isNull(), text).otherwise(cut).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes
+    of = {c: docs[f"c{i}"] for i, c in enumerate(names)}
+    both = docs.join(hit.dropDuplicates(["__id", "__mark"]), of["doc_id"].eqNullSafe(hit["__id"]) & (F.xxhash64(of["text"]) == hit["__mark"]), "left")
+    text = of["text"]
+    empty = F.expr("cast(array() as array<struct<a: int, b: int, kind: string>>)")
+
+    def step(acc: Column, x: Column) -> Column:  # what stays lies between the end of one span and the start of the next
+        kept = F.struct(acc["at"].alias("a"), x["start"].alias("b"), x["kind"].alias("kind"))
+        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
+            F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(kept)).alias("out"))
+        )
+
+    def block(z: Column, b: Column) -> Column:
+        """A stretch of text for BLOCK spans, so that no substring is looked for from the start of the text."""
+        some = F.slice(z, b * BLOCK + 1, F.lit(BLOCK))
+        cut = lambda v, seg: F.transform(v, lambda x: F.concat(F.substr(seg, x["a"] - v[0]["a"] + 1, x["b"] - x["a"]), F.lit("<"), x["kind"], F.lit(">")))
+        return _let(some, lambda v: _let(F.substr(text, v[0]["a"] + 1, F.element_at(v, -1)["b"] - v[0]["a"]), lambda seg: F.array_join(cut(v, seg), "")))
+
+    blocks = lambda z: F.transform(F.sequence(F.lit(0), ((F.size(z) - 1) / BLOCK).cast("int")), lambda b: block(z, b))
+    cut = _let(folded(F.col("__spans"), empty, step), lambda x: F.concat(F.array_join(_let(x["out"], blocks), ""), F.substr(text, x["at"] + 1)))
+    return both.select(*[F.when(F.col("__spans").isNull(), text).otherwise(cut).alias("text") if c == "text" else of[c].alias(c) for c in names])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
