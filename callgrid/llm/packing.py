@@ -28,7 +28,8 @@ WINDOW, END = 4096, 2
 #: The pre-tokenizer of the vocabulary file (a fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts without any other characters than these may be cut at white space (here: the bytes 9 to 13 and 32) and lower-cased by str.lower()
-#: before they reach the tokenizer, as no normalisation crosses white space there; all others go to it whole.
+#: before they reach the tokenizer, as no normalisation crosses white space there; all others, and those that may hold
+#: a special token's string, go to it whole.
 ODD = re.compile("[^\t-\r\x20-\x7e\xa1-įı-ɏ‐-‧€]")
 #: Words, and pieces of words, whose ids a task keeps; bytes of text that it works on at once.
 MOST_WORDS, MOST_PARTS, AT_ONCE = 900_000, 250_000, 1 << 19
@@ -85,7 +86,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words, self.rest, self.parts = WordTable(), WordTable(MOST_WORDS // 4), Cache(MOST_PARTS)
 
     def whole(self, texts: list[str], kind: str) -> list[bytes]:
