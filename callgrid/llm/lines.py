@@ -8,7 +8,6 @@ this folder. Of each component one line stays: the first by doc_id and place.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,20 +16,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, small_batches
+from .common import free_name, read, salted_join, saved, small_batches
 from .linking import Items, link, prefilter
-from .shingles import BLOCK, OnePermutation, _powers, band_keys, blocks, mix
+from .shingles import OnePermutation, _powers, band_keys, blocks, mix
 
-#: Characters of a shingle; percent of the union that must be common; bands and rows: a pair of similarity 0.85
-#: shares no band with a probability of 7e-6, one of 0.9 of 2e-8.
-SHINGLE, PERCENT, BANDS, ROWS = 8, 85, 16, 4
-#: White space, and characters that str.split() takes for white space beyond it.
-SPLIT, ODD = re.compile("[\x20\x09-\x0d]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Characters of a shingle; percent of the union that must be common; bands and rows: a pair of similarity 0.8
+#: shares no band with a probability of 2e-4, one of 0.85 of 7e-6.
+SHINGLE, PERCENT, BANDS, ROWS = 8, 80, 16, 4
+#: Characters whose shingles are hashed at once: arrays that stay in the cache.
+HASHED = 1 << 15
 
 
-def normalised(line: str) -> str:
-    """Trimmed, runs of the white space of SPACE as one space, lower case."""
-    return " ".join([w for w in SPLIT.split(line.lower()) if w]) if ODD.search(line) else " ".join(line.lower().split())
+def normalised_lines(text: str | None) -> list[bytes]:
+    """The lines of a text in UTF-8: trimmed, runs of the six characters of SPACE as one space, lower case; blank lines are empty."""
+    return [b" ".join(line.split()) for line in (text or "").lower().encode().split(b"\n")]
 
 
 def shingle_hashes(points: np.ndarray, k: int) -> np.ndarray:
@@ -50,29 +49,25 @@ def line_set(content: bytes, k: int = SHINGLE) -> np.ndarray:
 
 def line_sketches(lines: list[bytes], oph: OnePermutation, k: int = SHINGLE) -> np.ndarray:
     """The densified sketch of each line, none of them empty."""
-    values, full = [], []
-    for part in blocks([len(x) for x in lines], BLOCK // 2):  # so lines times bins stay under 2**26
+    none = np.uint64((1 << 64) - 1)
+    values = [np.zeros((0, oph.bins), np.uint64)]
+    for part in blocks([len(x) for x in lines], HASHED):
         texts = [lines[i].decode() for i in part]
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(points)) - starts[owner]
-        whole = place <= np.maximum(sizes - k, 0)[owner]
-        h = shingle_hashes(points, k)
-        for i in np.flatnonzero(sizes < k):  # a short line is one shingle, without what follows it
-            h[starts[i]] = line_set(texts[i].encode(), k)[0]
-        owner, h = owner[whole], h[whole]
-        bin_ = (h >> np.uint64(32)) * np.uint64(oph.bins) >> np.uint64(32)
-        # the least value of each line and bin: both in one number, sorted, and of each bin the first
-        keyed = np.sort((owner.astype(np.uint64) * np.uint64(oph.bins) + bin_ << np.uint64(38)) | (h & np.uint64((1 << 38) - 1)))
-        slot = (keyed >> np.uint64(38)).astype(np.int64)
-        first = np.flatnonzero(np.diff(slot, prepend=-1))
-        least, filled = np.zeros(len(sizes) * oph.bins, np.uint64), np.zeros(len(sizes) * oph.bins, bool)
-        least[slot[first]], filled[slot[first]] = keyed[first], True
-        values.append((least & np.uint64((1 << 38) - 1)).reshape(-1, oph.bins))
-        full.append(filled.reshape(-1, oph.bins))
-    return np.concatenate([oph.densify(v, f) for v, f in zip(values, full, strict=True)]) if values else np.zeros((0, oph.bins), np.uint64)
+        up, down = _powers(len(points) + 1)
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points + np.uint32(1)) * up[: len(points)], out=total[1:])
+        many = np.maximum(sizes - k + 1, 1)  # shingles of each line: a short line is one
+        owner = np.repeat(np.arange(len(sizes)), many)
+        at = np.arange(len(owner)) + ((np.cumsum(sizes) - sizes) - (np.cumsum(many) - many))[owner]
+        h = mix((total[at + np.minimum(sizes, k)[owner]] - total[at]) * down[at])
+        slot = owner * oph.bins + ((h >> np.uint64(32)) * np.uint64(oph.bins) >> np.uint64(32)).view(np.int64)
+        least = np.full(len(sizes) * oph.bins, none)
+        np.minimum.at(least, slot, h)
+        values.append(least.reshape(-1, oph.bins))
+    every = np.concatenate(values)
+    return oph.densify(every, every != none)
 
 
 class LineItems(Items):
@@ -82,9 +77,6 @@ class LineItems(Items):
         line = content.decode()
         return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
-    def sketches(self, contents: list[bytes]) -> np.ndarray:
-        return line_sketches(contents, OnePermutation(self.bins))
-
     def common(self, a: set[str], b: set[str]) -> int:
         return len(a & b)
 
@@ -96,66 +88,55 @@ def _node(line: bytes) -> int:
 
 
 def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, mark, nodes (hash of each line, null where blank), fresh (node and keys of lines new to the task's batch)."""
+    """doc_id, mark, nodes (hash of each line, null where blank), fresh (node and keys of lines new to the task's batch) and raw (those lines)."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         oph = OnePermutation(bands * rows)
         for b in batches:
-            nodes, counts, known, texts, homes = [], [0], set(), [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            nodes, counts, known, texts, new = [], [0], set(), [], []
+            for text in b.column(2).to_pylist():
                 found = []
-                for line in (text or "").split("\n"):
-                    raw = normalised(line).encode()
+                for raw in normalised_lines(text):
                     node = _node(raw) if raw else None
                     found.append(node)
                     if raw and node not in known:
                         known.add(node)
                         texts.append(raw)
-                        homes.append((i, node))
+                        new.append(node)
                 nodes.append(found)
-                counts.append(len(homes))
+                counts.append(len(new))
             keys = band_keys(line_sketches(texts, oph), bands, rows).view(np.int64)
             fresh = pa.StructArray.from_arrays(
-                [pa.array([n for _, n in homes], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(homes) + 1) * bands, pa.int32()), pa.array(keys.ravel()))], names=["node", "keys"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(nodes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), fresh)], names=["doc_id", "mark", "nodes", "fresh"]
+                [pa.array(new, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * bands, pa.int32()), pa.array(keys.ravel()))], names=["node", "keys"]
             )
+            ends = pa.array(counts, pa.int32())
+            columns = [pa.array(nodes, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, fresh), pa.ListArray.from_arrays(ends, pa.array(texts, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "mark", "nodes", "fresh", "raw"])
 
-    schema = f"doc_id {kind}, mark long, nodes array<long>, fresh array<struct<node: long, keys: array<long>>>"
+    schema = f"doc_id {kind}, mark long, nodes array<long>, fresh array<struct<node: long, keys: array<long>>>, raw array<binary>"
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, schema)
 
 
-def _each_line(docs: DataFrame) -> DataFrame:
-    """node and content of the lines, each once in a task's batch."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            each = {_node(raw): raw for text in b.column(0).to_pylist() for line in (text or "").split("\n") if (raw := normalised(line).encode())}
-            yield pa.RecordBatch.from_arrays([pa.array(list(each), pa.int64()), pa.array(list(each.values()), pa.binary())], names=["node", "content"])
-
-    return docs.select("text").mapInArrow(run, "node long, content binary")
-
-
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, mark, n_lines), and the places (from 0) of the lines that each loses (doc_id, mark, gone)."""
     base = saved(_sketched(docs, bands, rows), "lines")
     heads = base.select(F.explode("fresh").alias("f")).select("f.node", "f.keys")
 
     def contents(nodes: DataFrame) -> DataFrame:
-        near = prefilter(_each_line(docs), F.col("node"), nodes, "node")
-        return near.dropDuplicates(["node"]).join(nodes, "node", "left_semi").select("node", "content")
+        each = base.select(F.explode(F.arrays_zip(F.col("fresh.node").alias("node"), F.col("raw").alias("content"))).alias("x")).select("x.node", "x.content")
+        near = prefilter(each, F.col("node"), nodes, "node")
+        return near.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"))
 
-    labels = link(heads, contents, LineItems(bands * rows), percent, once=False)
+    labels = link(heads, contents, LineItems(bands, rows), percent, once=False)
     placed = base.select("doc_id", "mark", F.posexplode("nodes").alias("at", "node")).where("node IS NOT NULL")
     named = placed.join(labels, "node", "left").select(
         "doc_id", "mark", "at", F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "at").alias("where")
     )
-    first = named.groupBy("label").agg(F.min("where").alias("first"), F.max("where").alias("last")).where("first < last").drop("last")
-    gone = named.join(first, "label").where("where > first").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("gone"))
+    first = named.groupBy("label").agg(F.min("where").alias("first"), F.max("where").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
+    lost = salted_join(named, saved(first, "first-lines"), "label", "many").where("where > first")
+    gone = saved(lost.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("gone")), "lost-lines")
     return base.select("doc_id", "mark", F.size(F.filter("nodes", lambda x: x.isNotNull())).cast("long").alias("n_lines")), gone
 
 
@@ -176,9 +157,9 @@ def line_report(docs: DataFrame) -> DataFrame:
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     """The documents with one line kept of each component; blank lines and all columns stay, and no document goes."""
     _, gone = duplicate_lines(docs)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "gone")
     small_batches(docs.sparkSession)
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__mark"]), "left").drop("__id", "__mark")
+    met = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["mark"])
+    both = docs.join(gone, met, "left").select(*[docs[c] for c in docs.columns], gone["gone"].alias(free_name(docs, "gone")))
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

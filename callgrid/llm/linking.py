@@ -3,13 +3,14 @@
 1. Each bucket gives a star: an edge from its first member to each other. Edges are verified on the full
    sets, and verified links are joined to components.
 2. A bucket whose other members still lie in several components is looked through once more, as two of them
-   may be alike while neither is like the first: inside a task, sketches of members of different components
-   are compared, and those that may be alike are verified on the full sets. A link makes two components one
-   there and then, so fewer links leave the task than the bucket has members.
-   Large buckets are dealt in chunks, a task for each pair of chunks.
+   may be alike while neither is like the first: sketches of members of different components are compared,
+   and those that may be alike are verified on the full sets. A link makes two components one there and then,
+   so fewer links leave the task than the bucket has members. Members of a large bucket are dealt in chunks:
+   those of its largest component meet only the chunks of the others, never each other.
 
 So the edges are as many as the bucket entries, and no link between items of one bucket is lost. Items are heads
-(node, keys); what a node's set is made of comes from ``contents`` and is turned into a set inside tasks.
+(node, keys); what a node's set is made of comes from ``contents`` and is turned into a set inside tasks. Keys hold
+the sketches themselves, so no second copy of those is kept.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import saved, small_batches, split_skew
 from .components import components
-from .shingles import OnePermutation
+from .shingles import likeness
 
 #: Members of a bucket that go to one chunk.
 CHUNK_ROWS = 4096
@@ -37,7 +38,8 @@ def prefilter(df: DataFrame, key: Column, wanted: DataFrame, column: str, most_b
     """The rows of ``df`` whose ``key`` (long) may be among ``wanted[column]``: all that are, and a few others.
 
     A bitmap of at most ``most_bits`` bits (1 MB) is built by Spark and broadcast as a table of 64-bit words, so
-    long rows that a join would drop anyway are not shuffled. With more keys than bits it drops less, never more.
+    long rows that a join would drop anyway are not shuffled. With more keys than bits it drops less, never more;
+    the table never has more than ``most_bits`` / 64 rows of 16 bytes, whatever the input.
     """
     bits = most_bits
     place = lambda c: F.expr(f"pmod(xxhash64({c}), {bits})")
@@ -51,17 +53,12 @@ def prefilter(df: DataFrame, key: Column, wanted: DataFrame, column: str, most_b
 class Items:
     """How contents of nodes are compared: as sorted arrays of hashes, which the contents are already."""
 
-    def __init__(self, bins: int):
-        self.bins = bins
+    def __init__(self, bands: int, rows: int):
+        self.bands, self.rows = bands, rows
 
     def to_set(self, content: bytes) -> Any:
         return np.frombuffer(content, np.uint64)
 
-    def sketches(self, contents: list[bytes]) -> np.ndarray:
-        oph = OnePermutation(self.bins)
-        raw = [oph.sketch(self.to_set(c)) for c in contents]
-        return oph.densify(np.array([v for v, _ in raw]), np.array([f for _, f in raw]))
-
     def common(self, a: Any, b: Any) -> int:
         small, large = (a, b) if len(a) < len(b) else (b, a)
         at = np.searchsorted(large, small)
@@ -91,42 +88,87 @@ def verified(edges: DataFrame, contents: DataFrame, percent: int, items: Items)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _inside(percent: int, items: Items) -> Callable[[tuple, pa.Table], pa.Table]:
-    """For one pair of chunks of a bucket: links that make one component of members of several."""
+def _merged(label: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """The labels after the components of each pair of labels are made one."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    old = np.array(sorted(up), np.int64)
+    at = np.minimum(np.searchsorted(old, label), len(old) - 1)
+    return np.where(old[at] == label, np.array([top(x) for x in old.tolist()])[at], label)
+
+
+def _inside(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of groups (key, low, high), which follow each other in a task: links that make one component of members of several.
+
+    Rows of all groups at hand are compared at once, each with the one that stands d rows further on in its group, for d = 1, 2, ...
+    """
     share = percent / 100
-    likely = share - 5.2 * math.sqrt(share * (1 - share) / items.bins)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        order = np.argsort(t["node"])
-        node, label, chunk = (np.array(t[c])[order] for c in ("node", "label", "chunk"))
-        keys = np.array([t["keys"][i] for i in order])
-        contents = [t["content"][i] for i in order]
-        sketch = items.sketches(contents)
-        band = int(np.argmax(keys[0] == key[0].as_py()))
-        apart = key[1].as_py() != key[2].as_py()
-        sets: dict[int, Any] = {}
-        found: list[tuple[int, int]] = []
-        for i in range(len(node)):
-            rest = np.arange(i + 1, len(node))
-            rest = rest[label[rest] != label[i]]
-            if apart:
-                rest = rest[chunk[rest] != chunk[i]]
-            if len(rest):
-                rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= likely]
-            if band and len(rest):  # the first bucket that a pair shares deals with it
-                rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
-            for j in rest.tolist():
-                if label[j] == label[i]:
-                    continue
-                for x in (i, j):
-                    if x not in sets:
-                        sets[x] = items.to_set(contents[x])
-                if items.alike(sets[i], sets[j], percent):
-                    found.append((int(node[i]), int(node[j])))
-                    label[label == label[j]] = label[i]
+    likely = share - 5.2 * math.sqrt(share * (1 - share) / (items.bands * items.rows))
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        key, low, high, node, label, chunk = (t.column(c).to_numpy() for c in ("key", "low", "high", "node", "label", "chunk"))
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, items.bands)
+        content = t.column("content")
+        new = np.flatnonzero((np.diff(key, prepend=key[0]) != 0) | (np.diff(low, prepend=low[0]) != 0) | (np.diff(high, prepend=high[0]) != 0))
+        group = np.zeros(len(key), np.int64)
+        group[new] = 1
+        group = np.cumsum(group)
+        left = np.searchsorted(group, group, "right") - np.arange(len(group))  # rows from here to the end of the group
+        found, sets, d = [], {}, 0
+        at = np.arange(len(group))
+        while len(at := at[left[at] > (d := d + 1)]):
+            i, j = at, at + d
+            some = (label[i] != label[j]) & ((low[i] == high[i]) | (chunk[i] != chunk[j]))
+            i, j = i[some], j[some]
+            for s in range(0, len(i), 4096):
+                a, b = i[s : s + 4096], j[s : s + 4096]
+                near = likeness(keys[a], keys[b], items.rows) >= likely
+                a, b = a[near], b[near]
+                # the first bucket that a pair shares deals with it
+                same = keys[a] == keys[b]
+                mine = keys[a, same.argmax(axis=1)] == key[a] if len(a) else near[:0]
+                joined = []
+                for x, y in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
+                    for z in (x, y):
+                        if z not in sets:
+                            sets[z] = items.to_set(content[z].as_py())
+                    if items.alike(sets[x], sets[y], percent):
+                        joined.append((int(label[x]), int(label[y])))
+                        found.append((int(node[x]), int(node[y])))
+                if joined:
+                    label = _merged(label, joined)
+            sets.clear()
         a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(i).to_numpy() for i in range(3)]
+            tail = np.logical_and.reduce([x == x[-1] for x in ids])
+            cut = int(np.flatnonzero(~tail)[-1]) + 1 if not tail.all() else 0
+            if last is not None and last != tuple(int(x[0]) for x in ids):
+                yield links(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield links(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+            last = tuple(int(x[-1]) for x in ids)
+        if held:
+            yield links(pa.Table.from_batches(held))
 
     return run
 
@@ -137,31 +179,48 @@ def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], items: It
     heads: node and keys (one for each band); ``once``: a node has one row, with n, the size of its set, so that edges between sets of
     too unlike sizes drop out before the sets are fetched. contents gives node and content of a table of nodes.
     """
+    split_skew(heads.sparkSession)
     sizes = ["n"] if once else []
     entries = heads.select("node", *sizes, F.explode("keys").alias("key"))
     stars = entries.groupBy("key").agg(F.min("node").alias("top"), F.max("node").alias("last"), *[F.min_by("n", "node").alias("top_n") for _ in sizes]).where("top < last").drop("last")
     stars = saved(stars, "stars")
     shared = prefilter(entries, F.col("key"), stars, "key", KEY_BITS).join(stars, "key")
-    shared = saved(shared if once else shared.dropDuplicates(["key", "node"]), "buckets")
+    shared = saved(shared if once else shared.dropDuplicates(["key", "node"]), "buckets", [stars])
     edges = shared.where("node <> top")
     if once:
         edges = edges.where(f"100 * least(n, top_n) >= {percent} * greatest(n, top_n)")
     edges = edges.select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
     nodes = shared.select("node").distinct()
     content = saved(contents(nodes), "contents")
-    small_batches(heads.sparkSession, 100)
+    small_batches(heads.sparkSession, 1000)
     links = saved(verified(edges, content, percent, items), "links")
     labels = components(links)
 
     tagged = shared.where("node <> top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label")
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("many")).where("least < most")
-    chunks = F.ceil(F.col("many") / CHUNK_ROWS).cast("int")
-    again = tagged.join(mixed.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "label", "chunk"
+    tagged = saved(tagged, "tagged", [shared])
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    parts = tagged.join(mixed, "key").groupBy("key", "label").agg(F.count("*").alias("size"))
+    parts = parts.groupBy("key").agg(F.sum("size").alias("many"), F.max("size").alias("size"), F.max_by("label", F.struct("size", "label")).alias("main"))
+    in_chunks = lambda c: F.ceil(F.col(c) / CHUNK_ROWS)
+    parts = parts.withColumn("split", F.col("many") > CHUNK_ROWS).select(
+        "key", "main", "split", F.when(F.col("split"), F.ceil((F.col("many") - F.col("size")) / CHUNK_ROWS)).otherwise(1).alias("others"), F.when(F.col("split"), in_chunks("size")).otherwise(0).alias("mains")
     )
-    open_nodes = again.select("node").distinct()
-    detail = heads.select("node", "keys").join(open_nodes, "node", "left_semi")
+    again = tagged.join(parts, "key").withColumn("is_main", F.expr("split AND label = main"))
+    again = again.withColumn("chunk", F.expr("cast(IF(is_main, others + pmod(xxhash64(node), mains), pmod(xxhash64(node), others)) as int)"))
+    again = again.withColumn("other", F.explode(F.expr("sequence(0, cast(IF(is_main, others, others + mains) as int) - 1)")))
+    again = again.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "label", "chunk")
+    detail = heads.select("node", "keys").join(again.select("node").distinct(), "node", "left_semi")
     detail = (detail if once else detail.dropDuplicates(["node"])).join(content, "node")
-    more = saved(again.join(detail, "node").groupBy("key", "low", "high").applyInArrow(_inside(percent, items), "a long, b long"), "more-links")
-    return components(links.union(more)) if more.head(1) else labels
+    groups = again.join(detail, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    groups = groups.select("key", "low", "high", "node", "label", "chunk", "keys", "content")
+    more = saved(groups.mapInArrow(_inside(percent, items), "a long, b long"), "more-links", [tagged])
+    if not more.head(1):
+        return labels
+    # the components that the new links make one: few, so their labels are joined in
+    named = labels.select(F.col("node"), "label")
+    ends = more.join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    joined = components(saved(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), "label-links"))
+    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    moved = labels.join(joined, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    alone = joined.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("now").alias("label"))
+    return saved(moved.union(alone), "labels")

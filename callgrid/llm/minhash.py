@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, small_batches
+from .common import read, salted_join, saved, small_batches
 from .linking import Items, link, prefilter
 from .shingles import OnePermutation, band_keys, shingle_set, word_hashes
 
@@ -86,9 +86,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, bands: i
     rows; other columns are ignored.
     """
     base = saved(sketches(docs, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = base.where("n_shingles > 0").groupBy("class1", "class2", "n_shingles").agg(F.min("row").alias("node"))
-    member = base.select("row", "doc_id", "n_shingles", "class1", "class2").join(classes, ["class1", "class2", "n_shingles"], "left")
-    member = saved(member.withColumn("node", F.coalesce("node", "row")), "members")
+    own = F.when(F.col("n_shingles") > 0, F.struct("class1", "class2", "n_shingles", F.lit(0).cast("long").alias("row"))).otherwise(F.struct("class1", "class2", "n_shingles", "row"))
+    narrow = base.select("row", "doc_id", "n_shingles", own.alias("class"))
+    classes = saved(narrow.groupBy("class").agg(F.min("row").alias("node"), F.count("*").alias("many")), "classes")
+    member = saved(salted_join(narrow, classes, "class", "many").drop("class", "many"), "members", [classes])
     heads = base.join(member.where("row = node").select("row"), "row", "left_semi").where("n_shingles > 0")
     heads = heads.select(F.col("row").alias("node"), "doc_id", "class1", "class2", F.col("n_shingles").alias("n"), "keys")
 
@@ -98,10 +99,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, bands: i
         small_batches(docs.sparkSession, 100)
         return full_sets(near, wanted, n)
 
-    labels = link(heads, contents, Items(bands * rows), percent, once=True)
-    placed = member.select("row", "doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(first, "label").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    labels = link(heads, contents, Items(bands, rows), percent, once=True)
+    placed = saved(member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    first = saved(placed.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many")), "component-firsts")
+    return salted_join(placed, first, "label", "many").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

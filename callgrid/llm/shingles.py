@@ -112,12 +112,23 @@ class OnePermutation:
         return out
 
 
+def _band_salts(bands: int) -> np.ndarray:
+    return mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def band_keys(dense: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key for each band of each row; bands do not share keys."""
-    total = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(dense), 1)) * np.uint64(0xD6E8FEB86659FD93)
+    """One key for each band of each row: 64 / rows bits of each of its values, so a row's keys also are its sketch; bands do not share keys."""
+    width = 64 // rows
+    total = np.zeros((len(dense), bands), np.uint64)
     for k in range(rows):
-        total = mix(total * np.uint64(_BASE) + dense[:, k : bands * rows : rows])
-    return total
+        total = (total << np.uint64(width)) | (mix(dense[:, k : bands * rows : rows]) >> np.uint64(64 - width))
+    return total ^ _band_salts(bands)
+
+
+def likeness(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """The share of equal values in the sketches whose keys are the rows of ``a`` and ``b`` (signed or not)."""
+    kind = {1: np.uint64, 2: np.uint32, 4: np.uint16, 8: np.uint8}[rows]
+    return ((a ^ b).view(kind) == 0).mean(axis=1)
 
 
 def blocks(sizes: list[int], limit: int = BLOCK) -> Iterator[range]:
