@@ -1,14 +1,15 @@
 """Substring dedup over a compacted de Bruijn graph of words.
 
-Windows of 50 words are walked as edges between runs of words. Each window is filed under the least hash of
-the 16-word runs in it (its node), so equal windows have one node wherever they are; consecutive windows with
-one node form a path that does not branch, and a document shrinks to a row for each path, one in about 18
-words. Spark joins then find
-
-* the nodes that occur in two documents or more; all else drops out at once;
-* the paths that are equal in full: those of later documents are repeats, whatever their length;
-* the nodes where unlike paths meet (branches): only there, and only for one document of each path, the source
-  is read again at the path's coordinates and single windows are compared.
+1. Seeds: each window of 50 words is filed under the least hash of its 16-word runs, so equal windows have one
+   seed wherever they are. Seeds that occur in one document only drop out at once; what is left of a document
+   are stretches whose windows may be repeated.
+2. Graph: the 16-word runs of the stretches are edges between the 15-word runs in them. Spark counts the edges
+   into and out of each node. A node is a junction if it has unlike edges on a side, or if a stretch begins or
+   ends there; all other nodes lie inside paths that do not branch.
+3. Compaction: joins of the steps with the junctions give each stretch its cuts. Between two cuts lies one
+   path, the same in whatever document it occurs, so windows that start on one path and end on one path form a
+   range, and a repeat of any length is a row for each such range.
+4. Verification: the words of each range are read at their source coordinates and compared by their SHA-256.
 
 What is found is laid over the sources, and the covered words are removed.
 """
@@ -20,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, small_batches
+from .common import read, salted_join, saved, small_batches, split_skew
 from .linking import prefilter
-from .shingles import _powers, mix, run_hashes, word_hashes
+from .shingles import run_hashes, word_hashes, word_spans
 
-#: Words of a window, and of the runs among which a window's node is chosen.
-WINDOW, NODE = 50, 16
+#: Words of a window, and of an edge; seeds are edges too.
+WINDOW, EDGE = 50, 16
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -40,18 +42,14 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if width > step else h
 
 
-def paths(words: np.ndarray, window: int, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """node, path, start and count of windows of each path of a document."""
+def seeds(words: np.ndarray, window: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """seed, first window and number of windows of each run of windows with one seed."""
     if len(words) < window:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    least = _least(run_hashes(words, node), window - node + 1)
+        return none, none, none
+    least = _least(run_hashes(words, edge), window - edge + 1)
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    count = np.diff(np.append(start, len(least)))
-    up, down = _powers(len(words) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
-    path = mix((total[start + count - 1 + window] - total[start]) * down[start] + count.astype(np.uint64))
-    return least[start].view(np.int64), path.view(np.int64), start, count
+    return least[start].view(np.int64), start, np.diff(np.append(start, len(least)))
 
 
 def _lists(counts: list[int], columns: list[np.ndarray], names: list[str]) -> pa.ListArray:
@@ -59,8 +57,8 @@ def _lists(counts: list[int], columns: list[np.ndarray], names: list[str]) -> pa
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names))
 
 
-def _walked(docs: DataFrame, window: int, node: int) -> DataFrame:
-    """doc_id, mark (hash of the text), n_words, kept_sha256 of all words, and paths of each document."""
+def _walked(docs: DataFrame, window: int, edge: int) -> DataFrame:
+    """doc_id, mark (hash of the text), n_words, sha (kept_sha256 of all words) and seeds of each document."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -70,37 +68,87 @@ def _walked(docs: DataFrame, window: int, node: int) -> DataFrame:
             for text in b.column(2).to_pylist():
                 split = (text or "").encode().split()
                 joined = b" ".join(split)
-                found = paths(word_hashes(joined), window, node)
+                found = seeds(word_hashes(joined), window, edge)
                 n.append(len(split))
                 sha.append(hashlib.sha256(joined).hexdigest())
                 counts.append(len(found[0]))
                 parts.append(found)
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(counts, columns, ["node", "path", "start", "count"])],
-                names=["doc_id", "mark", "n_words", "sha", "paths"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(counts, columns, ["seed", "start", "count"])],
+                names=["doc_id", "mark", "n_words", "sha", "seeds"],
             )
 
-    schema = f"doc_id {kind}, mark long, n_words long, sha string, paths array<struct<node: long, path: long, start: long, count: long>>"
+    schema = f"doc_id {kind}, mark long, n_words long, sha string, seeds array<struct<seed: long, start: long, count: long>>"
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, schema)
 
 
-def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """node, hash, doc_id, mark, at of each window at the coordinates in ``at`` (node, start, count) of the texts."""
+def stretches(where: list[dict]) -> list[tuple[int, int]]:
+    """First window and end (exclusive) of each maximal run of windows in ``where`` (start, count)."""
+    out: list[list[int]] = []
+    for start, count in sorted((w["start"], w["count"]) for w in where):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + count)
+        else:
+            out.append([start, start + count])
+    return [(a, b) for a, b in out]
+
+
+def _steps(texts: DataFrame, window: int, edge: int) -> DataFrame:
+    """node, into, out (edges; null at an end), row, at (word) of each node of the stretches of ``texts`` (row, text, where)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text, where in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                words = word_hashes((text or "").encode())
+                edges, nodes = run_hashes(words, edge).view(np.int64), run_hashes(words, edge - 1).view(np.int64)
+                for first, end in stretches(where):
+                    at = np.arange(first, end - 1 + window - (edge - 1) + 1)
+                    inner = pa.array(np.append(False, np.ones(len(at) - 1, bool))), pa.array(np.append(np.ones(len(at) - 1, bool), False))
+                    none = pa.scalar(None, pa.int64())
+                    into, out = pa.array(edges[np.maximum(at - 1, 0)]), pa.array(edges[np.minimum(at, len(edges) - 1)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes[at]), pc.if_else(inner[0], into, none), pc.if_else(inner[1], out, none), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32))],
+                        names=["node", "into", "out", "row", "at"],
+                    )
+
+    return texts.select("row", "text", "where").mapInArrow(run, "node long, into long, out long, row long, at int")
+
+
+def ranges(first: int, end: int, cuts: np.ndarray, window: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and numbers of windows of the ranges of a stretch that start on one path and end on one path.
+
+    A window's last edge begins window - edge words after its first, so ranges change at the cuts and that much before them.
+    """
+    at = np.unique(np.concatenate([[first, end], cuts, cuts - (window - edge)]))
+    at = at[(at >= first) & (at <= end)]
+    return at[:-1], np.diff(at)
+
+
+def _verified(texts: DataFrame, window: int, edge: int) -> DataFrame:
+    """digest of the words, doc_id, mark, start and count of each range of ``texts`` (doc_id, mark, text, where, cuts)."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (text, where) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                hashes = run_hashes(word_hashes((text or "").encode()), window).view(np.int64)
-                at = np.concatenate([np.arange(w["start"], w["start"] + w["count"]) for w in where])
-                node = np.repeat(np.array([w["node"] for w in where], np.int64), [w["count"] for w in where])
-                same = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array(hashes[at]), b.column(0).take(same), b.column(1).take(same), pa.array(at, pa.int64())], names=["node", "hash", "doc_id", "mark", "at"]
-                )
+            owner, digest, start, count = [], [], [], []
+            for i, (text, where, cuts) in enumerate(zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
+                joined = b" ".join((text or "").encode().split())
+                _, starts, ends = word_spans(joined)
+                cuts = np.array(cuts, np.int64)
+                for first, end in stretches(where):
+                    for s, n in zip(*(x.tolist() for x in ranges(first, end, cuts, window, edge)), strict=True):
+                        owner.append(i)
+                        digest.append(hashlib.sha256(joined[starts[s] : ends[s + n + window - 2]]).digest())
+                        start.append(s)
+                        count.append(n)
+            own = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digest, pa.binary()), b.column(0).take(own), b.column(1).take(own), pa.array(start, pa.int64()), pa.array(count, pa.int64())],
+                names=["digest", "doc_id", "mark", "start", "count"],
+            )
 
-    return texts.select("doc_id", "mark", "text", "where").mapInArrow(run, f"node long, hash long, doc_id {kind}, mark long, at long")
+    return texts.select("doc_id", "mark", "text", "where", "cuts").mapInArrow(run, f"digest binary, doc_id {kind}, mark long, start long, count long")
 
 
 def _covered(n: int, spans: list[dict]) -> np.ndarray:
@@ -115,24 +163,29 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, mark, n_words, sha) and the repeats of those that have any (doc_id, mark, spans: words [s, e))."""
-    base = saved(_walked(docs, window, node), "paths")
-    each = base.where("doc_id IS NOT NULL").select("doc_id", "mark", F.explode("paths").alias("p"))
-    met = each.groupBy(F.col("p.node").alias("node")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node")
-    held = saved(each.select("doc_id", "mark", "p.*").join(met, "node"), "repeated-paths")
-    known = saved(held.groupBy("node", "path", "count").agg(F.min("doc_id").alias("first")), "path-firsts")
-    branches = known.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    placed = held.join(known, ["node", "path", "count"])
-    whole = placed.where("doc_id > first").select("doc_id", "mark", F.col("start").alias("s"), (F.col("start") + F.col("count") + (window - 1)).alias("e"))
-    open_ = placed.where("doc_id = first").join(branches, "node", "left_semi")
-    where = open_.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("node", "start", "count")).alias("where"))
+    split_skew(docs.sparkSession)
+    base = saved(_walked(docs, window, edge).withColumn("row", F.monotonically_increasing_id()), "seeds")
+    each = base.where("doc_id IS NOT NULL").select("row", "doc_id", "mark", F.explode("seeds").alias("p"))
+    met = each.groupBy(F.col("p.seed").alias("seed")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
+    held = each.select("row", "doc_id", "mark", "p.*").join(met, "seed").groupBy("row", "doc_id", "mark").agg(F.collect_list(F.struct("start", "count")).alias("where"))
+    held = saved(held, "stretches")
+    key = F.xxhash64("doc_id", "mark")
+    texts = prefilter(_marked(docs), key, held.select(key.alias("k")), "k").dropDuplicates(["doc_id", "mark"])
     small_batches(docs.sparkSession, 200)
-    looked = saved(_windows(_marked(docs).join(where, ["doc_id", "mark"]), window), "branch-windows")
-    shared = looked.groupBy("node", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    single = looked.join(shared, ["node", "hash"]).where("doc_id > first").select("doc_id", "mark", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
-    spans = whole.union(single).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return base.drop("paths"), saved(spans, "repeats")
+    texts = saved(held.join(texts, ["doc_id", "mark"]).select("row", "doc_id", "mark", "text", "where"), "stretch-texts", [held])
+
+    steps = saved(_steps(texts, window, edge), "steps")
+    degrees = steps.groupBy("node").agg(*[f(c).alias(f"{n}_{c}") for c in ("into", "out") for f, n in ((F.min, "least"), (F.max, "most"))], F.count_if(F.col("into").isNull() | F.col("out").isNull()).alias("ends"))
+    junctions = degrees.where("ends > 0 OR least_into < most_into OR least_out < most_out").select("node")
+    cuts = saved(steps.select("node", "row", "at").join(junctions, "node").groupBy("row").agg(F.collect_list("at").alias("cuts")), "cuts", [steps])
+    found = saved(_verified(texts.join(cuts, "row"), window, edge), "ranges", [texts, cuts])
+
+    first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
+    again = salted_join(found, saved(first, "range-firsts"), "digest", "many").where("doc_id > first")
+    spans = again.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("count") + (window - 1)).alias("e"))).alias("spans"))
+    return base.drop("seeds", "row"), saved(spans, "repeats", [found])
 
 
 def _cut(docs: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
@@ -154,7 +207,7 @@ def _cut(docs: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
     return texts.join(spans, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans").mapInArrow(run, f"doc_id {kind}, mark long, gone long, left string").dropDuplicates(["doc_id", "mark"])
 
 
-def removed(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each document.
 
     Words covered by a window of ``window`` words that also starts in a document of smaller doc_id go; all
@@ -162,19 +215,19 @@ def removed(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFram
     lose none; rows with a null doc_id neither lose words nor count as earlier documents; rows that repeat a
     doc_id are not earlier than each other; an empty table gives no rows; other columns are ignored.
     """
-    base, spans = repeated_spans(docs, window, node)
+    base, spans = repeated_spans(docs, window, edge)
     cut = _cut(docs, spans, keep_text=False)
     return base.join(cut, ["doc_id", "mark"], "left").select(
         "doc_id", "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left", "sha").alias("kept_sha256")
     )
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
-    """The documents with repeated words removed; a text that loses words has its others joined by one space. Columns stay."""
-    _, spans = repeated_spans(docs, window, node)
+def without_repeats(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> DataFrame:
+    """The documents with repeated words removed; a text that loses words has its others joined by one space. All rows and columns stay, also where names clash."""
+    _, spans = repeated_spans(docs, window, edge)
     cut = _cut(docs, spans, keep_text=True).withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark").withColumnRenamed("left", "__left").drop("gone")
     joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__id"]) & (F.xxhash64(docs["text"]) == cut["__mark"]), "left")
-    return joined.select(*[F.coalesce("__left", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[F.coalesce(cut["__left"], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
