@@ -8,10 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import regex
 import tiktoken
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from callgrid.llm import bpe, lines, minhash, packing, pii, quality, shard, substrings, tiff
+from callgrid.llm import bpe, linking, lines, minhash, packing, pii, quality, shard, substrings, tiff
+from callgrid.llm.components import components
 from callgrid.llm.shingles import OnePermutation, band_keys
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -69,6 +73,14 @@ def test_quality(docs, none):
     assert quality.verdicts(none).count() == 0 and quality.keep_good(docs).columns == docs.columns
 
 
+def test_lines_are_counted_by_document(spark):
+    """Rows that repeat a doc_id are one document."""
+    line = "a line that stands in many rows but few documents"
+    data = [(1 + i % 2, f"{line}\n" + " ".join(f"own{i}w{j}" for j in range(30)), "a") for i in range(60)]
+    got = rows(quality.verdicts(spark.createDataFrame(data, "doc_id long, text string, source string")))
+    assert len(got) == 60 and all(r["kept"] and r["n_left"] == r["n_words"] for r in got)
+
+
 def test_boilerplate_lines(spark):
     """A line in many documents of a host goes from all but the first, and what is left too short is rejected."""
     line = "this very line stands in each page of the host and says nothing at all about what the page is for or why anyone reads it"
@@ -116,28 +128,159 @@ def test_pii_discovers(spark):
     assert {r["doc_id"]: r["text"] for r in rows(pii.masked(df))}[12] == "please call me on <phone> today"
 
 
-def test_substrings(docs, none):
-    got = rows(substrings.removed(docs))
-    items = [(r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect()]
+def _discovered(items):
+    """The spans of pii.report by plain loops: base spans, contexts, the pattern graph and its scores."""
+    base, met = [], []
+    for i, (_, t) in enumerate(items):
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in _base_spans(t).split(",") if x)]
+        base.append(spans)
+        seeds = [(k, a, b, max([e for q, _, e in _hits(t) if q == k and e <= a], default=0)) for k, a, b in spans]
+        others, last = [], 0
+        for m in regex.finditer(pii.IDENTIFIER, t):
+            if len(re.sub("[^0-9]", "", m[0])) >= pii.MIN_DIGITS and not any(a < m.end() and m.start() < b for _, a, b in spans):
+                others.append((None, m.start(), m.end(), last))
+            last = m.end()
+        for k, a, b, since in seeds + others:
+            left = t[max(since, a - pii.LEFT_CHARS) : a].lower()
+            found = re.search(r"(?:^|\s)((?:\S+\s+){%d}\S+\s*)$" % (pii.LEFT - 1), left, re.ASCII)
+            if found and (shape := re.sub(r"\s+", " ", re.sub("[0-9]+", "0", found[1]), flags=re.ASCII)):
+                met.append((i, k, a, b, t[a:b], shape))
+    kinds = {}
+    for _, k, *_, v, p in met:
+        kinds[p, v] = max(kinds.get((p, v)) or "", k or "") or None
+    graph = {}
+    for p in {p for p, _ in kinds}:
+        count = Counter(k for (q, _), k in kinds.items() if q == p and k)
+        if sum(count.values()) >= pii.SUPPORT:
+            best = max(pii.KINDS, key=lambda k: (count[k], -pii.KINDS.index(k)))
+            for (q, v), k in kinds.items():
+                if q == p:
+                    graph[p, v] = (best, float(k == best))
+    score = {}
+    for (_, v), (k, seed) in graph.items():
+        score[v, k] = max(score.get((v, k), 0.0), seed)
+    for _ in range(pii.ROUNDS):
+        of = {}
+        for (p, v), (k, seed) in graph.items():
+            of.setdefault((p, k), []).append(max(seed, score[v, k]))
+        confidence = {x: sum(y) / len(y) for x, y in of.items()}
+        rest, sure = {}, {}
+        for (p, v), (k, seed) in graph.items():
+            c = confidence[p, k]
+            rest[v, k] = rest.get((v, k), 1.0) * (1 - min(0.999, c if c >= pii.CONFIDENCE / 2 else 0.0))
+            sure[v, k] = max(sure.get((v, k), 0.0), seed)
+        score = {x: max(sure[x], 1 - rest[x]) for x in rest}
+    out = []
+    for i, spans in enumerate(base):
+        new = set()
+        for j, k, a, b, v, p in met:
+            if j == i and k is None and (p, v) in graph:
+                kind, seed = graph[p, v]
+                if seed == 0 and confidence[p, kind] >= pii.CONFIDENCE and score[v, kind] >= pii.ACCEPT:
+                    new.add((kind, a, b))
+        every = sorted({*spans} | new, key=lambda x: (pii.KINDS.index(x[0]), x[1], x[2]))
+        out.append(",".join(f"{k}:{a}:{b}" for k, a, b in every))
+    return out
+
+
+def _hits(t):
+    """All matches of the plain patterns, failing ones too: what stands left of a match begins after the one before."""
+    for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        yield from ((k, m.start(), m.end()) for m in re.finditer(p, t))
+
+
+def test_pii_against_loops(spark):
+    r = random.Random(4)
+    seeds = [lambda: f"+44 20 {r.randrange(1000, 9999)} {r.randrange(1000, 9999)}", lambda: f"u{r.randrange(99999)}@mail.example", lambda: f"10.{r.randrange(255)}.{r.randrange(255)}.7"]
+    odd = [lambda: f"0{r.randrange(1000, 9999)}/{r.randrange(100, 999)}", lambda: f"ID{r.randrange(5000, 5040)}", lambda: f"{r.randrange(1990, 2030)}"]
+    leads = ["please call", "write to", "the host", "in the year", "our ref", "see page"]
+    items = []
+    for i in range(250):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            k = r.randrange(len(leads))
+            parts.append(f"Then {leads[k]} {seeds[k]() if k < 3 and r.random() < 0.93 else r.choice(odd)()}")
+        items.append((i, r.choice([". ", " and ", "\n"]).join(parts)))
+    got = {x["doc_id"]: x["spans"] for x in rows(pii.report(spark.createDataFrame(items, "doc_id long, text string")))}
+    want = _discovered(items)
+    assert [got[i] for i, _ in items] == want and sum(len(a) != len(_base_spans(t)) for a, (_, t) in zip(want, items, strict=True)) > 5
+
+
+def test_pii_of_a_long_text(spark):
+    """A hundred thousand numbers in one text, some of them personal: time grows with the text, not with its square."""
+    parts = [f"+44 20 7946 {i % 10_000:04d} x" if i % 50 == 0 else f"n{i:06d}" for i in range(100_000)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = rows(pii.report(df))
+    assert r["base_sha256"] == hashlib.sha256(_base_spans(text).encode()).hexdigest() and r["n_phone"] == 2000
+    (m,) = rows(pii.masked(df))
+    assert m["text"].count("<phone>") == 2000 and "+44" not in m["text"] and m["text"].count("n0") > 1000
+
+
+def _removed(items):
+    """doc_id, words, words gone and digest of the rest, by comparing all windows of 50 words."""
     first = {}
     for d, w in items:
         for i in range(len(w) - 49):
             if d is not None:
                 x = tuple(w[i : i + 50])
                 first[x] = min(d, first.get(x, d))
-    want = []
+    want = Counter()
     for d, w in items:
         gone = {j for i in range(len(w) - 49) if d is not None and first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
-        left = b" ".join(x for i, x in enumerate(w) if i not in gone)
-        want.append((d, len(w), len(gone), hashlib.sha256(left).hexdigest()))
-    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter(want)
+        want[d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()] += 1
+    return want
+
+
+def _removed_by(df):
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(substrings.removed(df)))
+
+
+def test_substrings(docs, none):
+    assert _removed_by(docs) == _removed([(r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect()])
     assert substrings.removed(none).count() == 0 and substrings.without_repeats(docs).count() == docs.count()
+    clash = docs.withColumns({"__id": F.lit(1), "mark": F.lit(2), "row": F.lit(3), "__left": F.lit(4)})
+    assert substrings.without_repeats(clash).columns == clash.columns
+
+
+def _passages(seed):
+    """Documents put together from passages of all lengths, whole, cut and with words changed; loops of few words among them."""
+    r = random.Random(seed)
+    base = [[f"w{r.randrange(400)}" for _ in range(r.choice([20, 49, 50, 51, 80, 150, 300]))] for _ in range(12)] + [["a", "b", "c"] * 60, ["x"] * 120]
+    out = []
+    for i in range(60):
+        w = [f"own{i}_{j}" for j in range(r.randrange(30))]
+        for _ in range(r.randint(1, 4)):
+            p = list(r.choice(base))
+            a = r.randrange(len(p)) if r.random() < 0.4 else 0
+            p = p[a : a + r.randint(1, len(p))] if r.random() < 0.4 else p[a:]
+            for _ in range(r.choice([0, 0, 1, 3])):
+                p[r.randrange(len(p))] = f"new{r.randrange(1000)}"
+            w += p
+        out.append((r.randrange(40), " ".join(w)))
+    return out
+
+
+def test_substrings_of_passages(spark):
+    items = _passages(1)
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
+    assert _removed_by(df) == _removed([(d, t.encode().split()) for d, t in items])
+
+
+def test_ranges_are_read_at_their_source(spark):
+    """Ranges of equal graph coordinates but other words, as after a clash of hashes, have other digests."""
+    items = [(0, " ".join(f"a{i}" for i in range(120))), (1, " ".join(f"b{i}" for i in range(120))), (2, " ".join(f"a{i}" for i in range(120)))]
+    kind = "doc_id long, mark long, text string, where array<struct<start: long, count: long>>, cuts array<long>"
+    df = spark.createDataFrame([(d, d, t, [(0, 71)], [0, 40, 105]) for d, t in items], kind)
+    found = {}
+    for r in rows(substrings._verified(df, 50, 16)):
+        found.setdefault((r["start"], r["count"]), {})[r["doc_id"]] = bytes(r["digest"])
+    assert sorted(found) == [(0, 6), (6, 34), (40, 31)] and all(x[0] == x[2] != x[1] for x in found.values())
 
 
 def test_packing(docs, none):
     got = rows(packing.pack(docs, P.path("word_bpe_49k.json")))
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for r in docs.collect():
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids + [2]
@@ -231,25 +374,90 @@ def test_tiff_forms(spark):
     assert sorted((r["file"], r["page"] if r["page"] is not None else -1) for r in got) == [(1, 0), (1, 1), (1, 2), (2, -1), (3, -1), (4, -1)]
 
 
-def test_lines(docs, none):
+def _lines_left(items):
+    """What line dedup removes, by comparing every line with every other: {place in items: places of lines}."""
     norm = lambda x: re.sub("[\x20\x09-\x0d]+", " ", x.strip(" \t\n\x0b\x0c\r").lower())
-    got = Counter((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in rows(lines.line_report(docs)))
-    items = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()})
-    marks = {r["doc_id"]: r["mark"] for r in docs.selectExpr("doc_id", "xxhash64(text) AS mark").collect()}  # noqa: F841
-    every = sorted({norm(x) for *_, t in items for x in t.split("\n")} - {""})
-    sets = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in every}
+    texts = [[norm(x) for x in (t or "").split("\n")] for _, t in items]
+    every = sorted({x for t in texts for x in t} - {""})
+    k = lines.SHINGLE
+    sets = {x: {x[i : i + k] for i in range(max(1, len(x) - k + 1))} for x in every}
     label = {x: x for x in every}
-    for _ in every:
-        for a in every:
-            for b in every:
-                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
-    # of rows with one doc_id the order is by hash of the text: only documents with a doc_id of their own are held against the loop
-    total = Counter(label[norm(x)] for *_, t in items for x in t.split("\n") if norm(x))
-    kept = sum(n - len(gone) for (_, n, gone), c in got.items() for _ in range(1))
-    assert kept == len(total)
-    assert (13, 5, (1, 2, 5)) in got or (13, 5, (1, 5)) in got
-    assert lines.line_report(none).count() == 0 and lines.without_duplicate_lines(docs).count() == docs.count()
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(every):
+        for b in every[:i]:
+            if 100 * len(sets[a] & sets[b]) >= lines.PERCENT * len(sets[a] | sets[b]):
+                label[max(top(a), top(b))] = min(top(a), top(b))
+    seen, gone = set(), {}
+    for i in sorted(range(len(items)), key=lambda i: (items[i][0] is None, items[i][0] or 0)):
+        gone[i] = []
+        for at, x in enumerate(texts[i]):
+            if x and top(x) in seen:
+                gone[i].append(at)
+            elif x:
+                seen.add(top(x))
+    return gone, texts
+
+
+def test_lines(docs, none):
+    """Which lines go, of each document with a doc_id of its own; texts keep all others."""
+    items = [(r["doc_id"], r["text"]) for r in docs.dropDuplicates(["doc_id"]).collect()]
+    own = docs.sparkSession.createDataFrame(items, "doc_id long, text string")
+    want, texts = _lines_left(items)
+    got = {r["doc_id"]: r for r in rows(lines.line_report(own))}
+    left = {r["doc_id"]: r["text"] for r in rows(lines.without_duplicate_lines(own))}
+    for i, (d, t) in enumerate(items):
+        assert (got[d]["n_lines"], got[d]["n_removed"], got[d]["removed"]) == (sum(map(bool, texts[i])), len(want[i]), want[i])
+        assert left[d] == (None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in want[i]))
+    # rows that repeat doc_id and text are one document, and all rows and columns stay
+    assert len(rows(lines.line_report(docs))) == docs.count() == lines.without_duplicate_lines(docs).count()
+    clash = own.withColumns({"__id": F.lit(1), "__mark": F.lit(2), "gone": F.lit(3), "mark": F.lit(4)})
+    assert sorted(lines.without_duplicate_lines(clash).collect(), key=str) == sorted((Row(**{c: r[c] if c != "text" else left[r["doc_id"]] for c in clash.columns}) for r in clash.collect()), key=str)
+    assert lines.line_report(none).count() == 0 and lines.without_duplicate_lines(none).count() == 0
+
+
+def test_lines_of_random_edits(spark):
+    """Lines with edits of all sizes, some like two others that are not alike: the components are those of all pairs."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(300)]
+    base = [" ".join(r.choices(words, k=r.randint(8, 40))) for _ in range(40)]
+    made = []
+    for _ in range(400):
+        w = r.choice(base).split()
+        for _ in range(r.choice([0, 0, 1, 1, 2, 4, 8])):
+            w[r.randrange(len(w))] = r.choice(words)
+        made.append(" ".join(w))
+    items = [(i, "\n".join(made[i * 4 : i * 4 + 4])) for i in range(100)]
+    want, _ = _lines_left(items)
+    got = {x["doc_id"]: x["removed"] for x in rows(lines.line_report(spark.createDataFrame(items, "doc_id long, text string")))}
+    assert got == want
+
+
+def test_chunks_of_a_bucket(spark, monkeypatch):
+    """Buckets dealt in chunks give the same components."""
+    items = [(i, f"the common start of a line that everyone writes and number{i // 2:03d} to tell it from the others of its kind") for i in range(40)]
+    items += [(100 + i, "the common start of a line that everyone writes and another ending of it altogether, " + "abcdefghij"[i % 10] * 3) for i in range(40)]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    want, _ = _lines_left(items)
+    monkeypatch.setattr(linking, "CHUNK_ROWS", 3)
+    got = {x["doc_id"]: x["removed"] for x in rows(lines.line_report(df))}
+    assert got == {items[i][0]: want[i] for i in want}
+
+
+def test_components(spark):
+    """A path, a star, a clique's worth of repeats, a node linked with itself, and no links."""
+    r = random.Random(2)
+    path = list(range(1000, 1200))
+    r.shuffle(path)
+    links = list(zip(path, path[1:], strict=False)) + [(5, x) for x in range(6, 60)] + [(2, 2), (-3, 7), (70, 71), (71, 70)]
+    got = {x["node"]: x["label"] for x in rows(components(spark.createDataFrame(links, "a long, b long").repartition(5)))}
+    want = {x: 1000 for x in path} | {x: -3 for x in [-3, *range(5, 60)]} | {2: 2, 70: 70, 71: 70}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_lines_at_the_threshold_share_a_band():
@@ -263,7 +471,7 @@ def test_lines_at_the_threshold_share_a_band():
         for _ in range(r.randint(1, 3)):
             b[r.randrange(len(b))] = "#"
         b = "".join(b)
-        s, t = ({x[i : i + 8] for i in range(len(x) - 7)} for x in (a, b))
+        s, t = ({x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in (a, b))
         if 0.85 <= len(s & t) / len(s | t) < 0.88:
             pairs.append((a.encode(), b.encode()))
     oph = OnePermutation(lines.BANDS * lines.ROWS)
