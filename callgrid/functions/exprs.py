@@ -98,7 +98,7 @@ def ip_number(ip: Column) -> Column:
 
 def cidr_bounds(cidr: Column) -> tuple[Column, Column, Column]:
     """Lowest and highest address and prefix length of an IPv4 network."""
-    base, plen = ip_number(F.split(cidr, "/")[0]), F.element_at(F.split(cidr, "/"), 2).cast("int")
+    base, plen = ip_number(F.split(cidr, "/")[0]), F.try_element_at(F.split(cidr, "/"), F.lit(2)).try_cast("int")
     size = F.pow(F.lit(2), 32 - plen).cast("long")
     low = F.floor(base / size) * size
     return low.cast("long"), (low + size - 1).cast("long"), plen

@@ -10,8 +10,8 @@ from .movement import by_subject
 
 MIB = 1 << 20
 #: Ports of tunnels, and of proxies and anonymity networks (fixed values).
-VPN_PORTS = [500, 1194, 1701, 1723, 4500, 51820]
-PROXY_PORTS = [1080, 3128, 8080, 9001, 9030, 9050, 9051, 9150]
+VPN_PORTS = [500, 1194, 1195, 1701, 1723, 4500, 51820, 51821]
+PROXY_PORTS = [1080, 3128, 8118, 9001, 9030, 9050, 9051]
 WEB_PORTS = [80, 443]
 
 
@@ -173,7 +173,7 @@ def tunnel_use(ipdr: DataFrame) -> DataFrame:
 def traffic_volume(ipdr: DataFrame, n: int = 15, mib: int = 50, ratio: float = 3) -> DataFrame:
     """Bytes by source; exfiltration: at least 50 MiB up and three times what came down."""
     rows = ipdr.where("bytes_uploaded IS NOT NULL OR bytes_downloaded IS NOT NULL")
-    g = rows.groupBy(F.col("source_ip").alias("subject")).agg(F.coalesce(F.sum("bytes_uploaded"), F.lit(0)).alias("up"), F.coalesce(F.sum("bytes_downloaded"), F.lit(0)).alias("down"))
+    g = rows.groupBy(F.col("source_ip").alias("subject")).agg(F.coalesce(F.sum("bytes_uploaded"), F.lit(0)).alias("up"), F.coalesce(F.sum("bytes_downloaded"), F.lit(0)).alias("down"), F.count("*").alias("sessions"))
     g = g.withColumn("exfil", (F.col("up") >= mib * MIB) & ((F.col("down") == 0) | (F.col("up") >= ratio * F.col("down"))))
     return g.orderBy(F.desc("up"), "subject").limit(n)
 

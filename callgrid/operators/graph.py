@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,52 +163,68 @@ def modularity(e: DataFrame, label: DataFrame) -> DataFrame:
     return inside.crossJoin(F.broadcast(b.agg(two_m.alias("m2")))).agg(F.count("*").alias("communities"), F.round(F.sum(F.col("i") / F.col("m2") - F.pow(F.col("d") / F.col("m2"), 2)), 6).alias("modularity"))
 
 
-#: Edges of a component beyond which cut points are not looked for (they are reported as null).
-MOST_EDGES = 2_000_000
+def _spanning_forest(e: DataFrame) -> DataFrame:
+    """node, parent and level of the nodes below the root of a breadth-first tree of each component; a parent is the least node one level up."""
+    roots = components(e).select(F.col("label").alias("node")).distinct()
+    level = distances(e, roots).select("node", "level")
+    b = both_ways(e).select("src", "dst").join(level.select(F.col("node").alias("src"), "level"), "src").join(level.select(F.col("node").alias("dst"), F.col("level").alias("above")), "dst")
+    return saved(b.where("above = level - 1").groupBy(F.col("src").alias("node"), "level").agg(F.min("dst").alias("parent")), "tree")
+
+
+def _meeting_levels(pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """s, d and depth, the level of the deepest common ancestor, of pairs of nodes: both climb until they meet."""
+    at = lambda n, c: tree.select(F.col("node").alias(n), F.col("level").alias(f"l{c}"), F.col("parent").alias(f"p{c}"))
+    cur = pairs.select("s", "d", F.col("s").alias("u"), F.col("d").alias("w"))
+    met = None
+    while True:
+        both = cur.join(at("u", "u"), "u", "left").join(at("w", "w"), "w", "left").na.fill(0, ["lu", "lw"])
+        both = saved(both, "climb")
+        done = both.where("u = w").select("s", "d", F.col("lu").alias("depth"))
+        met = done if met is None else met.union(done)
+        rest = both.where("u <> w")
+        if not rest.head(1):
+            return met
+        cur = rest.select("s", "d", F.when(F.col("lu") >= F.col("lw"), F.col("pu")).otherwise(F.col("u")).alias("u"), F.when(F.col("lw") >= F.col("lu"), F.col("pw")).otherwise(F.col("w")).alias("w"))
+
+
+def blocks(e: DataFrame) -> DataFrame:
+    """node, parent and block of each tree edge of a breadth-first forest: edges of one block lie on common cycles.
+
+    After Tarjan and Vishkin, by joins: an edge off the tree joins the tree edges above its two ends, and a tree
+    edge joins the one above it if an edge off the tree leads from below it to beyond its upper node, which the
+    levels where such edges meet tell. The rounds are as many as the forest has levels; no component is gathered.
+    """
+    tree = _spanning_forest(e)
+    own = tree.select(F.least("node", "parent").alias("s"), F.greatest("node", "parent").alias("d"))
+    off = saved(e.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(own, ["s", "d"], "left_anti"), "off-tree")
+    met = saved(_meeting_levels(off, tree), "meetings")
+    first = met.select(F.explode(F.array("s", "d")).alias("node"), "depth").groupBy("node").agg(F.min("depth").alias("low"))
+    first = saved(tree.join(first, "node").select("node", "parent", "level", "low"), "lows")
+    low = below = None
+    for level in range(tree.agg(F.max("level")).first()[0] or 0, 0, -1):
+        here = first.where(F.col("level") == level).select("node", "low")
+        here = (here if below is None else here.union(below)).groupBy("node").agg(F.min("low").alias("low"))
+        here = saved(here.join(tree, "node").select("node", "parent", "level", "low"), "lows")
+        below = here.select(F.col("parent").alias("node"), "low")
+        low = here if low is None else low.union(here)
+    links = off.select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    if low is not None:
+        links = links.union(low.where("level > 1 AND low < level - 1").select("node", "parent"))
+    label = components(saved(links.withColumn("weight", F.lit(1)), "block-links"))
+    return saved(tree.join(label, "node", "left").select("node", "parent", F.coalesce("label", "node").alias("block")), "blocks")
 
 
 def cut_points(e: DataFrame) -> DataFrame:
-    """Bridges (src, dst) and articulation points (src, null) by component, each component one group of bounded size."""
-    label = components(e)
-    named = e.join(label.withColumnRenamed("node", "src"), "src")
-    small = named.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_EDGES).select("label")
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        seen, low, out, cut = {}, {}, [], set()
-        for root in near:
-            if root in seen:
-                continue
-            seen[root] = low[root] = len(seen)
-            stack: list[tuple[str, str | None, Iterator[str]]] = [(root, None, iter(near[root]))]
-            kids = 0
-            while stack:
-                v, parent, rest = stack[-1]
-                for w in rest:
-                    if w not in seen:
-                        seen[w] = low[w] = len(seen)
-                        kids += v == root
-                        stack.append((w, v, iter(near[w])))
-                        break
-                    if w != parent:
-                        low[v] = min(low[v], seen[w])
-                else:
-                    stack.pop()
-                    if parent is not None:
-                        low[parent] = min(low[parent], low[v])
-                        if low[v] > seen[parent]:
-                            out.append((min(parent, v), max(parent, v)))
-                        if parent != root and low[v] >= seen[parent]:
-                            cut.add(parent)
-            if kids > 1:
-                cut.add(root)
-        rows = [("bridge", a, b) for a, b in out] + [("cut_point", v, None) for v in sorted(cut)]
-        return pd.DataFrame(rows, columns=["kind", "src", "dst"])
-
-    return named.join(small, "label", "left_semi").select("label", "src", "dst").groupBy("label").applyInPandas(find, "kind string, src string, dst string")
+    """Bridges (src, dst) and articulation points (src, null): blocks of one edge, and nodes where blocks meet."""
+    b = blocks(e)
+    alone = b.groupBy("block").agg(F.count("*").alias("n")).where("n = 1").select("block")
+    bridge = b.join(alone, "block", "left_semi").select(F.lit("bridge").alias("kind"), F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
+    ends = b.select("node", "block").union(b.select("parent", "block")).groupBy("node").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x < y")
+    return bridge.union(ends.select(F.lit("cut_point"), "node", F.lit(None).cast("string")))
+
+
+def top_cut_points(e: DataFrame, n: int = 8) -> DataFrame:
+    return cut_points(e).where("kind = 'cut_point'").select(F.col("src").alias("node")).join(nodes(e).select("node", "degree"), "node").orderBy(F.desc("degree"), "node").limit(n)
 
 
 def one_way_ties(cdr: DataFrame, least: int = 3, n: int = 12) -> DataFrame:

@@ -7,17 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
 from . import behaviour as b
 from . import copresence as h
 from . import graph as g
 from . import movement as m
 from .reports import owned
 
-# Weights of the factors of calling subjects and of addresses.
-WEIGHTS = {"cloned_device": 30, "impossible_travel": 20, "multi_handset": 12, "hidden_link": 18, "convoy": 10, "odd_hours": 8, "burst": 8, "periodic": 8, "escalation": 10, "dormancy": 8, "shared_route": 8, "relay": 10}
-IP_WEIGHTS = {"tor": 18, "vpn": 12, "exfil": 16, "beacon": 16}
+# Weights of the factors of calling subjects and of addresses, and the bands of scores.
+WEIGHTS = {
+    "cloned_sim": 30, "impossible_travel": 22, "sim_multi_handset": 16, "burner_handset": 14, "hidden_link": 16, "convoy": 11, "periodic_contact": 8, "activity_burst": 8, "odd_hours": 7, "broker": 10, "cut_point": 8,
+    "escalation": 9, "reactivation": 7, "shared_route": 8,
+}
+IP_WEIGHTS = {"tor_proxy": 18, "vpn": 12, "exfil": 16, "beaconing": 16}
+BANDS = [(75, "critical"), (50, "high"), (25, "elevated"), (0, "low")]
+LOW_EVIDENCE_MIN, LOW_EVIDENCE_CAP = 3, 49
+#: Ids of an audit chain that are put in order at once.
+STRETCH = 1_000_000
 #: Of these only the first that a subject has counts.
-ONE_OF = ["cloned_device", "impossible_travel", "multi_handset"]
+ONE_OF = ["cloned_sim", "impossible_travel", "sim_multi_handset"]
 
 
 def _named(df: DataFrame, subject: str, factor: str) -> DataFrame:
@@ -25,18 +33,26 @@ def _named(df: DataFrame, subject: str, factor: str) -> DataFrame:
 
 
 def cdr_factors(cdr: DataFrame, towers: DataFrame) -> DataFrame:
-    """subject, factor, weight: each factor once a subject; of cloned, impossible and multi-handset the strongest."""
+    """subject, factor, weight: each factor once a subject; of cloned, impossible and multi-handset the strongest, of broker and cut point the first.
+
+    Shared routes, brokers and cut points are those of the reports, which are top lists.
+    """
     stream, own = m.streams(cdr, towers), owned(cdr)
     legs = m.legs(stream)
     clones = b.clone_corroboration(legs, cdr)
-    many = b.device_anomalies(cdr).where("kind = 'number'")
+    devices = b.device_anomalies(cdr)
+    burners = devices.where("kind = 'handset'").select(F.explode(F.split("others", ",")).alias("subject"))
     pairs = h.convoys(h.co_presence(stream), cdr)
+    contacts = g.edges(cdr)
+    every = g.nodes(contacts).select("node")
+    brokers = saved(g.brokers(contacts, every).select("node"), "brokers")
+    cuts = g.top_cut_points(contacts).select("node").join(brokers, "node", "left_anti")
     both = lambda df, name: _named(df.select(F.explode(F.array("a", "b")).alias("s")), "s", name)
     parts = [
-        _named(clones.where("cloned"), "subject", "cloned_device"), _named(legs.where("impossible"), "subject", "impossible_travel"), _named(many, "key", "multi_handset"),
-        both(pairs.where("hidden_link"), "hidden_link"), both(pairs.where("convoy"), "convoy"), _named(b.odd_hours(own), "subject", "odd_hours"), _named(b.bursts(own), "subject", "burst"),
-        _named(b.periodic_contacts(cdr), "a_party_number", "periodic"), _named(b.escalation(own), "subject", "escalation"), _named(b.dormancy(own), "subject", "dormancy"), both(m.shared_routes(stream), "shared_route"),
-        _named(g.relays(cdr), "b", "relay"),
+        _named(clones.where("cloned"), "subject", "cloned_sim"), _named(legs.where("impossible"), "subject", "impossible_travel"), _named(devices.where("kind = 'number'"), "key", "sim_multi_handset"),
+        _named(burners, "subject", "burner_handset"), both(pairs.where("hidden_link"), "hidden_link"), both(pairs.where("convoy AND NOT hidden_link"), "convoy"), _named(b.odd_hours(own), "subject", "odd_hours"),
+        _named(b.bursts(own), "subject", "activity_burst"), _named(b.periodic_contacts(cdr), "a_party_number", "periodic_contact"), _named(b.escalation(own), "subject", "escalation"),
+        _named(b.dormancy(own), "subject", "reactivation"), both(m.shared_routes(stream), "shared_route"), _named(brokers, "node", "broker"), _named(cuts, "node", "cut_point"),
     ]
     rows = reduce(DataFrame.union, parts).where("subject IS NOT NULL")
     rank = F.array_position(F.array(*map(F.lit, ONE_OF)), F.col("factor"))
@@ -45,20 +61,30 @@ def cdr_factors(cdr: DataFrame, towers: DataFrame) -> DataFrame:
     return rows.withColumn("r", rank).withColumn("f", first).where((F.col("r") == 0) | (F.col("r") == F.col("f"))).select("subject", "factor", weight.alias("weight"))
 
 
+def ip_signals(ipdr: DataFrame) -> DataFrame:
+    """subject, factor and the sessions behind it; a beacon to other than web ports is a factor each."""
+    t, v, c = b.tunnel_use(ipdr), b.traffic_volume(ipdr), b.beacons(ipdr)
+    named = lambda df, subject, factor, sessions: df.select(F.col(subject).alias("subject"), F.lit(factor).alias("factor"), F.expr(sessions).cast("long").alias("sessions"))
+    parts = [
+        named(t.where("proxy > 0"), "subject", "tor_proxy", "vpn + proxy"), named(t.where("vpn > 0"), "subject", "vpn", "vpn + proxy"),
+        named(v.where("exfil"), "subject", "exfil", "sessions"), named(c.where("non_web"), "source_ip", "beaconing", "n"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def ip_factors(ipdr: DataFrame) -> DataFrame:
-    """Beacons to other than web ports add up, one factor each."""
-    t = b.tunnel_use(ipdr)
-    v, c = b.traffic_volume(ipdr), b.beacons(ipdr)
-    rows = t.where("proxy > 0").select("subject", F.lit("tor").alias("factor")).union(t.where("vpn > 0").select("subject", F.lit("vpn"))).union(v.where("exfil").select("subject", F.lit("exfil"))).union(c.where("non_web").select("source_ip", F.lit("beacon")))
     weight = F.create_map(*[F.lit(x) for kv in IP_WEIGHTS.items() for x in kv])[F.col("factor")].cast("long")
-    return rows.select("subject", "factor", weight.alias("weight"))
+    return ip_signals(ipdr).select("subject", "factor", "sessions", weight.alias("weight"))
 
 
-def scores(factors: DataFrame, events: DataFrame, low_evidence: int = 3) -> DataFrame:
-    """At most 100; at most 49 with under three events (subject, events); bands at 75, 50, 25."""
+def scores(factors: DataFrame, events: DataFrame) -> DataFrame:
+    """At most 100; at most LOW_EVIDENCE_CAP with under LOW_EVIDENCE_MIN events (subject, events); in bands."""
     s = factors.groupBy("subject").agg(F.least(F.lit(100), F.sum("weight")).alias("raw"), F.count("*").alias("factors"), F.array_join(F.sort_array(F.collect_list("factor")), ",").alias("why")).join(events, "subject", "left").na.fill(0, ["events"])
-    s = s.withColumn("score", F.when(F.col("events") < low_evidence, F.least(F.lit(49), F.col("raw"))).otherwise(F.col("raw")).cast("long")).drop("raw")
-    return s.withColumn("band", F.when(F.col("score") >= 75, "critical").when(F.col("score") >= 50, "high").when(F.col("score") >= 25, "medium").otherwise("low"))
+    s = s.withColumn("score", F.when(F.col("events") < LOW_EVIDENCE_MIN, F.least(F.lit(LOW_EVIDENCE_CAP), F.col("raw"))).otherwise(F.col("raw")).cast("long")).drop("raw")
+    band = F.when(F.col("score") >= BANDS[0][0], BANDS[0][1])
+    for least, name in BANDS[1:]:
+        band = band.when(F.col("score") >= least, name)
+    return s.withColumn("band", band)
 
 
 def leaderboard(cdr: DataFrame, towers: DataFrame) -> DataFrame:
@@ -66,7 +92,9 @@ def leaderboard(cdr: DataFrame, towers: DataFrame) -> DataFrame:
 
 
 def ip_leaderboard(ipdr: DataFrame) -> DataFrame:
-    return scores(ip_factors(ipdr), ipdr.groupBy(F.col("source_ip").alias("subject")).agg(F.count("*").alias("events"))).orderBy(F.desc("score"), "subject")
+    """Scores of addresses; the evidence of one is the most sessions of any of its signals."""
+    factors = ip_factors(ipdr)
+    return scores(factors, factors.groupBy("subject").agg(F.max("sessions").alias("events"))).orderBy(F.desc("score"), "subject")
 
 
 def watchlist_kind(value: Column) -> Column:
@@ -94,14 +122,17 @@ def manifest(board: DataFrame) -> DataFrame:
 def audit_breaks(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Rows whose prev_hash is not the entry_hash before, or whose entry_hash is not the digest of their fields.
 
-    Neighbours meet by a join on consecutive numbers, not in one ordered window: numbers are given in parallel, by
-    range partition and the rows before each.
+    The row before is that of the next smaller id, whatever gaps ids have. Ids are dealt to ranges of equal width;
+    inside one they are put in order, and the first of each range meets the last of the nearest range before it.
     """
     text = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("prev_hash", *fields)]), 256)
-    numbered = rows.withColumn("good", F.col("entry_hash") == text)
-    before = numbered.select((F.col("id") + 1).alias("id"), F.col("entry_hash").alias("before"))
-    both = numbered.join(before, "id", "left")
-    first = rows.agg(F.min("id").alias("first"))
-    both = both.crossJoin(F.broadcast(first))
-    kind = F.when(~F.col("good"), "content").when((F.col("id") != F.col("first")) & ~F.col("prev_hash").eqNullSafe(F.col("before")), "prev_hash")
+    rows = rows.withColumn("good", F.col("entry_hash") == text).withColumn("stretch", F.floor(F.col("id") / STRETCH))
+    ends = rows.groupBy("stretch").agg(F.max_by("entry_hash", "id").alias("end"))
+    ends = ends.select("stretch", F.lag("end").over(Window.orderBy("stretch")).alias("end_before"))  # one row for STRETCH ids
+    inside = F.lag("entry_hash").over(Window.partitionBy("stretch").orderBy("id"))
+    first = F.lag("id").over(Window.partitionBy("stretch").orderBy("id")).isNull()
+    both = rows.withColumn("inside", inside).withColumn("first", first).join(ends, "stretch")
+    before = F.when(F.col("first"), F.col("end_before")).otherwise(F.col("inside"))
+    alone = F.col("first") & F.col("end_before").isNull()
+    kind = F.when(~F.col("good"), "content").when(~alone & ~F.col("prev_hash").eqNullSafe(before), "prev_hash")
     return both.withColumn("kind", kind).where("kind IS NOT NULL").select("id", "kind")

@@ -48,7 +48,7 @@ register(
     "L01_tunnel_use", lambda t: b.tunnel_use(t.ipdr),
     f" SELECT source_ip AS subject, count(*) FILTER (WHERE destination_port IN {tuple(b.VPN_PORTS)}) AS vpn, count(*) FILTER (WHERE destination_port IN {tuple(b.PROXY_PORTS)}) AS proxy, array_to_string(list_sort(list_distinct(list(destination_port))),',') AS ports, array_to_string(list_slice(list_sort(list_distinct(list(destination_ip))),1,6),',') AS servers FROM ipdr WHERE destination_port IN {tuple(b.VPN_PORTS + b.PROXY_PORTS)} GROUP BY 1",
 )
-register("L02_traffic_volume", lambda t: b.traffic_volume(t.ipdr, mib=1, ratio=1.5), " SELECT *, up>=1048576 AND (down=0 OR up>=1.5*down) AS exfil FROM (SELECT source_ip AS subject, CAST(sum(bytes_uploaded) AS BIGINT) AS up, CAST(sum(bytes_downloaded) AS BIGINT) AS down FROM ipdr GROUP BY 1) ORDER BY up DESC, subject LIMIT 15")
+register("L02_traffic_volume", lambda t: b.traffic_volume(t.ipdr, mib=1, ratio=1.5), " SELECT *, up>=1048576 AND (down=0 OR up>=1.5*down) AS exfil FROM (SELECT source_ip AS subject, CAST(sum(bytes_uploaded) AS BIGINT) AS up, CAST(sum(bytes_downloaded) AS BIGINT) AS down, count(*) AS sessions FROM ipdr GROUP BY 1) ORDER BY up DESC, subject LIMIT 15")
 register(
     "L03_beacons", lambda t: b.beacons(t.ipdr, cv=0.5),
     f", cd AS ({_cad('ipdr', 'source_ip', 'destination_ip', 4, 6, 0.5)}), po AS (SELECT source_ip, destination_ip, CAST(arg_max(destination_port, (start_time, id)) AS BIGINT) AS port FROM ipdr GROUP BY 1,2) SELECT cd.*, port, port NOT IN (80,443) AS non_web FROM cd JOIN po USING (source_ip, destination_ip) ORDER BY cv, source_ip, destination_ip LIMIT 15",

@@ -27,7 +27,7 @@ register("I05_closeness", lambda t: g.closeness(_e(t), _all(_e(t))))
 register("I06_communities", lambda t: g.communities(_e(t)))
 register("I06_modularity", lambda t: g.modularity(_e(t), g.communities(_e(t))))
 register("I07_bridges", lambda t: g.cut_points(_e(t)).where("kind = 'bridge'"))
-register("I08_cut_points", lambda t: g.cut_points(_e(t)).where("kind = 'cut_point'").join(g.nodes(_e(t)), F.col("src") == F.col("node")).select("node", "degree").orderBy(F.desc("degree"), "node").limit(8))
+register("I08_cut_points", lambda t: g.top_cut_points(_e(t)))
 register("I09_brokers", lambda t: g.brokers(_e(t), _all(_e(t))))
 D = ", dp AS (SELECT a_party_number AS a, b_party_number AS b, count(*) AS n FROM cdr WHERE a_party_number<>b_party_number GROUP BY 1,2) "
 register("I10_one_way_ties", lambda t: g.one_way_ties(t.cdr), E + D + "SELECT * FROM dp x WHERE n>=3 AND NOT EXISTS (SELECT 1 FROM dp y WHERE y.a=x.b AND y.b=x.a) ORDER BY n DESC, a, b LIMIT 12")

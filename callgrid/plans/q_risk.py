@@ -8,11 +8,11 @@ from .catalog import register
 from .q_behaviour import _cad
 
 IPF = f""", tn AS (SELECT source_ip AS subject, count(*) FILTER (WHERE destination_port IN {tuple(b.VPN_PORTS)}) AS vpn, count(*) FILTER (WHERE destination_port IN {tuple(b.PROXY_PORTS)}) AS proxy FROM ipdr GROUP BY 1),
- vo AS (SELECT source_ip AS subject, sum(bytes_uploaded) AS up, sum(bytes_downloaded) AS down FROM ipdr GROUP BY 1 ORDER BY up DESC, subject LIMIT 15),
+ vo AS (SELECT source_ip AS subject, sum(bytes_uploaded) AS up, sum(bytes_downloaded) AS down, count(*) AS sessions FROM ipdr GROUP BY 1 ORDER BY up DESC, subject LIMIT 15),
  cd0 AS ({_cad('ipdr', 'source_ip', 'destination_ip', 4, 6, 0.25)}), po AS (SELECT source_ip, destination_ip, arg_max(destination_port, (start_time, id)) AS port FROM ipdr GROUP BY 1,2), cd AS (SELECT * FROM cd0 JOIN po USING (source_ip, destination_ip) ORDER BY cv, source_ip, destination_ip LIMIT 15),
- fa AS (SELECT subject, 'tor' AS factor, 18 AS weight FROM tn WHERE proxy>0 UNION ALL SELECT subject, 'vpn', 12 FROM tn WHERE vpn>0 UNION ALL SELECT subject, 'exfil', 16 FROM vo WHERE up>=52428800 AND (down=0 OR up>=3*down) UNION ALL SELECT source_ip, 'beacon', 16 FROM cd WHERE port NOT IN (80,443)),
- sc AS (SELECT subject, least(100, sum(weight)) AS raw, count(*) AS factors, string_agg(factor, ',' ORDER BY factor) AS why FROM fa GROUP BY 1), ev AS (SELECT source_ip AS subject, count(*) AS events FROM ipdr GROUP BY 1),
- lb AS (SELECT subject, factors, why, events, CAST(CASE WHEN events<3 THEN least(49, raw) ELSE raw END AS BIGINT) AS score FROM sc JOIN ev USING (subject)), lbb AS (SELECT *, CASE WHEN score>=75 THEN 'critical' WHEN score>=50 THEN 'high' WHEN score>=25 THEN 'medium' ELSE 'low' END AS band FROM lb) """
+ fa AS (SELECT subject, 'tor_proxy' AS factor, 18 AS weight, vpn+proxy AS sessions FROM tn WHERE proxy>0 UNION ALL SELECT subject, 'vpn', 12, vpn+proxy FROM tn WHERE vpn>0 UNION ALL SELECT subject, 'exfil', 16, sessions FROM vo WHERE up>=52428800 AND (down=0 OR up>=3*down) UNION ALL SELECT source_ip, 'beaconing', 16, n FROM cd WHERE port NOT IN (80,443)),
+ sc AS (SELECT subject, least(100, sum(weight)) AS raw, count(*) AS factors, string_agg(factor, ',' ORDER BY factor) AS why FROM fa GROUP BY 1), ev AS (SELECT subject, max(sessions) AS events FROM fa GROUP BY 1),
+ lb AS (SELECT subject, factors, why, events, CAST(CASE WHEN events<3 THEN least(49, raw) ELSE raw END AS BIGINT) AS score FROM sc JOIN ev USING (subject)), lbb AS (SELECT *, CASE WHEN score>=75 THEN 'critical' WHEN score>=50 THEN 'high' WHEN score>=25 THEN 'elevated' ELSE 'low' END AS band FROM lb) """
 register("O01_cdr_factors", lambda t: r.cdr_factors(t.cdr, t.towers))
 register("O02_leaderboard", lambda t: r.leaderboard(t.cdr, t.towers))
 register("O03_ip_leaderboard", lambda t: r.ip_leaderboard(t.ipdr), IPF + "SELECT * FROM lbb")

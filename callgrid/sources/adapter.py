@@ -26,8 +26,9 @@ ipdr AS (SELECT event_id AS id, CAST(CAST(floor((day(ts)-1)/10.0) AS INT)+1 AS V
  concat('98',lpad(CAST(user_id AS VARCHAR),8,'0')) AS msisdn,
  concat('10.0.',CAST(user_id%4 AS VARCHAR),'.',CAST(user_id%250 AS VARCHAR)) AS source_ip,
  CASE k%8 WHEN 0 THEN '157.240.1.1' WHEN 1 THEN '8.8.8.8' WHEN 2 THEN '142.250.1.9' WHEN 3 THEN '45.76.1.7' WHEN 4 THEN '49.40.1.2' WHEN 5 THEN '192.168.1.5' WHEN 6 THEN '100.70.1.1' ELSE concat('93.184.216.',CAST(user_id%200 AS VARCHAR)) END AS destination_ip,
- CASE k%10 WHEN 0 THEN 443 WHEN 1 THEN 53 WHEN 2 THEN 3478 WHEN 3 THEN 1194 WHEN 4 THEN 9050 WHEN 5 THEN 80 WHEN 6 THEN 5222 WHEN 7 THEN 443 WHEN 8 THEN 27017 ELSE 40000+k END AS destination_port,
- CASE WHEN k%3=0 THEN 'UDP' ELSE 'TCP' END AS protocol, CASE k%4 WHEN 0 THEN 'internet' WHEN 1 THEN 'ims' ELSE NULL END AS apn, CASE k%3 WHEN 0 THEN 'LTE' WHEN 1 THEN 'NR' ELSE NULL END AS rat,
+ CASE k%10 WHEN 0 THEN 443 WHEN 1 THEN 53 WHEN 2 THEN 3478 WHEN 3 THEN 1194 WHEN 4 THEN 9050 WHEN 5 THEN 80 WHEN 6 THEN 5222 WHEN 7 THEN 443 WHEN 8 THEN 27017 ELSE CAST((event_id*37)%65536 AS INT) END AS destination_port,
+ CASE k%5 WHEN 0 THEN NULL WHEN 1 THEN 5060 WHEN 2 THEN CAST((event_id*41)%49152 AS INT) ELSE CAST(49152+(event_id*43)%16384 AS INT) END AS source_port,
+ CASE WHEN k%3=0 THEN 'UDP' WHEN k%11=1 THEN 'TLS' WHEN k%13=1 THEN 'GRE' ELSE 'TCP' END AS protocol, CASE k%4 WHEN 0 THEN 'internet' WHEN 1 THEN 'ims' ELSE NULL END AS apn, CASE k%3 WHEN 0 THEN 'LTE' WHEN 1 THEN 'NR' ELSE NULL END AS rat,
  concat('T',lpad(CAST((user_id%20)*2 AS VARCHAR),3,'0')) AS tower_id,
  concat('35',lpad(CAST(user_id AS VARCHAR),13,'0')) AS imei, concat('404',lpad(CAST(user_id AS VARCHAR),12,'0')) AS imsi,
  CAST(floor(value*10000*(k%7)) AS BIGINT) AS bytes_uploaded, CAST(floor(value*20000) AS BIGINT) AS bytes_downloaded, ts AS start_time
@@ -82,13 +83,16 @@ class Tables:
         to = F.concat(F.lit("93.184.216."), (u % 200).cast("string"))
         for i, host in reversed(list(enumerate(hosts))):
             to = F.when(k % 8 == i, host).otherwise(to)
-        port = (40000 + k).cast("int")
+        e = F.col("event_id")
+        port = (e * 37 % 65536).cast("int")
         for i, n in reversed(list(enumerate(ports))):
             port = F.when(k % 10 == i, F.lit(n)).otherwise(port)
         return self._events.where("event_id % 2 = 1").select(
             F.col("event_id").alias("id"), self._case.alias("case_id"), F.concat(F.lit("98"), p(u, 8)).alias("msisdn"),
             F.concat(F.lit("10.0."), (u % 4).cast("string"), F.lit("."), (u % 250).cast("string")).alias("source_ip"),
-            to.alias("destination_ip"), port.alias("destination_port"), F.when(k % 3 == 0, "UDP").otherwise("TCP").alias("protocol"),
+            to.alias("destination_ip"), port.alias("destination_port"), 
+            F.when(k % 5 == 0, F.lit(None).cast("int")).when(k % 5 == 1, 5060).when(k % 5 == 2, (e * 41 % 49152).cast("int")).otherwise((49152 + e * 43 % 16384).cast("int")).alias("source_port"),
+            F.when(k % 3 == 0, "UDP").when(k % 11 == 1, "TLS").when(k % 13 == 1, "GRE").otherwise("TCP").alias("protocol"),
             F.when(k % 4 == 0, "internet").when(k % 4 == 1, "ims").alias("apn"), F.when(k % 3 == 0, "LTE").when(k % 3 == 1, "NR").alias("rat"),
             F.concat(F.lit("T"), p((u % 20) * 2, 3)).alias("tower_id"), F.concat(F.lit("35"), p(u, 13)).alias("imei"), F.concat(F.lit("404"), p(u, 12)).alias("imsi"),
             F.floor(F.col("value") * 10000 * (k % 7)).cast("long").alias("bytes_uploaded"), F.floor(F.col("value") * 20000).cast("long").alias("bytes_downloaded"),
