@@ -71,14 +71,10 @@ def line_sketches(lines: list[bytes], oph: OnePermutation, k: int = SHINGLE) ->
 
 
 class LineItems(Items):
-    """Contents are lines in UTF-8; their sets hold the shingles themselves."""
+    """Contents are lines in UTF-8; their sets hold 64-bit hashes of the shingles."""
 
-    def to_set(self, content: bytes) -> set[str]:
-        line = content.decode()
-        return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-
-    def common(self, a: set[str], b: set[str]) -> int:
-        return len(a & b)
+    def to_set(self, content: bytes) -> np.ndarray:
+        return line_set(content)
 
 
 def _node(line: bytes) -> int:

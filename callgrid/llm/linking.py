@@ -30,6 +30,8 @@ from .shingles import likeness
 
 #: Members of a bucket that go to one chunk.
 CHUNK_ROWS = 4096
+#: Members of sets (8 bytes each) that a task keeps while it compares.
+MOST_HELD = 4_000_000
 #: Bits (8 MB of them) of the broadcast bitmap of bucket keys that have several members.
 KEY_BITS = 1 << 26
 
@@ -123,7 +125,7 @@ def _inside(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]],
         group[new] = 1
         group = np.cumsum(group)
         left = np.searchsorted(group, group, "right") - np.arange(len(group))  # rows from here to the end of the group
-        found, sets, d = [], {}, 0
+        found, sets, held, d = [], {}, 0, 0
         at = np.arange(len(group))
         while len(at := at[left[at] > (d := d + 1)]):
             i, j = at, at + d
@@ -141,12 +143,15 @@ def _inside(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]],
                     for z in (x, y):
                         if z not in sets:
                             sets[z] = items.to_set(content[z].as_py())
+                            held += len(sets[z])
                     if items.alike(sets[x], sets[y], percent):
                         joined.append((int(label[x]), int(label[y])))
                         found.append((int(node[x]), int(node[y])))
                 if joined:
                     label = _merged(label, joined)
-            sets.clear()
+                if held > MOST_HELD:
+                    sets.clear()
+                    held = 0
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
