@@ -49,16 +49,16 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def saved(df: DataFrame, name: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+def saved(df: DataFrame, name: str, instead_of: Iterable[DataFrame] = (), random: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation.
 
     Tables of this kind that the new one stands ``instead_of`` are removed once it is written; nothing that is
-    still to be read may rest on them. The other tables stay below ``callgrid/`` until the job's owner clears the folder.
+    still to be read may rest on them. Columns of ``random`` values get no dictionaries. The other tables stay below ``callgrid/`` until the job's owner clears the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/callgrid/{name}-{uuid.uuid4().hex}"
     with _shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(not random).lower()).parquet(path)
     for old in instead_of:
         where = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(id(old))[1])
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -85,7 +85,7 @@ def _node(line: bytes) -> int:
 
 def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, mark, nodes (hash of each line, null where blank), fresh (node and keys of lines new to the task's batch) and raw (those lines)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)  # lines that repeat in a batch are sketched once
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, mark, n_lines), and the places (from 0) of the lines that each loses (doc_id, mark, gone)."""
-    base = saved(_sketched(docs, bands, rows), "lines")
+    base = saved(_sketched(docs, bands, rows), "lines", random=True)
     heads = base.select(F.explode("fresh").alias("f")).select("f.node", "f.keys")
 
     def contents(nodes: DataFrame) -> DataFrame:
@@ -126,11 +126,16 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         return near.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"))
 
     labels = link(heads, contents, LineItems(bands, rows), percent, once=False)
+    # only lines that stand in several places, or are like others, can go: the rest needs no further shuffle
+    every = base.select(F.explode("nodes").alias("node")).where("node IS NOT NULL")
+    often = every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    wanted = saved(often.union(labels.select("node")), "shared-lines")
     placed = base.select("doc_id", "mark", F.posexplode("nodes").alias("at", "node")).where("node IS NOT NULL")
-    named = placed.join(labels, "node", "left").select(
+    named = prefilter(placed, F.col("node"), wanted, "node").join(labels, "node", "left").select(
         "doc_id", "mark", "at", F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "at").alias("where")
     )
-    first = named.groupBy("label").agg(F.min("where").alias("first"), F.max("where").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
+    named = saved(named, "named-lines", [wanted])
+    first = named.groupBy("label").agg(F.min("where").alias("first"), F.count("*").alias("many")).where("many > 1")
     lost = salted_join(named, saved(first, "first-lines"), "label", "many").where("where > first")
     gone = saved(lost.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("gone")), "lost-lines")
     return base.select("doc_id", "mark", F.size(F.filter("nodes", lambda x: x.isNotNull())).cast("long").alias("n_lines")), gone

@@ -188,9 +188,9 @@ def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], items: It
     sizes = ["n"] if once else []
     entries = heads.select("node", *sizes, F.explode("keys").alias("key"))
     stars = entries.groupBy("key").agg(F.min("node").alias("top"), F.max("node").alias("last"), *[F.min_by("n", "node").alias("top_n") for _ in sizes]).where("top < last").drop("last")
-    stars = saved(stars, "stars")
+    stars = saved(stars, "stars", random=True)
     shared = prefilter(entries, F.col("key"), stars, "key", KEY_BITS).join(stars, "key")
-    shared = saved(shared if once else shared.dropDuplicates(["key", "node"]), "buckets", [stars])
+    shared = saved(shared if once else shared.dropDuplicates(["key", "node"]), "buckets", [stars], random=True)
     edges = shared.where("node <> top")
     if once:
         edges = edges.where(f"100 * least(n, top_n) >= {percent} * greatest(n, top_n)")
