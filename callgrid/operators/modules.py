@@ -135,6 +135,16 @@ def check_ins(cdr: DataFrame, least: int = 5) -> DataFrame:
     return g.withColumn("kind", kind).where("kind IS NOT NULL").select("a_party_number", "b_party_number", "n", F.round("mean", 3).alias("mean_hours"), "kind")
 
 
+def home_and_work(rows: DataFrame) -> DataFrame:
+    """Each subject's commonest tower from 19 to 8 and from 9 to 18 o'clock (Unknown without one; of equal ones the first by name), and how many towers it visits."""
+    h = F.hour("start_time")
+    part = F.when((h >= 19) | (h < 8), "home").when(h.between(9, 17), "work")
+    n = rows.where("subject IS NOT NULL AND tower_id IS NOT NULL AND start_time IS NOT NULL").withColumn("part", part).groupBy("subject", "part", "tower_id").agg(F.count("*").alias("n"))
+    best = lambda p: F.coalesce(F.min_by(F.when(F.col("part") == p, F.col("tower_id")), F.when(F.col("part") == p, F.struct(-F.col("n"), F.col("tower_id")))), F.lit("Unknown"))
+    g = n.groupBy("subject").agg(best("home").alias("home"), best("work").alias("work"), F.countDistinct("tower_id").alias("towers"))
+    return g.withColumn("mobility", F.when(F.col("towers") > 4, "High").otherwise("Low"))
+
+
 def contact_pairs(cdr: DataFrame, least: int = 2) -> DataFrame:
     """Pairs of callers by common contacts with Jaccard similarity."""
     e = cdr.where("a_party_number <> b_party_number").select(F.col("a_party_number").alias("s"), F.col("b_party_number").alias("c")).distinct()

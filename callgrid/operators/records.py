@@ -115,3 +115,20 @@ def in_polygon(df: DataFrame, polygon: list[tuple[float, float]], lat: str = "la
             spans = (F.lit(y1) > F.col(lat)) != (F.lit(y2) > F.col(lat))
             crossings = crossings + F.when(spans & (F.col(lon) < (x2 - x1) * (F.col(lat) - y1) / (y2 - y1) + x1), 1).otherwise(0)
     return df.where(box).where(crossings % 2 == 1)
+
+
+def audit_rows(audit: DataFrame, equal: dict[str, str] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Audit rows with these values and times (both ends included), the newest first."""
+    for name, value in (equal or {}).items():
+        audit = audit.where(F.col(name) == value)
+    if since is not None:
+        audit = audit.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        audit = audit.where(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
+    return audit.orderBy(F.desc("ts"), F.desc("id"))
+
+
+def watchlist_groups(watch: DataFrame) -> DataFrame:
+    """Entries of each group; those without one are in Default."""
+    name = F.coalesce(F.nullif(F.trim("group"), F.lit("")), F.lit("Default"))
+    return watch.groupBy(name.alias("group")).agg(F.count("*").alias("n"))

@@ -65,3 +65,9 @@ register(
     ", tc AS (SELECT subject, string_agg(b, ',' ORDER BY c DESC, b) AS top_contacts FROM (SELECT a_party_number AS subject, b_party_number AS b, count(*) AS c FROM cdr GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY c DESC, b)<=5) GROUP BY 1) SELECT a_party_number AS subject, count(*) AS calls, count(DISTINCT b_party_number) AS contacts, count(DISTINCT tower_id) AS towers, round(count(*) FILTER (WHERE hour(start_time)>=23 OR hour(start_time)<5)/count(*),3) AS night_share, min(top_contacts) AS top_contacts FROM cdr JOIN tc ON tc.subject=a_party_number GROUP BY 1",
 )
 register("P21_leads", lambda t: p.leads(t.cdr))
+_TOP = "(SELECT a_party_number AS subject, tower_id, count(*) AS n, {0} AS part FROM cdr GROUP BY 1,2,4)"
+_PART = "CASE WHEN hour(start_time)>=19 OR hour(start_time)<8 THEN 'home' WHEN hour(start_time) BETWEEN 9 AND 17 THEN 'work' END"
+register(
+    "P18_home_and_work", lambda t: p.home_and_work(owned(t.cdr)),
+    f", hw AS {_TOP.format(_PART)} SELECT subject, coalesce(arg_min(tower_id, (-n, tower_id)) FILTER (WHERE part='home'), 'Unknown') AS home, coalesce(arg_min(tower_id, (-n, tower_id)) FILTER (WHERE part='work'), 'Unknown') AS work, count(DISTINCT tower_id) AS towers, CASE WHEN count(DISTINCT tower_id)>4 THEN 'High' ELSE 'Low' END AS mobility FROM hw GROUP BY 1",
+)

@@ -95,3 +95,12 @@ register(
     "C16_geofence", lambda t: r.in_polygon(r.with_position(t.cdr, t.towers), POLYGON).select("id", "tower_id"),
     "SELECT id, tower_id FROM cdr JOIN tw USING (tower_id) WHERE " + _ray(POLYGON),
 )
+register(
+    "C14_audit_rows",
+    lambda t: r.audit_rows(t.cdr.select("id", F.col("start_time").alias("ts"), F.col("a_party_number").alias("username"), F.col("call_type").alias("action")), {"action": "SMS"}, since="2024-01-05").select("id", "username", "action"),
+    " SELECT id, a_party_number AS username, call_type AS action FROM cdr WHERE call_type='SMS' AND start_time>=TIMESTAMP '2024-01-05'",
+)
+register(
+    "D33_watchlist_groups", lambda t: r.watchlist_groups(t.cdr.select("a_party_number", F.when(F.col("id") % 3 > 0, F.col("technology")).alias("group")).distinct()),
+    " SELECT coalesce(g, 'Default') AS \"group\", count(*) AS n FROM (SELECT DISTINCT a_party_number, CASE WHEN id%3>0 THEN technology END AS g FROM cdr) GROUP BY 1",
+)

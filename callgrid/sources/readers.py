@@ -15,14 +15,82 @@ COLUMNS = {
     "sdr": ["msisdn", "imsi", "imei", "name", "address", "alt_number", "id_proof", "activation_date", "operator"],
 }
 REQUIRED = {"cdr": ["a_party_number", "b_party_number", "start_time", "end_time", "duration_seconds"], "ipdr": ["start_time", "end_time", "source_ip", "destination_ip"], "dump": ["msisdn", "start_time"], "sdr": ["msisdn"]}
+# Other names that headers of each feed go by, after normalising; a name counts for the first column that lists it.
 ALIASES = {
-    "msisdn": ["mobile_number", "mobile", "phone_number", "number"], "a_party_number": ["a_party", "calling_number", "caller"], "b_party_number": ["b_party", "called_number", "callee"], "other_party": ["b_party", "other_number"],
-    "start_time": ["call_date", "start", "date_time", "timestamp"], "end_time": ["end", "call_end"], "duration_seconds": ["duration", "call_duration"], "source_ip": ["src_ip", "private_ip"], "destination_ip": ["dst_ip", "dest_ip", "public_ip"],
-    "source_port": ["src_port"], "destination_port": ["dst_port", "dest_port"], "bytes_uploaded": ["uplink_volume", "upload_bytes"], "bytes_downloaded": ["downlink_volume", "download_bytes"], "tower_id": ["site_id", "first_cell_id", "tower"],
-    "latitude": ["lat"], "longitude": ["lon", "lng", "long"], "name": ["subscriber_name", "customer_name"], "address": ["permanent_address"], "alt_number": ["alternate_number"],
-}
+    "cdr": {
+        "a_party_number": "aparty a_party caller calling_number calling_party callingnumber originating_number from_number msisdn_a a_no anumber",
+        "b_party_number": "bparty b_party called called_number called_party callednumber terminating_number to_number msisdn_b b_no bnumber",
+        "start_time": "starttime call_date call_datetime datetime date_time start start_date call_start event_time timestamp date",
+        "end_time": "endtime end call_end stop_time disconnect_time",
+        "duration_seconds": "duration call_duration dur duration_sec durationsecs duration_secs call_dur",
+        "msisdn": "mobile_number subscriber subscriber_number",
+        "imei": "imei_number handset device_id imei_no",
+        "imsi": "imsi_number sim imsi_no",
+        "call_type": "calltype type event_type service_type",
+        "direction": "call_direction in_out io",
+        "tower_id": "towerid cgi site_id first_cgi cell_global_id tower",
+        "cell_id": "cellid ci cell",
+        "lac": "location_area_code tac",
+        "latitude": "lat tower_lat latitude_deg",
+        "longitude": "long lng lon tower_long tower_lng longitude_deg",
+        "technology": "tech rat network_type bearer",
+    },
+    "ipdr": {
+        "start_time": "starttime session_start datetime date_time start start_date event_time timestamp date",
+        "end_time": "endtime session_end end stop_time",
+        "source_ip": "sourceip src_ip source_ip_address private_ip src source_address",
+        "destination_ip": "destinationip dest_ip dst_ip destination_ip_address public_ip dst destination_address",
+        "source_port": "sourceport src_port private_port sport",
+        "destination_port": "destinationport dest_port dst_port public_port dport",
+        "duration_seconds": "duration session_duration dur duration_sec",
+        "protocol": "proto ip_protocol l4_protocol",
+        "bytes_uploaded": "bytes_up uplink_bytes ul_bytes upload_bytes data_up uplink_volume",
+        "bytes_downloaded": "bytes_down downlink_bytes dl_bytes download_bytes data_down downlink_volume",
+        "msisdn": "mobile_number subscriber subscriber_number",
+        "imei": "imei_number handset device_id",
+        "imsi": "imsi_number sim",
+        "tower_id": "towerid cgi site_id cell_global_id tower",
+        "cell_id": "cellid ci cell",
+        "lac": "location_area_code tac",
+        "latitude": "lat tower_lat",
+        "longitude": "long lng lon tower_long tower_lng",
+        "apn": "access_point_name apn_name",
+        "rat": "radio_access_technology network_type technology bearer",
+    },
+    "dump": {
+        "msisdn": "mobile_number number a_party aparty calling_number party subscriber subscriber_number caller msisdn_a a_no",
+        "other_party": "b_party bparty called called_number b_no called_party to_number",
+        "start_time": "starttime call_date datetime date_time start start_date event_time timestamp date first_seen",
+        "end_time": "endtime end stop_time last_seen",
+        "call_type": "calltype type event_type service_type",
+        "imei": "imei_number handset device_id imei_no",
+        "imsi": "imsi_number sim imsi_no",
+        "tower_id": "towerid cgi site_id cell_global_id tower first_cgi",
+        "cell_id": "cellid ci cell",
+        "lac": "location_area_code tac",
+        "latitude": "lat tower_lat",
+        "longitude": "long lng lon tower_long tower_lng",
+    },
+    "sdr": {
+        "msisdn": "mobile_number number phone contact_number target_number mobile msisdn_no subscriber_number",
+        "name": "subscriber_name customer_name cust_name sub_name full_name",
+        "address": "addr residential_address address1 customer_address current_address",
+        "alt_number": "alternate_number alt_no alternate_contact alt_mobile secondary_number alternate_mobile",
+        "id_proof": "id idproof id_document poi poa document id_type",
+        "activation_date": "activation doa date_of_activation activated_on activation_dt",
+        "operator": "provider telco carrier service_provider tsp",
+        "imsi": "imsi_number sim",
+        "imei": "imei_number handset device_id",
+    },
+}
+# Operators and what in the headers hints at them, in order.
+HINTS = [("Airtel", ["airtel"]), ("Jio", ["jio", "ril"]), ("Vi", ["vodafone", "vodafone_idea", "vi_"]), ("BSNL", ["bsnl"])]
 # Time formats, tried in this order.
-FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyyMMddHHmmss", "dd/MM/yyyy", "yyyy-MM-dd"]
+FORMATS = [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MMM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm", "dd-MM-yyyy HH:mm",
+]
+#: What else is read, day first, where none of those fits.
+LATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy", "dd-MMM-yyyy", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "yyyyMMddHHmmss", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSSSSS"]
 TIMES, WHOLE, REAL = {"start_time", "end_time"}, {"duration_seconds": "int", "source_port": "int", "destination_port": "int", "bytes_uploaded": "bigint", "bytes_downloaded": "bigint"}, {"latitude", "longitude"}
 
 
@@ -31,22 +99,30 @@ def normal_header(name: str) -> str:
 
 
 def resolve(headers: list[str], kind: str, override: dict[str, str] | None = None) -> tuple[dict[str, str], list[str]]:
-    """Canonical name -> header, and the required names that no header stands for. A user's choice, then the name itself, then aliases."""
-    by = {}
+    """Canonical name -> header, and the required names that no header stands for.
+
+    A user's choice wins where the file has such a header. Otherwise the first header of the file counts that is
+    the name itself or one of its aliases; a header that several columns list stands for the first of them.
+    """
+    stands = {c: c for c in COLUMNS[kind]}
+    for c, others in ALIASES[kind].items():
+        for alias in others.split():
+            stands.setdefault(alias, c)
+    found: dict[str, str] = {}
     for h in headers:
-        by.setdefault(normal_header(h), h)
-    found = {}
-    for c in COLUMNS[kind]:
-        own = (override or {}).get(c)
-        if own in headers:
-            found[c] = own
-            continue
-        hit = next((by[n] for n in [c, *ALIASES.get(c, [])] if n in by), None)
-        if hit is not None:
-            found[c] = hit
+        c = stands.get(normal_header(h))
+        if c:
+            found.setdefault(c, h)
+    found |= {c: h for c, h in (override or {}).items() if c in COLUMNS[kind] and h in headers}
     return found, [c for c in REQUIRED[kind] if c not in found]
 
 
+def operator_hint(headers: list[str]) -> str | None:
+    """The operator that the headers speak of, if any."""
+    text = " ".join(map(normal_header, headers))
+    return next((name for name, parts in HINTS if any(p in text for p in parts)), None)
+
+
 def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Every column as text. Without ``sep`` the header line decides between comma, semicolon, tab and bar."""
     if sep is None:
@@ -57,7 +133,7 @@ def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFra
 
 
 def parse_time(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in FORMATS]).cast("timestamp_ntz")
+    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in FORMATS + LATE_FORMATS]).cast("timestamp_ntz")
 
 
 def canonical(raw: DataFrame, kind: str, case_id: str | None = None, override: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -91,8 +167,10 @@ def import_report(raw: DataFrame, kind: str, override: dict[str, str] | None = N
     return raw.agg(F.count("*").alias("total"), F.count_if(~bad).alias("imported"), F.count_if(bad).alias("dropped"))
 
 
-def preview(raw: DataFrame, n: int = 50) -> DataFrame:
-    return raw.limit(n)
+def preview(raw: DataFrame, kind: str, n: int = 50, override: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
+    """The first rows, and how the headers are read: mapping, missing required names, the operator they hint at. Nothing is written."""
+    found, missing = resolve(raw.columns, kind, override)
+    return raw.limit(n), {"mapping": found, "missing": missing, "operator": operator_hint(raw.columns), "required": REQUIRED[kind]}
 
 
 def merged_networks(networks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -74,11 +74,46 @@ def impossible_travel(located: DataFrame, kmh: float = 900, km: float = 5) -> Da
     return located.groupBy("subject").applyInPandasWithState(step, "subject string, t double, km double", "t double, latitude double, longitude double", "append", GroupStateTimeout.NoTimeout)
 
 
-def refresh_touched(batch: DataFrame, facts_path: str, reports_path: str) -> None:
-    """For foreachBatch: adds the rows, then rebuilds the daily report of the touched cases only."""
-    spark = batch.sparkSession
-    batch.write.mode("append").partitionBy("case_id").parquet(facts_path)
-    touched = batch.select("case_id").distinct()
-    facts = spark.read.parquet(facts_path).join(F.broadcast(touched), "case_id", "left_semi")
-    report = facts.select("case_id").distinct().join(volume_by_day(owned(facts).withColumn("subject", F.concat_ws("|", "case_id", "a_party_number"))).withColumn("case_id", F.split("subject", r"\|")[0]), "case_id")
-    report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(reports_path)
+def new_rows(facts: DataFrame, seen: int | None) -> DataFrame:
+    """The rows after the watermark (the greatest id that reports have seen; None: all)."""
+    return facts if seen is None else facts.where(F.col("id") > seen)
+
+
+def watermark(facts: DataFrame) -> int | None:
+    return facts.agg(F.max("id")).first()[0]
+
+
+def touched_subjects(rows: DataFrame) -> DataFrame:
+    """case_id and subject of both ends of the rows."""
+    side = lambda c: rows.select("case_id", F.col(c).alias("subject"))
+    return side("a_party_number").union(side("b_party_number")).where("subject IS NOT NULL").distinct()
+
+
+def daily_reports(facts: DataFrame) -> DataFrame:
+    """case_id and the daily report of each of its callers."""
+    named = owned(facts).withColumn("subject", F.concat_ws("|", "case_id", "a_party_number"))
+    return volume_by_day(named).withColumn("case_id", F.split("subject", r"\|")[0])
+
+
+def refreshed(reports: DataFrame, facts: DataFrame, seen: int | None) -> DataFrame:
+    """The daily reports after new rows came: those of touched callers are made anew, the others stay; the same as all made anew."""
+    touched = new_rows(facts, seen).select("case_id", "a_party_number").distinct()
+    again = daily_reports(facts.join(touched, ["case_id", "a_party_number"], "left_semi"))
+    return reports.join(again.select("subject").distinct(), "subject", "left_anti").unionByName(again)
+
+
+def refresh_touched(facts_path: str, reports_path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: adds the rows, then rebuilds the daily reports of the touched cases only.
+
+    Rows lie in a folder of their case and batch, so a batch that comes again replaces its own rows and no others.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id", "batch").parquet(facts_path)
+        facts = spark.read.option("partitionOverwriteMode", "dynamic").schema(rows.schema).parquet(facts_path)
+        facts = facts.join(batch.select("case_id").distinct(), "case_id", "left_semi")
+        daily_reports(facts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(reports_path)
+
+    return run
