@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 ``run`` writes what a stage returns to the shared folder before the next reads it, as a stage reads its documents
-more than once.
+more than once. In all stages null texts count as empty, texts may be of any length, rows that repeat a doc_id or
+are equal are handled each, other columns pass through whatever their names, and an empty table gives an empty one.
 """
 
 import public_tokenizers
@@ -23,27 +24,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; the others lose the lines above the limit of their host."""
+    """Documents that the quality rules reject go, null and empty texts among them; the others lose the lines above the limit of their host."""
     return _counted(keep_good(docs))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of fuzzy copies of a line the first stays; no document goes, though a text may be left empty."""
+    """Of fuzzy copies of a line the first stays; no document goes, though a text may be left empty; null texts stay null."""
     return _counted(without_duplicate_lines(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with similarity 0.8 or more the one with the least doc_id stays."""
+    """Of each group of documents with similarity 0.8 or more the one with the least doc_id stays, with all its rows; texts without words are like no other."""
     return drop_near_duplicates(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in angle brackets."""
+    """Personal data gives way to its kind in angle brackets; null texts stay null."""
     return _counted(masked(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    """The pieces of all documents with their places in sequences of 4096 tokens; a text that is null or empty has one token, the end mark."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
