@@ -111,7 +111,7 @@ def device_summary(rows: DataFrame, column: str, tac: DataFrame | None = None) -
     g = rows.where(F.col(column).isNotNull()).groupBy("subject", column).agg(when_text(F.min("start_time")).alias("first"), when_text(F.max("start_time")).alias("last"), F.count("*").alias("n"))
     if tac is None:
         return g
-    return g.join(F.broadcast(tac), F.substring(column, 1, 8) == tac["tac"], "left").drop("tac")
+    return g.join(tac, F.substring(column, 1, 8) == tac["tac"], "left").drop("tac")
 
 
 def bank_sms(rows: DataFrame) -> DataFrame:

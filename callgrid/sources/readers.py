@@ -132,6 +132,19 @@ def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFra
     return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
 
 
+def dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """A reference table from a user's file, JSON rows (.json) or delimited text with a header: these columns with these types, in the order of the file.
+
+    Headers are normalised; values that don't cast are null; ``ord`` numbers the rows where it is asked for.
+    """
+    raw = spark.read.json(path) if path.endswith(".json") else delimited(spark, path)
+    by = {normal_header(c): c for c in raw.columns}
+    missing = [c for c in columns if c != "ord" and c not in by]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return raw.select(*[(F.monotonically_increasing_id() if c == "ord" else F.trim(F.col(f"`{by[c]}`").cast("string"))).try_cast(kind).alias(c) for c, kind in columns.items()])
+
+
 def parse_time(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in FORMATS + LATE_FORMATS]).cast("timestamp_ntz")
 

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from callgrid.operators import modules, records
+from callgrid.operators import lookups, modules, records
 from callgrid.sources import readers, sinks
 from callgrid.streaming import streams
 
@@ -50,6 +50,17 @@ def test_feed_with_other_headers(spark, tmp_path):
     assert rows.count() == 2 and report["missing"] == [] and report["mapping"]["start_time"] == "Call Date"
 
 
+def test_dimension_from_file(spark, tmp_path):
+    (tmp_path / "isd.csv").write_text("Prefix,Country\n44,United Kingdom\n1242,Bahamas\n1,United States\n")
+    prefixes = readers.dimension(spark, f"{tmp_path}/isd.csv", {"prefix": "string", "country": "string"})
+    df = spark.createDataFrame([("+44 20",), ("0012425",), ("13",), ("999",)], "n string")
+    got = {r["n"]: r["country"] for r in lookups.isd_country(df, "n", prefixes).collect()}
+    assert got == {"+44 20": "United Kingdom", "0012425": "Bahamas", "13": "United States", "999": None}
+    (tmp_path / "cities.json").write_text('{"city": "A", "state": "S", "latitude": "1.5", "longitude": "x"}\n')
+    kinds = {"ord": "long", "city": "string", "latitude": "double", "longitude": "double"}
+    assert [tuple(r) for r in readers.dimension(spark, f"{tmp_path}/cities.json", kinds).collect()] == [(0, "A", 1.5, None)]
+
+
 def test_loads(spark, tmp_path):
     df = calls(spark, [(1, "a", "x", "y", 0), (2, "b", "x", "y", 1)])
     at = f"{tmp_path}/facts"
