@@ -13,9 +13,10 @@ SPEEDS = [(3, "stationary"), (12, "walking"), (45, "urban"), (120, "road"), (250
 
 
 def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
+    """Kilometres between two positions; null if any of them is."""
     lat1, lon1, lat2, lon2 = (F.radians(F.col(c) if isinstance(c, str) else c) for c in (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * radius * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least() would take 1 for null
 
 
 def classify_speed(kmh: Column) -> Column:

@@ -7,7 +7,8 @@ from ..operators import movement as m
 from ..operators.compare import common  # noqa: F401
 from .catalog import register
 
-R = "2*6371.0088*asin(least(1.0,sqrt(pow(sin(radians({1}-{0})/2),2)+cos(radians({0}))*cos(radians({1}))*pow(sin(radians({3}-{2})/2),2))))"
+_A = "(pow(sin(radians({1}-{0})/2),2)+cos(radians({0}))*cos(radians({1}))*pow(sin(radians({3}-{2})/2),2))"
+R = f"(CASE WHEN {_A} IS NOT NULL THEN 2*6371.0088*asin(sqrt(least(1.0,{_A}))) END)"  # least() passes over nulls
 KM = R.format("plat", "latitude", "plon", "longitude")
 ST = f""", st AS (SELECT id, msisdn AS subject, start_time, tower_id, imei, technology, latitude, longitude, epoch_us(start_time)/1e6 AS t FROM cdr JOIN tw USING (tower_id)),
  lg0 AS (SELECT *, lag(latitude) OVER w AS plat, lag(longitude) OVER w AS plon, lag(t) OVER w AS pt, lag(tower_id) OVER w AS from_tower, lag(imei) OVER w AS from_imei FROM st WINDOW w AS (PARTITION BY subject ORDER BY start_time, id)),

@@ -28,7 +28,14 @@ def test_impossible_travel(spark):
     towers = spark.createDataFrame([("M", 13.0827, 80.2707), ("D", 28.6139, 77.209)], "tower_id string, latitude double, longitude double")
     df = calls(spark, [(0, "x", "y", "M", "1"), (18, "x", "y", "D", "1"), (100, "z", "y", "M", "1"), (100, "z", "y", "D", "1")])
     got = {r["subject"]: r["kmh"] for r in movement.legs(movement.streams(df, towers)).where("impossible").collect()}
-    assert got["x"] > 900 and got["z"] is None
+    assert set(got) == {"x", "z"} and got["x"] > 900 and got["z"] is None
+
+
+def test_no_leg_without_two_positions(spark):
+    """A first row, a row without a position and the one after it have no leg."""
+    towers = spark.createDataFrame([("M", 13.0827, 80.2707), ("D", 28.6139, 77.209)], "tower_id string, latitude double, longitude double")
+    df = calls(spark, [(0, "x", "y", "M", "1"), (10, "x", "y", "nowhere", "1"), (20, "x", "y", "D", "1"), (600, "x", "y", "M", "1")])
+    assert [(r["from_tower"], r["tower_id"]) for r in movement.legs(movement.streams(df, towers)).collect()] == [("D", "M")]
 
 
 def test_identity_states(spark):
