@@ -84,7 +84,7 @@ def _node(line: bytes) -> int:
 
 
 def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, mark, nodes (hash of each line, null where blank), fresh (node and keys of lines new to the task's batch) and raw (those lines)."""
+    """doc_id, mark, nodes (hash of each line, null where blank), fresh (node and keys of lines new to the task's batch)."""
     small_batches(docs.sparkSession, 2000)  # lines that repeat in a batch are sketched once
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -107,22 +107,32 @@ def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             fresh = pa.StructArray.from_arrays(
                 [pa.array(new, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * bands, pa.int32()), pa.array(keys.ravel()))], names=["node", "keys"]
             )
-            ends = pa.array(counts, pa.int32())
-            columns = [pa.array(nodes, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, fresh), pa.ListArray.from_arrays(ends, pa.array(texts, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "mark", "nodes", "fresh", "raw"])
+            columns = [pa.array(nodes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), fresh)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "mark", "nodes", "fresh"])
 
-    schema = f"doc_id {kind}, mark long, nodes array<long>, fresh array<struct<node: long, keys: array<long>>>, raw array<binary>"
+    schema = f"doc_id {kind}, mark long, nodes array<long>, fresh array<struct<node: long, keys: array<long>>>"
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, schema)
 
 
+def _each_line(docs: DataFrame) -> DataFrame:
+    """node and content of the lines, each once in a task's batch: read again, as a copy of all lines would be as large as the texts."""
+    small_batches(docs.sparkSession, 2000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = {_node(raw): raw for raw in {raw for text in b.column(0).to_pylist() for raw in normalised_lines(text)} if raw}
+            yield pa.RecordBatch.from_arrays([pa.array(list(each), pa.int64()), pa.array(list(each.values()), pa.binary())], names=["node", "content"])
+
+    return docs.select("text").mapInArrow(run, "node long, content binary")
+
+
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, mark, n_lines), and the places (from 0) of the lines that each loses (doc_id, mark, gone)."""
     base = saved(_sketched(docs, bands, rows), "lines", random=True)
     heads = base.select(F.explode("fresh").alias("f")).select("f.node", "f.keys")
 
     def contents(nodes: DataFrame) -> DataFrame:
-        each = base.select(F.explode(F.arrays_zip(F.col("fresh.node").alias("node"), F.col("raw").alias("content"))).alias("x")).select("x.node", "x.content")
-        near = prefilter(each, F.col("node"), nodes, "node")
+        near = prefilter(_each_line(docs), F.col("node"), nodes, "node")
         return near.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"))
 
     labels = link(heads, contents, LineItems(bands, rows), percent, once=False)
