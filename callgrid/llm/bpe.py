@@ -257,7 +257,11 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes each text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encodes and decodes each text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null text counts as empty and has no ids; texts may be of any length; repeated rows give a row each; an empty
+    table gives no rows; other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 

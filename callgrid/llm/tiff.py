@@ -310,7 +310,9 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """Stores each text as a TIFF file, reads the file back page by page and describes what was read.
 
     feature: pages, size of the first page, then least, greatest and mean sample in thousandths and the
-    count of samples in each quarter of the range. Null text counts as empty: one row of 255s.
+    count of samples in each quarter of the range. Null text counts as empty: one row of 255s. A long text is an
+    image of many rows in strips; repeated rows give a row each; an empty table gives no rows; other columns are
+    ignored.
     """
     small_batches(docs.sparkSession, 200)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

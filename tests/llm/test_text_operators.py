@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -360,6 +361,37 @@ def test_tiff(docs, none):
     assert tiff.store_texts(none).count() == 0
 
 
+def test_tiff_of_other_writers():
+    """Files put together by hand: no compression, PackBits and deflate with a predictor, both byte orders."""
+    def file(order, fields, data):
+        head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + len(data))
+        entry = lambda tag, v: struct.pack(order + "HHIHH", tag, 3, 1, v, 0) if v < 65536 else struct.pack(order + "HHII", tag, 4, 1, v)
+        return head + data + struct.pack(order + "H", len(fields)) + b"".join(entry(t, fields[t]) for t in sorted(fields)) + struct.pack(order + "I", 0)
+
+    base = {256: 3, 257: 2, 258: 8, 262: 1, 273: 8, 277: 1, 278: 2}
+    want = [[7, 7, 7], [1, 2, 3]]
+    for order in "<>":
+        plain, packed = bytes([7, 7, 7, 1, 2, 3]), bytes([0xFE, 7, 2, 1, 2, 3])
+        flat = zlib.compress(bytes([7, 0, 0, 1, 1, 1]))
+        for data, more in ((plain, {259: 1}), (packed, {259: 32773}), (flat, {259: 8, 317: 2})):
+            (page,) = tiff.read_pages(file(order, base | more | {279: len(data)}, data))
+            assert page.data[:, :, 0].tolist() == want
+
+
+def test_tiff_digest(spark):
+    """What the query says of the stored form: its size and digest, the pages read back, and equal rows for equal texts."""
+    texts = ["", "a" * 576, "b" * 577, "a" * 576]
+    got = sorted(rows(tiff.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))), key=lambda r: r["doc_id"])
+    for r, t in zip(got, texts, strict=True):
+        payload = t.encode().ljust(max(1, -(-len(t) // 576)) * 576, b"\xff")
+        blob = tiff.store(payload)
+        back = b"".join(p.data.tobytes() for p in tiff.read_pages(blob))
+        assert back == payload and (r["media_bytes"], r["media_sha256"]) == (len(blob), hashlib.sha256(blob).hexdigest())
+        seen = [sum(64 * q <= x < 64 * q + 64 for x in payload) for q in range(4)]
+        assert r["feature"].endswith(f"min={min(payload)};max={max(payload)};mean={sum(payload) * 1000 // len(payload)};quarters={','.join(map(str, seen))}")
+    assert {k: v for k, v in got[1].items() if k != "doc_id"} == {k: v for k, v in got[3].items() if k != "doc_id"}
+
+
 def test_tiff_forms(spark):
     rng = np.random.default_rng(0)
     pages = [rng.integers(0, 4, (70, 33), np.uint8) * 60, np.zeros((5, 300), np.uint8), rng.integers(0, 255, (40, 50, 3), np.uint8)]
