@@ -133,7 +133,8 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
     def contents(nodes: DataFrame) -> DataFrame:
         near = prefilter(_each_line(docs), F.col("node"), nodes, "node")
-        return near.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"))
+        # grouped first: a semi join could be pushed below the bitmap, and all lines would be shuffled
+        return near.groupBy("node").agg(F.first("content").alias("content")).join(nodes, "node", "left_semi")
 
     labels = link(heads, contents, LineItems(bands, rows), percent, once=False)
     # only lines that stand in several places, or are like others, can go: the rest needs no further shuffle
