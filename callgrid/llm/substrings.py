@@ -3,9 +3,9 @@
 1. Seeds: each window of 50 words is filed under the least hash of its 16-word runs, so equal windows have one
    seed wherever they are. Seeds that occur in one document only drop out at once; what is left of a document
    are stretches whose windows may be repeated.
-2. Graph: the 16-word runs of the stretches are edges between the 15-word runs in them. Spark counts the edges
-   into and out of each node. A node is a junction if it has unlike edges on a side, or if a stretch begins or
-   ends there; all other nodes lie inside paths that do not branch.
+2. Graph: the 16-word runs of the stretches are edges between the 15-word runs in them. Spark compares the edges
+   into and out of all occurrences of a node. It is a junction if they are unlike on a side, or if a stretch
+   begins or ends there; all other nodes lie inside paths that do not branch.
 3. Compaction: joins of the steps with the junctions give each stretch its cuts. Between two cuts lies one
    path, the same in whatever document it occurs, so windows that start on one path and end on one path form a
    range, and a repeat of any length is a row for each such range.
@@ -21,13 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, salted_join, saved, small_batches, split_skew
-from .linking import prefilter
-from .shingles import run_hashes, word_hashes, word_spans
+from .linking import KEY_BITS, prefilter
+from .shingles import mix, run_hashes, word_hashes, word_spans
 
 #: Words of a window, and of an edge; seeds are edges too.
 WINDOW, EDGE = 50, 16
@@ -94,25 +93,30 @@ def stretches(where: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _steps(texts: DataFrame, window: int, edge: int) -> DataFrame:
-    """node, into, out (edges; null at an end), row, at (word) of each node of the stretches of ``texts`` (row, text, where)."""
+def _steps(texts: DataFrame, window: int, edge: int, placed: bool) -> DataFrame:
+    """Of each node of the stretches of ``texts`` (row, text, where): node, and row and at (word) if ``placed``, else both its edges as one hash, 0 at an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            node, more, owner = [], [], []
             for row, text, where in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = word_hashes((text or "").encode())
-                edges, nodes = run_hashes(words, edge).view(np.int64), run_hashes(words, edge - 1).view(np.int64)
+                edges, nodes = run_hashes(words, edge), run_hashes(words, edge - 1).view(np.int64)
                 for first, end in stretches(where):
                     at = np.arange(first, end - 1 + window - (edge - 1) + 1)
-                    inner = pa.array(np.append(False, np.ones(len(at) - 1, bool))), pa.array(np.append(np.ones(len(at) - 1, bool), False))
-                    none = pa.scalar(None, pa.int64())
-                    into, out = pa.array(edges[np.maximum(at - 1, 0)]), pa.array(edges[np.minimum(at, len(edges) - 1)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes[at]), pc.if_else(inner[0], into, none), pc.if_else(inner[1], out, none), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32))],
-                        names=["node", "into", "out", "row", "at"],
-                    )
+                    node.append(nodes[at])
+                    if placed:
+                        owner.append(np.full(len(at), row))
+                        more.append(at)
+                    else:
+                        both = np.zeros(len(at), np.uint64)
+                        both[1:-1] = mix(edges[at[1:-1] - 1]) * np.uint64(3) + edges[at[1:-1]] | np.uint64(1)
+                        more.append(both.view(np.int64))
+            if node:
+                columns = [np.concatenate(node), *([np.concatenate(owner)] if placed else []), np.concatenate(more)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "row", "at"] if placed else ["node", "edges"])
 
-    return texts.select("row", "text", "where").mapInArrow(run, "node long, into long, out long, row long, at int")
+    return texts.select("row", "text", "where").mapInArrow(run, "node long, row long, at long" if placed else "node long, edges long")
 
 
 def ranges(first: int, end: int, cuts: np.ndarray, window: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +170,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, mark, n_words, sha) and the repeats of those that have any (doc_id, mark, spans: words [s, e))."""
     split_skew(docs.sparkSession)
-    base = saved(_walked(docs, window, edge).withColumn("row", F.monotonically_increasing_id()), "seeds")
+    base = saved(_walked(docs, window, edge).withColumn("row", F.monotonically_increasing_id()), "seeds", random=True)
     each = base.where("doc_id IS NOT NULL").select("row", "doc_id", "mark", F.explode("seeds").alias("p"))
     met = each.groupBy(F.col("p.seed").alias("seed")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
     held = each.select("row", "doc_id", "mark", "p.*").join(met, "seed").groupBy("row", "doc_id", "mark").agg(F.collect_list(F.struct("start", "count")).alias("where"))
@@ -176,10 +180,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) -> t
     small_batches(docs.sparkSession, 200)
     texts = saved(held.join(texts, ["doc_id", "mark"]).select("row", "doc_id", "mark", "text", "where"), "stretch-texts", [held])
 
-    steps = saved(_steps(texts, window, edge), "steps")
-    degrees = steps.groupBy("node").agg(*[f(c).alias(f"{n}_{c}") for c in ("into", "out") for f, n in ((F.min, "least"), (F.max, "most"))], F.count_if(F.col("into").isNull() | F.col("out").isNull()).alias("ends"))
-    junctions = degrees.where("ends > 0 OR least_into < most_into OR least_out < most_out").select("node")
-    cuts = saved(steps.select("node", "row", "at").join(junctions, "node").groupBy("row").agg(F.collect_list("at").alias("cuts")), "cuts", [steps])
+    # a node inside a path always has the same two edges; the steps are made twice, as a table of them would be larger than the texts
+    degrees = _steps(texts, window, edge, placed=False).groupBy("node").agg(F.min("edges").alias("least"), F.max("edges").alias("most"))
+    junctions = saved(degrees.where("least < most OR least = 0").select("node"), "junctions", random=True)
+    steps = prefilter(_steps(texts, window, edge, placed=True), F.col("node"), junctions, "node", KEY_BITS)
+    cuts = saved(steps.join(junctions, "node").groupBy("row").agg(F.collect_list("at").alias("cuts")), "cuts", [junctions])
     found = saved(_verified(texts.join(cuts, "row"), window, edge), "ranges", [texts, cuts])
 
     first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
