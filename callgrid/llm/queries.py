@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL for DuckDB."""
 
 from .bpe import op6_byte_bpe
+from .divergence import OP11_SQL, op11_source_divergence
 from .lines import op10_fuzzy_lines
 from .minhash import op1_minhash_dedup
 from .packing import op5_packing
@@ -10,6 +11,7 @@ from .shard import op7_sharding
 from .substrings import op4_substring_dedup
 from .tiff import op9_media_tiff
 from .urls import OP8_SQL, op8_url_filters
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op3_pii": op3_pii,
@@ -22,5 +24,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
     "op9_media_tiff": op9_media_tiff,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
-ORACLES = {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL}
+ORACLES = {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL, "op11_source_divergence": OP11_SQL}
