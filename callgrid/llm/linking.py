@@ -32,6 +32,8 @@ from .shingles import likeness
 CHUNK_ROWS = 4096
 #: Members of sets (8 bytes each) that a task keeps while it compares.
 MOST_HELD = 4_000_000
+#: Edges of one top that are verified together.
+EDGES = 2048
 #: Bits (8 MB of them) of the broadcast bitmap of bucket keys that have several members.
 KEY_BITS = 1 << 26
 
@@ -55,9 +57,24 @@ def prefilter(df: DataFrame, key: Column, wanted: DataFrame, column: str, most_b
 class Items:
     """How contents of nodes are compared: as sorted arrays of hashes, which the contents are already."""
 
+    #: Whether may_be() never drops a pair that is alike, so that it can go before the sets are fetched.
+    prunes = False
+
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
 
+    def may_be(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows of keys may be alike; ``m`` and ``n`` are the sizes of the sets where ``prunes`` holds.
+
+        Here a pair that is alike is dropped with a probability of about 1e-7, 5.2 standard deviations.
+        """
+        share = percent / 100
+        return likeness(a, b, self.rows) >= share - 5.2 * math.sqrt(share * (1 - share) / (self.bands * self.rows))
+
+    def first_shared(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether ``key`` is the first that a pair shares: that bucket deals with it."""
+        return a[np.arange(len(a)), (a == b).argmax(axis=1)] == key
+
     def to_set(self, content: bytes) -> Any:
         return np.frombuffer(content, np.uint64)
 
@@ -75,17 +92,27 @@ class Items:
 
 
 def verified(edges: DataFrame, contents: DataFrame, percent: int, items: Items) -> DataFrame:
-    """The edges (a, b) whose full sets are alike."""
-    with_b = edges.join(contents.withColumnRenamed("node", "b").withColumnRenamed("content", "content_b"), "b")
-    both = with_b.join(contents.withColumnRenamed("node", "a").withColumnRenamed("content", "content_a"), "a").select("a", "b", "content_a", "content_b")
+    """The edges (a, b) whose full sets are alike.
+
+    The content of an ``a`` is sent once for each EDGES of its edges, which go to one part; a hub's edges are dealt to several.
+    """
+    hubs = edges.groupBy("a").agg(F.ceil(F.count("*") / EDGES).cast("int").alias("parts"))
+    dealt = edges.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    ends = dealt.join(contents.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "content")
+    tops = hubs.select("a", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).join(contents.withColumnRenamed("node", "a"), "a")
+    both = ends.unionByName(tops.select("a", "part", F.lit(None).cast("long").alias("b"), "content"))
+    both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = None
         for batch in batches:
-            last, keep = (None, None), []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                last = last if last[0] == a else (a, items.to_set(x))
-                keep.append(items.alike(last[1], items.to_set(y), percent))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep = []
+            content = batch.column(3)
+            for i, b in enumerate(batch.column(2).to_pylist()):
+                own = items.to_set(content[i].as_py())
+                top = own if b is None else top
+                keep.append(b is not None and items.alike(top, own, percent))
+            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -108,36 +135,61 @@ def _merged(label: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
     return np.where(old[at] == label, np.array([top(x) for x in old.tolist()])[at], label)
 
 
+def _by_group(each: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``each`` of the tables of whole groups: rows whose first three columns are equal, which follow each other; a table may hold several groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(i).to_numpy() for i in range(3)]
+            tail = np.logical_and.reduce([x == x[-1] for x in ids])
+            cut = int(np.flatnonzero(~tail)[-1]) + 1 if not tail.all() else 0
+            if last is not None and last != tuple(int(x[0]) for x in ids):
+                yield each(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield each(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+            last = tuple(int(x[-1]) for x in ids)
+        if held:
+            yield each(pa.Table.from_batches(held))
+
+    return run
+
+
+def _steps(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one group: those that stand d rows apart, for d = 1, 2, ..."""
+    group = np.cumsum((np.diff(key, prepend=key[0]) != 0) | (np.diff(low, prepend=low[0]) != 0) | (np.diff(high, prepend=high[0]) != 0))
+    left = np.searchsorted(group, group, "right") - np.arange(len(group))  # rows from here to the end of the group
+    d, at = 0, np.arange(len(group))
+    while len(at := at[left[at] > (d := d + 1)]):
+        yield at, at + d
+
+
 def _inside(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of groups (key, low, high), which follow each other in a task: links that make one component of members of several.
 
-    Rows of all groups at hand are compared at once, each with the one that stands d rows further on in its group, for d = 1, 2, ...
+    Rows of all groups at hand are compared at once.
     """
-    share = percent / 100
-    likely = share - 5.2 * math.sqrt(share * (1 - share) / (items.bands * items.rows))
 
     def links(t: pa.Table) -> pa.RecordBatch:
         key, low, high, node, label, chunk = (t.column(c).to_numpy() for c in ("key", "low", "high", "node", "label", "chunk"))
         keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, items.bands)
         content = t.column("content")
-        new = np.flatnonzero((np.diff(key, prepend=key[0]) != 0) | (np.diff(low, prepend=low[0]) != 0) | (np.diff(high, prepend=high[0]) != 0))
-        group = np.zeros(len(key), np.int64)
-        group[new] = 1
-        group = np.cumsum(group)
-        left = np.searchsorted(group, group, "right") - np.arange(len(group))  # rows from here to the end of the group
-        found, sets, held, d = [], {}, 0, 0
-        at = np.arange(len(group))
-        while len(at := at[left[at] > (d := d + 1)]):
-            i, j = at, at + d
+        size = t.column("n").to_numpy() if items.prunes else np.zeros(len(key), np.int64)
+        found, sets, held = [], {}, 0
+        for i, j in _steps(key, low, high):
             some = (label[i] != label[j]) & ((low[i] == high[i]) | (chunk[i] != chunk[j]))
             i, j = i[some], j[some]
             for s in range(0, len(i), 4096):
                 a, b = i[s : s + 4096], j[s : s + 4096]
-                near = likeness(keys[a], keys[b], items.rows) >= likely
+                near = items.may_be(keys[a], keys[b], size[a], size[b], percent)
                 a, b = a[near], b[near]
-                # the first bucket that a pair shares deals with it
-                same = keys[a] == keys[b]
-                mine = keys[a, same.argmax(axis=1)] == key[a] if len(a) else near[:0]
+                mine = items.first_shared(keys[a], keys[b], key[a]) if len(a) else near[:0]
                 joined = []
                 for x, y in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
                     for z in (x, y):
@@ -155,27 +207,40 @@ def _inside(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]],
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    return _by_group(links)
+
+
+def _pruned(edges: DataFrame, heads: DataFrame, percent: int, items: Items) -> DataFrame:
+    """The edges (a, b) that may be alike by the keys of their ends."""
+    with_b = edges.join(heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b")), "b")
+    both = with_b.join(heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("keys").alias("keys_a")), "a").select("a", "b", "n_a", "n_b", "keys_a", "keys_b")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = [batch.column(i).to_numpy() for i in range(3)]
-            tail = np.logical_and.reduce([x == x[-1] for x in ids])
-            cut = int(np.flatnonzero(~tail)[-1]) + 1 if not tail.all() else 0
-            if last is not None and last != tuple(int(x[0]) for x in ids):
-                yield links(pa.Table.from_batches(held))
-                held = []
-            if cut:
-                yield links(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-            last = tuple(int(x[-1]) for x in ids)
-        if held:
-            yield links(pa.Table.from_batches(held))
+        for b in batches:
+            m, n = (b.column(i).to_numpy() for i in (2, 3))
+            x, y = (b.column(i).flatten().to_numpy().reshape(len(m), -1) for i in (4, 5))
+            yield b.select([0, 1]).filter(pa.array(items.may_be(x, y, m, n, percent)))
 
-    return run
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _likely(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of groups (key, low, high), which follow each other in a task: the nodes that may be alike to one of another component."""
+
+    def nodes(t: pa.Table) -> pa.RecordBatch:
+        key, low, high, node, label, chunk, n = (t.column(c).to_numpy() for c in ("key", "low", "high", "node", "label", "chunk", "n"))
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        found = np.zeros(len(node), bool)
+        for i, j in _steps(key, low, high):
+            some = (label[i] != label[j]) & ((low[i] == high[i]) | (chunk[i] != chunk[j]))
+            i, j = i[some], j[some]
+            for s in range(0, len(i), 4096):
+                a, b = i[s : s + 4096], j[s : s + 4096]
+                near = items.may_be(keys[a], keys[b], n[a], n[b], percent)
+                found[a[near]] = found[b[near]] = True
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(node[found]))], names=["node"])
+
+    return _by_group(nodes)
 
 
 def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], items: Items, percent: int, once: bool) -> DataFrame:
@@ -191,11 +256,21 @@ def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], items: It
     stars = saved(stars, "stars", random=True)
     shared = prefilter(entries, F.col("key"), stars, "key", KEY_BITS).join(stars, "key")
     shared = saved(shared if once else shared.dropDuplicates(["key", "node"]), "buckets", [stars], random=True)
+    return linked(shared, heads, contents, items, percent, once)
+
+
+def linked(shared: DataFrame, heads: DataFrame, contents: Callable[[DataFrame], DataFrame], items: Items, percent: int, once: bool) -> DataFrame:
+    """As link(), from the buckets' members: ``shared`` (a table of ``saved``, which goes) has key, node and top, and n and top_n where heads have n."""
+    split_skew(heads.sparkSession)
     edges = shared.where("node <> top")
-    if once:
+    if "n" in shared.columns:
         edges = edges.where(f"100 * least(n, top_n) >= {percent} * greatest(n, top_n)")
     edges = edges.select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
-    nodes = shared.select("node").distinct()
+    if items.prunes:
+        edges = saved(_pruned(edges, heads, percent, items), "near-edges")
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    else:
+        nodes = shared.select("node").distinct()
     content = saved(contents(nodes), "contents")
     small_batches(heads.sparkSession, 1000)
     links = saved(verified(edges, content, percent, items), "links")
@@ -214,10 +289,15 @@ def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], items: It
     again = again.withColumn("chunk", F.expr("cast(IF(is_main, others + pmod(xxhash64(node), mains), pmod(xxhash64(node), others)) as int)"))
     again = again.withColumn("other", F.explode(F.expr("sequence(0, cast(IF(is_main, others, others + mains) as int) - 1)")))
     again = again.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "label", "chunk")
-    detail = heads.select("node", "keys").join(again.select("node").distinct(), "node", "left_semi")
+    grouped = lambda rows: rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    sizes = ["n"] if items.prunes else []
+    if items.prunes:  # the sets of those only that may have links
+        near = grouped(again.join(heads.select("node", "n", "keys"), "node"))
+        some = saved(near.mapInArrow(_likely(percent, items), "node long").distinct(), "near-nodes")
+        again, content = again.join(some, "node", "left_semi"), saved(contents(some), "contents", [content])
+    detail = heads.select("node", "keys", *sizes).join(again.select("node").distinct(), "node", "left_semi")
     detail = (detail if once else detail.dropDuplicates(["node"])).join(content, "node")
-    groups = again.join(detail, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    groups = groups.select("key", "low", "high", "node", "label", "chunk", "keys", "content")
+    groups = grouped(again.join(detail, "node")).select("key", "low", "high", "node", "label", "chunk", "keys", "content", *sizes)
     more = saved(groups.mapInArrow(_inside(percent, items), "a long, b long"), "more-links", [tagged])
     if not more.head(1):
         return labels

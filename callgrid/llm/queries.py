@@ -5,6 +5,7 @@ from .divergence import OP11_SQL, op11_source_divergence
 from .lines import op10_fuzzy_lines
 from .minhash import op1_minhash_dedup
 from .packing import op5_packing
+from .partenum import op12_jaccard_join
 from .pii import op3_pii
 from .quality import OP2_SQL, op2_quality_rules
 from .shard import op7_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_media_tiff": op9_media_tiff,
     "op11_source_divergence": op11_source_divergence,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES = {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL, "op11_source_divergence": OP11_SQL}
