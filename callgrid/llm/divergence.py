@@ -10,7 +10,6 @@ group: those differences are put in beforehand, as if all counts were 0, and eac
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,23 +20,23 @@ from pyspark.sql import functions as F
 
 from .common import read, saved, small_batches
 
-#: What a term is in UTF-8: every byte of a character beyond 7F belongs to it; only A-Z change case.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: What a term is in UTF-8: letters and every byte of a character beyond 7F; only A-Z change case, all other bytes part terms.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LEAST_DOCS, SMOOTH, BILLION, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Counts that a task keeps before it hands them on; bytes of a text that are searched at once.
-MOST_HELD, BLOCK = 300_000, 1 << 20
-#: Sources in a tile of the accumulator (an array of TILE * TILE longs), postings in a block of terms.
-TILE, BLOCK_POSTINGS = 512, 1 << 18
+MOST_HELD, BLOCK = 1_000_000, 1 << 20
+#: Sources in a tile of the accumulator (an array of TILE * TILE longs), postings in a block of terms (at least: as many as the
+#: tile has sums), groups of a term that scatter at once.
+TILE, BLOCK_POSTINGS, ROWS = 512, 1 << 15, 64
 
 
 def text_terms(text: bytes) -> Iterator[list[bytes]]:
     """The terms of a text, block by block; a block ends where no term goes on."""
-    text, at = text.lower(), 0
+    text, at = text.translate(TERM_BYTES), 0
     while at < len(text):
-        end = min(len(text), at + BLOCK)
-        while end < len(text) and TERM.match(text, end, end + 1):
-            end += 1
-        yield TERM.findall(text, at, end)
+        end = text.find(b" ", at + BLOCK)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
         at = end
 
 
@@ -109,7 +108,8 @@ def _scattered(postings: DataFrame) -> DataFrame:
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             rows, columns = np.flatnonzero(a[i:j] // TILE == low) + i, np.flatnonzero(a[i:j] // TILE == high) + i
             peers, q, base = a[columns] - high * TILE, p[columns], zero[columns]
-            for r in rows.tolist():  # one group of the term scatters into its row of sums
+            for k in range(0, len(rows), ROWS):  # each group of the term scatters into its row of sums
+                r = rows[k : k + ROWS, None]
                 total[a[r] - low * TILE, peers] += np.abs(p[r] - q) - np.abs(p[r] - base) - np.abs(zero[r] - q) + np.abs(zero[r] - base)
         used = np.unique(a[a // TILE == low])
         return pa.RecordBatch.from_arrays(
@@ -167,7 +167,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TER
     tiles = F.floor(F.col("sources") / TILE).cast("int")
     many = groups.groupBy("lang").agg(F.max("a").alias("sources"))
     own = F.floor(F.col("a") / TILE).cast("int")
-    placed = rows.join(many, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("postings") / BLOCK_POSTINGS)))
+    placed = rows.join(many, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("postings") / F.greatest(F.lit(BLOCK_POSTINGS), F.pow(F.least("sources", F.lit(TILE)), 2)))))
     each = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), tiles), lambda x: F.array(F.struct(own.alias("low"), x.alias("high")), F.struct(x.alias("low"), own.alias("high"))))))
     placed = placed.select("lang", "block", "term", "a", "p", "zero", F.explode(each).alias("at")).select("lang", "block", "at.low", "at.high", "term", "a", "p", "zero")
     placed = placed.repartition("lang", "block", "low", "high").sortWithinPartitions("lang", "block", "low", "high", "term", "a")
