@@ -63,17 +63,23 @@ class Items:
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
 
-    def may_be(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs of rows of keys may be alike; ``m`` and ``n`` are the sizes of the sets where ``prunes`` holds.
+    def sketches(self, keys: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The keys of rows as matrices: for each, the place of a row in it, and the matrix."""
+        flat = keys.combine_chunks().flatten().to_numpy()
+        return [(np.arange(len(keys)), flat.reshape(len(keys), self.bands))]
+
+    def may_be(self, sketches: list, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows may be alike; ``m`` and ``n`` are the sizes of the sets where ``prunes`` holds.
 
         Here a pair that is alike is dropped with a probability of about 1e-7, 5.2 standard deviations.
         """
-        share = percent / 100
-        return likeness(a, b, self.rows) >= share - 5.2 * math.sqrt(share * (1 - share) / (self.bands * self.rows))
+        share, keys = percent / 100, sketches[0][1]
+        return likeness(keys[a], keys[b], self.rows) >= share - 5.2 * math.sqrt(share * (1 - share) / (self.bands * self.rows))
 
-    def first_shared(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def first_shared(self, sketches: list, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Whether ``key`` is the first that a pair shares: that bucket deals with it."""
-        return a[np.arange(len(a)), (a == b).argmax(axis=1)] == key
+        keys = sketches[0][1]
+        return keys[a, (keys[a] == keys[b]).argmax(axis=1)] == key
 
     def to_set(self, content: bytes) -> Any:
         return np.frombuffer(content, np.uint64)
@@ -178,7 +184,7 @@ def _inside(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]],
 
     def links(t: pa.Table) -> pa.RecordBatch:
         key, low, high, node, label, chunk = (t.column(c).to_numpy() for c in ("key", "low", "high", "node", "label", "chunk"))
-        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, items.bands)
+        keys = items.sketches(t.column("keys"))
         content = t.column("content")
         size = t.column("n").to_numpy() if items.prunes else np.zeros(len(key), np.int64)
         found, sets, held = [], {}, 0
@@ -187,9 +193,9 @@ def _inside(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]],
             i, j = i[some], j[some]
             for s in range(0, len(i), 4096):
                 a, b = i[s : s + 4096], j[s : s + 4096]
-                near = items.may_be(keys[a], keys[b], size[a], size[b], percent)
+                near = items.may_be(keys, a, b, size[a], size[b], percent)
                 a, b = a[near], b[near]
-                mine = items.first_shared(keys[a], keys[b], key[a]) if len(a) else near[:0]
+                mine = items.first_shared(keys, a, b, key[a]) if len(a) else near[:0]
                 joined = []
                 for x, y in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
                     for z in (x, y):
@@ -217,30 +223,37 @@ def _pruned(edges: DataFrame, heads: DataFrame, percent: int, items: Items) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m, n = (b.column(i).to_numpy() for i in (2, 3))
-            x, y = (b.column(i).flatten().to_numpy().reshape(len(m), -1) for i in (4, 5))
-            yield b.select([0, 1]).filter(pa.array(items.may_be(x, y, m, n, percent)))
+            if b.num_rows:
+                m, n = (b.column(i).to_numpy() for i in (2, 3))
+                at = np.arange(len(m))
+                keys = items.sketches(pa.chunked_array([b.column(4), b.column(5)]))
+                yield b.select([0, 1]).filter(pa.array(items.may_be(keys, at, at + len(m), m, n, percent)))
 
     return both.mapInArrow(run, "a long, b long")
 
 
 def _likely(percent: int, items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of groups (key, low, high), which follow each other in a task: the nodes that may be alike to one of another component."""
+    """Of groups (key, low, high), which follow each other in a task: pairs that may be alike, of two components; so many as connect all that such pairs connect."""
 
-    def nodes(t: pa.Table) -> pa.RecordBatch:
+    def pairs(t: pa.Table) -> pa.RecordBatch:
         key, low, high, node, label, chunk, n = (t.column(c).to_numpy() for c in ("key", "low", "high", "node", "label", "chunk", "n"))
-        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        found = np.zeros(len(node), bool)
+        keys = items.sketches(t.column("keys"))
+        root, found = np.arange(len(node)), []
         for i, j in _steps(key, low, high):
-            some = (label[i] != label[j]) & ((low[i] == high[i]) | (chunk[i] != chunk[j]))
+            some = (label[i] != label[j]) & (root[i] != root[j]) & ((low[i] == high[i]) | (chunk[i] != chunk[j]))
             i, j = i[some], j[some]
+            joined = []
             for s in range(0, len(i), 4096):
                 a, b = i[s : s + 4096], j[s : s + 4096]
-                near = items.may_be(keys[a], keys[b], n[a], n[b], percent)
-                found[a[near]] = found[b[near]] = True
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(node[found]))], names=["node"])
+                near = items.may_be(keys, a, b, n[a], n[b], percent)
+                joined += zip(a[near].tolist(), b[near].tolist(), strict=True)
+            if joined:
+                found += joined
+                root = _merged(root, [(int(root[x]), int(root[y])) for x, y in joined])
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return _by_group(nodes)
+    return _by_group(pairs)
 
 
 def link(heads: DataFrame, contents: Callable[[DataFrame], DataFrame], items: Items, percent: int, once: bool) -> DataFrame:
@@ -291,10 +304,15 @@ def linked(shared: DataFrame, heads: DataFrame, contents: Callable[[DataFrame],
     again = again.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "label", "chunk")
     grouped = lambda rows: rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
     sizes = ["n"] if items.prunes else []
-    if items.prunes:  # the sets of those only that may have links
+    if items.prunes:  # only what may be alike is compared, in clusters: a node's set goes to one, not to each of its buckets
         near = grouped(again.join(heads.select("node", "n", "keys"), "node"))
-        some = saved(near.mapInArrow(_likely(percent, items), "node long").distinct(), "near-nodes")
-        again, content = again.join(some, "node", "left_semi"), saved(contents(some), "contents", [content])
+        cluster = components(saved(near.mapInArrow(_likely(percent, items), "a long, b long").distinct(), "near-pairs")).withColumnRenamed("label", "cluster")
+        cluster = cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("many")), "cluster")
+        cluster = saved(cluster.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-nodes")
+        content = saved(contents(cluster.select("node")), "contents", [content])
+        zero = F.lit(0)
+        small = cluster.where(F.col("many") <= CHUNK_ROWS).select(F.col("cluster").alias("key"), zero.alias("low"), zero.alias("high"), "node", "label", zero.alias("chunk"))
+        again = small.unionByName(again.join(cluster.where(F.col("many") > CHUNK_ROWS).select("node"), "node", "left_semi"))
     detail = heads.select("node", "keys", *sizes).join(again.select("node").distinct(), "node", "left_semi")
     detail = (detail if once else detail.dropDuplicates(["node"])).join(content, "node")
     groups = grouped(again.join(detail, "node")).select("key", "low", "high", "node", "label", "chunk", "keys", "content", *sizes)

@@ -33,8 +33,8 @@ from .shingles import mix, shingle_set, word_hashes
 WORDS, PERCENT = 5, 80
 #: Members of a part that make it count; members of a part on average at a band's top size; how much a band is wider than the last.
 FULL, AVERAGE, WIDTH = 3, 8, 1.5
-#: 64-bit words of a set's parity bits.
-PARITY = 8
+#: 64-bit words of a set's parity bits, by its size: up to so many members, so many words; sets beyond have the last number.
+PARITY = [(400, 8), (3200, 64), (25_600, 512)]
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,8 +112,9 @@ def signatures(members: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def parity(members: np.ndarray) -> np.ndarray:
-    """PARITY words of bits, each whether an odd number of members falls on it."""
-    places = np.bincount((mix(members) >> np.uint64(50)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    """Words of bits, each whether an odd number of members falls on it. Those of a larger set fold to those of a smaller."""
+    bits = 64 * next((words for most, words in PARITY if len(members) <= most), PARITY[-1][1])
+    places = np.bincount((mix(members) >> np.uint64(49)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(places.astype(np.uint8)).view(np.int64)
 
 
@@ -122,12 +123,34 @@ class SetItems(Items):
 
     prunes = True
 
-    def may_be(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-        differ = np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1)
-        fit = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
-        return fit & ((100 + percent) * differ <= (100 - percent) * (m + n))
-
-    def first_shared(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def __init__(self):
+        super().__init__(PARITY[0][1], 1)
+
+    def sketches(self, keys: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each number of words, from few to many, the rows that have as many or more, folded to it; a place of -1 for the others."""
+        lists = keys.combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        many, out = np.diff(ends), []
+        for _, words in PARITY:
+            matrix, place, rows = [], np.full(len(many), -1), 0
+            for own in np.unique(many[many >= words]):
+                some = np.flatnonzero(many == own)
+                every = flat[ends[some][:, None] + np.arange(own)].reshape(len(some), own // words, words)
+                matrix.append(np.bitwise_xor.reduce(every, axis=1))
+                place[some] = np.arange(rows, rows + len(some))
+                rows += len(some)
+            out.append((place, np.concatenate(matrix) if matrix else np.zeros((0, words), np.int64)))
+        return out
+
+    def may_be(self, sketches: list, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        near = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+        for place, matrix in sketches:
+            at = np.flatnonzero(near & (place[a] >= 0) & (place[b] >= 0))
+            differ = np.bitwise_count((matrix[place[a[at]]] ^ matrix[place[b[at]]]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near[at] = (100 + percent) * differ <= (100 - percent) * (m[at] + n[at])
+        return near
+
+    def first_shared(self, sketches: list, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
         return np.ones(len(key), bool)
 
 
@@ -149,11 +172,12 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_set(text, words) for text in b.column(1).to_pylist()]
-            bits = np.concatenate([parity(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            bits = [parity(s) for s in sets]
+            ends = np.cumsum([0] + [len(x) for x in bits])
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PARITY, pa.int32()), pa.array(bits)),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bits]))),
                 ],
                 names=["doc_id", "n_shingles", "node", "keys"],
             )
@@ -239,7 +263,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
         found = few.select("text").mapInArrow(run, "node long, content binary")
         return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    labels = linked(shared, heads, contents, SetItems(PARITY, 1), percent, once=True)
+    labels = linked(shared, heads, contents, SetItems(), percent, once=True)
     placed = base.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     # an empty set is alone: its row is its own component
     lone = placed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from callgrid.llm import linking, partenum
@@ -53,7 +54,7 @@ def test_odd_rows(spark, docs, none):
 @pytest.mark.parametrize("percent", [60, 80, 85, 93])
 def test_signatures_of_pairs_at_the_threshold(percent):
     rng = np.random.default_rng(percent)
-    met = 0
+    met, items = 0, partenum.SetItems()
     for trial in range(1500):
         n = int(rng.integers(1, 50 if trial % 2 else 700))
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64) >> np.uint64(trial % 3 * 4))  # also crowded in a part of the domain
@@ -61,8 +62,9 @@ def test_signatures_of_pairs_at_the_threshold(percent):
         gone = int(rng.integers(0, min(apart, len(a) - 1) + 1))
         b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, apart - gone, dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
-        differ = int(np.bitwise_count((partenum.parity(a) ^ partenum.parity(b)).view(np.uint64)).sum())
-        assert differ <= len(a) + len(b) - 2 * common
+        both = items.sketches(pa.chunked_array([pa.array([partenum.parity(x).tolist()]) for x in (a, b)]))
+        alike = 100 * common >= percent * (len(a) + len(b) - common)
+        assert not alike or items.may_be(both, np.array([0]), np.array([1]), np.array([len(a)]), np.array([len(b)]), percent)[0]
         if len(a) + len(b) > 2 * common and 100 * common >= percent * (len(a) + len(b) - common):
             met += 1
             assert len(np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent)))
@@ -115,9 +117,11 @@ def test_shared_signatures_over_batches(spark, monkeypatch):
 
 def test_parity_prunes():
     rng = np.random.default_rng(1)
-    a, b = (np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64)) for _ in range(2))
-    keys = np.array([partenum.parity(a), partenum.parity(b)])
-    items = partenum.SetItems(partenum.PARITY, 1)
-    size = np.array([200, 200])
-    assert items.may_be(keys, keys, size, size, 80).all()
-    assert not items.may_be(keys[:1], keys[1:], size[:1], size[1:], 80).any()
+    items = partenum.SetItems()
+    for sizes in ([200, 200], [390, 420], [1000, 1100], [3000, 3500], [9000, 9000]):
+        a, b = (np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes)
+        near = np.concatenate([a[: len(a) * 91 // 100], rng.integers(0, 2**64, len(a) // 12, dtype=np.uint64)])
+        keys = items.sketches(pa.chunked_array([pa.array([partenum.parity(x).tolist()]) for x in (a, b, np.unique(near))]))
+        size, at = np.array([len(a), len(b), len(near)]), np.array([0, 0, 1])
+        to = np.array([1, 2, 2])
+        assert items.may_be(keys, at, to, size[at], size[to], 80).tolist() == [False, True, False], sizes
