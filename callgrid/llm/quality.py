@@ -116,13 +116,12 @@ def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, least_left: float = LE
 def keep_good(docs: DataFrame, line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """The documents that pass, their texts without the lines above the limit; blank lines and all other columns stay.
 
-    doc_ids that are null or repeated pass if one of their rows does. A row is found again by doc_id, host and
-    the hash of its text, which settle what it loses; so texts are shuffled once.
+    Each row is judged for itself, also where doc_ids are null or repeated. A row is found again by doc_id, host and
+    the hash of its text, which settle both its verdict and what it loses; so texts are shuffled once.
     """
-    judged = _judged(docs, line_docs, least_left)
-    judged = saved(judged.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("mark").alias("__mark"), "kept", F.col("gone").alias("__gone")), "verdicts")
-    good = judged.where("kept").select(F.col("__id").alias("__good")).distinct()
-    keep = judged.join(good, judged["__id"].eqNullSafe(good["__good"]), "left_semi").drop("kept").dropDuplicates(["__id", "__host", "__mark"])
+    judged = _judged(docs, line_docs, least_left).where("kept")
+    judged = judged.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
+    keep = saved(judged.dropDuplicates(["__id", "__host", "__mark"]), "verdicts")
     met = docs["doc_id"].eqNullSafe(keep["__id"]) & docs["source"].eqNullSafe(keep["__host"]) & (F.xxhash64(docs["text"]) == keep["__mark"])
     stays = F.filter(F.split(docs["text"], "\n", -1), lambda x: (squeezed(x) == "") | ~F.array_contains(keep["__gone"], line_hash(squeezed(x))))
     text = F.when(keep["__gone"].isNull(), docs["text"]).otherwise(F.array_join(stays, "\n"))

@@ -509,3 +509,12 @@ def test_lines_at_the_threshold_share_a_band():
     oph = OnePermutation(lines.BANDS * lines.ROWS)
     a, b = (band_keys(lines.line_sketches([p[i] for p in pairs], oph), lines.BANDS, lines.ROWS) for i in (0, 1))
     assert (a == b).any(axis=1).all()
+
+
+def test_keep_good_judges_each_row(spark):
+    """A bad row beside a good one of its doc_id, null ids among them, goes; equal rows go together."""
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, "short one"), (None, "x " * 40), (None, good), (7, "bad"), (7, good + " seven"), (8, "bad"), (7, "bad"), (7, good + " seven"), (9, None)]
+    df = spark.createDataFrame([(i, t, "src" if i != 8 else None) for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in quality.keep_good(df).collect())
+    assert got == Counter({(None, good): 1, (7, good + " seven"): 2})
