@@ -277,11 +277,3 @@ def app_by_port(ipdr: DataFrame, apps: DataFrame) -> DataFrame:
 
 def app_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("app").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
-
-
-def traffic_pattern(rows: DataFrame) -> DataFrame:
-    """A label for each session by volume and direction: the part of the rules whose thresholds are documented."""
-    total = F.coalesce("bytes_uploaded", F.lit(0)) + F.coalesce("bytes_downloaded", F.lit(0))
-    up = F.coalesce("bytes_uploaded", F.lit(0)) / F.when(total > 0, total)
-    label = F.when(total == 0, "probe").when(up > 0.8, "upload").when(up < 0.1, "download").when(total < 10_000, "signalling").otherwise("interactive")
-    return rows.select("id", label.alias("pattern"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import epoch, haversine_km, joined, top_per, when_text
+from ..functions.exprs import epoch, joined, top_per, when_text
+from .nearest import nearest
 from .reports import involved
 
 TYPE_RANK = {"number": 0, "imei": 1, "imsi": 2, "ip": 3}
@@ -186,12 +187,11 @@ def upsert_subscribers(known: DataFrame, incoming: DataFrame, fields: list[str])
 
 
 def geocode(towers: DataFrame, cities: DataFrame) -> DataFrame:
-    """City and state of the nearest city where either is missing; the first in table order of equals."""
-    need = towers.where("latitude IS NOT NULL AND longitude IS NOT NULL AND (city IS NULL OR state IS NULL)")
-    near = need.select("tower_id", "latitude", "longitude").crossJoin(F.broadcast(cities.select("ord", F.col("city").alias("c"), F.col("state").alias("s"), F.col("latitude").alias("y"), F.col("longitude").alias("x"))))
-    d = F.round(haversine_km("latitude", "longitude", "y", "x", 6371.0), 6)
-    best = near.groupBy("tower_id").agg(F.min_by(F.struct("c", "s"), F.struct(d, F.col("ord"))).alias("b"))
-    return towers.join(best, "tower_id", "left").select("tower_id", "latitude", "longitude", F.coalesce("city", "b.c").alias("city"), F.coalesce("state", "b.s").alias("state"))
+    """City and state of the nearest city where either is missing; the first in table order of equals. Equal positions are looked up once."""
+    need = towers.where("city IS NULL OR state IS NULL").select(F.struct("latitude", "longitude").alias("id"), "latitude", "longitude").distinct()
+    best = nearest(need, cities.select(F.col("ord").alias("place"), "latitude", "longitude"))
+    named = best.join(cities.select(F.col("ord").alias("place"), F.col("city").alias("c"), F.col("state").alias("s")), "place").select("id.latitude", "id.longitude", "c", "s")
+    return towers.join(named, ["latitude", "longitude"], "left").select("tower_id", "latitude", "longitude", F.coalesce("city", "c").alias("city"), F.coalesce("state", "s").alias("state"))
 
 
 def colocation(cdr: DataFrame, least: int = 2) -> DataFrame:
@@ -216,7 +216,7 @@ def correlation(cdr: DataFrame, pairs: DataFrame) -> DataFrame:
         return x.groupBy("a", "b").agg(F.count("*").alias(name))
 
     one = lambda side: rows.select(F.col("subject").alias(side), F.col("start_time").alias(f"s_{side}"), F.col("end").alias(f"e_{side}"))
-    # calls last an hour at most here: one hour's bucket and the next hold all that overlap
+    # a call is in the bucket of each hour that it touches; two that overlap count in the hour in which the later one begins
     bucket = lambda c: F.floor(epoch(c) / 3600)
     a = one("a").withColumn("h", F.explode(F.sequence(bucket("s_a"), bucket("e_a"))))
     b = one("b").withColumn("h", F.explode(F.sequence(bucket("s_b"), bucket("e_b"))))

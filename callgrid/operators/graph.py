@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import epoch
-from ..sources.scratch import saved
+from ..sources.scratch import place, saved
+from . import blocktree
+from .communities import communities  # noqa: F401
 
 
 def edges(cdr: DataFrame) -> DataFrame:
@@ -37,39 +39,50 @@ def degree_centrality(e: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(n)).select("node", "degree", F.round(F.col("degree") / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("centrality"))
 
 
-def pagerank(e: DataFrame, rounds: int = 30, alpha: float = 0.85, weighted: bool = True, tolerance: float = 1e-6) -> DataFrame:
-    """Power iteration; undirected edges leave no node without a way out. Ranks are written each fifth round."""
+#: Rounds of ranks in one plan; each keeps those before it, so the round at which to stop is found afterwards.
+RANK_STEP = 5
+
+
+def pagerank(e: DataFrame, rounds: int = 100, alpha: float = 0.85, weighted: bool = True, tolerance: float = 1e-6) -> DataFrame:
+    """Power iteration until the ranks of a round differ from the last by less than ``tolerance`` in sum, or after ``rounds``; undirected edges leave no node without a way out."""
     b = both_ways(e).withColumn("w", F.col("weight").cast("double") if weighted else F.lit(1.0))
     total = b.groupBy("src").agg(F.sum("w").alias("t"))
-    share = saved(b.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "shares")
-    node = saved(total.select(F.col("src").alias("node")), "nodes")
-    n = node.count()
-    rank = node.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(1, rounds + 1):
-        gain = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("g"))
-        new = node.join(gain, node["node"] == gain["dst"], "left").select("node", (F.lit((1 - alpha) / max(n, 1)) + alpha * F.coalesce("g", F.lit(0.0))).alias("rank"))
-        if i % 5 == 0:
-            new = saved(new, "ranks")
-            if i >= 10:
-                moved = new.join(rank.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if (moved or 0) < tolerance * max(n, 1):
-                    return new
-        rank = new
-    return rank
+    node = total.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("p"), F.lit(True).alias("own"))
+    # a row of each node to itself carries its ranks so far
+    share = saved(b.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p"), F.lit(False).alias("own")).union(node), "shares")
+    n = max(share.where("own").count(), 1)
+    rank = share.where("own").select(F.col("src").alias("node"), F.array(F.lit(1.0 / n)).alias("ranks"))
+    for start in range(0, rounds, RANK_STEP):
+        steps = min(RANK_STEP, rounds - start)
+        for _ in range(steps):
+            gain = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.element_at("ranks", -1)).alias("g"), F.max(F.when(F.col("own"), F.col("ranks"))).alias("ranks"))
+            rank = gain.select(F.col("dst").alias("node"), F.array_append("ranks", F.lit((1 - alpha) / n) + alpha * F.col("g")).alias("ranks"))
+        rank = saved(rank, "ranks")
+        moved = rank.agg(*[F.sum(F.abs(F.col("ranks")[k + 1] - F.col("ranks")[k])) for k in range(steps)]).first()
+        done = next((k + 1 for k, m in enumerate(moved) if (m or 0) < tolerance), None)
+        if done:
+            return rank.select("node", F.col("ranks")[done].alias("rank"))
+        rank = rank.select("node", F.array(F.element_at("ranks", -1)).alias("ranks"))
+    return rank.select("node", F.col("ranks")[0].alias("rank"))
 
 
 def distances(e: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Breadth-first levels from pivots (node): pivot, node, level, paths (number of shortest ones)."""
-    b = saved(both_ways(e).select("src", "dst"), "bfs-edges")
-    seen = saved(pivots.select(F.col("node").alias("pivot"), "node", F.lit(0).alias("level"), F.lit(1.0).alias("paths")), "bfs")
-    front = seen
-    for level in count(1):
-        near = front.join(b, front["node"] == b["src"]).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = saved(near.join(seen.select("pivot", "node"), ["pivot", "node"], "left_anti").select("pivot", "node", F.lit(level).alias("level"), "paths"), "front")
+    """Breadth-first levels from pivots (node): pivot, node, level, paths (number of shortest ones).
+
+    Each level is written once, to a folder of its own: what lies one step from a level is in it, in the one before or in the next.
+    """
+    spark, b = e.sparkSession, saved(both_ways(e).select("src", "dst"), "bfs-edges")
+    path, schema = place(e, "bfs"), "pivot string, node string, paths double"
+    before, front = None, pivots.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("paths"))
+    for level in count():
+        front.write.parquet(f"{path}/level={level}")
+        front = spark.read.schema(schema).parquet(f"{path}/level={level}")
         if not front.head(1):
             break
-        seen = saved(seen.union(front), "bfs")
-    return seen
+        near = front.join(b, front["node"] == b["src"]).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        seen = front if before is None else front.union(before)
+        before, front = front, near.join(seen.select("pivot", "node"), ["pivot", "node"], "left_anti").select("pivot", "node", "paths")
+    return spark.read.schema(f"{schema}, level int").parquet(path)
 
 
 def pivots(e: DataFrame, k: int = 50) -> DataFrame:
@@ -80,49 +93,67 @@ def pivots(e: DataFrame, k: int = 50) -> DataFrame:
 BATCH = 500
 
 
-def _batches(pivots: DataFrame) -> Iterator[DataFrame]:
+def batches(pivots: DataFrame) -> Iterator[DataFrame]:
+    """BATCH pivots at a time, about; none of no pivots."""
     kept = saved(pivots, "pivots")
-    parts = max(1, math.ceil(kept.count() / BATCH))
+    parts = math.ceil(kept.count() / BATCH)
     for i in range(parts):
         yield kept.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == i)
 
 
-def closeness(e: DataFrame, from_: DataFrame) -> DataFrame:
-    """Of the pivots: reached nodes over the sum of distances, scaled by the share of the graph that they reach."""
+def closeness(e: DataFrame, from_: DataFrame | None = None) -> DataFrame:
+    """Reached nodes over the sum of distances, scaled by the share of the graph that a node reaches: of all nodes, by blocks, or of the pivots."""
+    if from_ is None:
+        return blocktree.closeness(e)
     n = nodes(e).count()
     d = None
-    for part in _batches(from_):
+    for part in batches(from_):
         more = distances(e, part).groupBy("pivot").agg((F.count("*") - 1).alias("reached"), F.sum("level").alias("total"))
         d = saved(more if d is None else d.union(more), "closeness")
     return d.where("total > 0").select(F.col("pivot").alias("node"), F.round(F.col("reached") / F.col("total") * F.col("reached") / max(n - 1, 1), 6).alias("closeness"))
 
 
-def _dependencies(e: DataFrame, from_: DataFrame) -> DataFrame:
-    """node and delta, the sum of Brandes' dependencies of the pivots on it."""
-    b = saved(both_ways(e).select("src", "dst"), "bfs-edges")
-    seen = saved(distances(e, from_), "levels")
-    deepest = seen.agg(F.max("level")).first()[0] or 0
-    far = seen.select("pivot", F.col("node").alias("w"), F.col("level").alias("lw"), F.col("paths").alias("pw"))
-    steps = saved(seen.select("pivot", F.col("node").alias("v"), F.col("level").alias("lv"), F.col("paths").alias("pv")).join(b, F.col("v") == b["src"]).join(far.withColumnRenamed("w", "dst"), ["pivot", "dst"]).where("lw = lv + 1").select("pivot", "v", F.col("dst").alias("w"), "lw", "pv", "pw"), "steps")
-    delta = saved(seen.select("pivot", F.col("node").alias("w"), F.lit(0.0).alias("delta")), "delta")
-    for level in range(deepest, 0, -1):
-        up = steps.where(F.col("lw") == level).join(delta, ["pivot", "w"]).groupBy("pivot", F.col("v").alias("w")).agg(F.sum(F.col("pv") / F.col("pw") * (1 + F.col("delta"))).alias("more"))
-        delta = saved(delta.join(up, ["pivot", "w"], "left").select("pivot", "w", (F.col("delta") + F.coalesce("more", F.lit(0.0))).alias("delta")), "delta")
-    return delta.where("pivot <> w").groupBy(F.col("w").alias("node")).agg(F.sum("delta").alias("delta"))
+def dependencies(e: DataFrame, from_: DataFrame, weight: DataFrame | None = None) -> DataFrame:
+    """node and delta, the sum of Brandes' dependencies of the pivots on it; with ``weight`` (node, weight) a pair counts the product of its weights.
 
-
-def betweenness(e: DataFrame, from_: DataFrame) -> DataFrame:
-    """Brandes' sums from the pivots, scaled to all nodes: exact if all nodes are pivots."""
+    From the deepest level up; a level needs only the one below, and is written once.
+    """
+    spark, b = e.sparkSession, saved(both_ways(e).select("src", "dst"), "bfs-edges")
+    seen = distances(e, from_)
+    path, schema = place(e, "dependencies"), "pivot string, node string, paths double, value double, delta double"
+    below = None
+    for level in range(seen.agg(F.max("level")).first()[0] or 0, 0, -1):
+        here = seen.where(F.col("level") == level).select("pivot", "node", "paths")
+        here = here.withColumn("weight", F.lit(1.0)) if weight is None else here.join(weight, "node")
+        if below is None:
+            here = here.withColumn("delta", F.lit(0.0))
+        else:
+            up = below.join(b, below["node"] == b["src"]).select("pivot", F.col("dst").alias("node"), (F.col("value") / F.col("paths")).alias("v")).groupBy("pivot", "node").agg(F.sum("v").alias("v"))
+            here = here.join(up, ["pivot", "node"], "left").withColumn("delta", F.col("paths") * F.coalesce("v", F.lit(0.0)))
+        here.select("pivot", "node", "paths", (F.col("weight") + F.col("delta")).alias("value"), "delta").write.parquet(f"{path}/level={level}")
+        below = spark.read.schema(schema).parquet(f"{path}/level={level}")
+    if below is None:
+        return spark.createDataFrame([], "node string, delta double")
+    found = spark.read.schema(schema).parquet(path)
+    if weight is not None:
+        found = found.join(weight.select(F.col("node").alias("pivot"), "weight"), "pivot").withColumn("delta", F.col("delta") * F.col("weight"))
+    return found.groupBy("node").agg(F.sum("delta").alias("delta"))
+
+
+def betweenness(e: DataFrame, from_: DataFrame | None = None) -> DataFrame:
+    """Brandes' sums, exact for all nodes, by blocks; or from the pivots, scaled to all nodes."""
+    if from_ is None:
+        return blocktree.betweenness(e)
     k, n = from_.count(), nodes(e).count()
     total = None
-    for part in _batches(from_):
-        more = _dependencies(e, part)
+    for part in batches(from_):
+        more = dependencies(e, part)
         total = saved(more if total is None else total.union(more).groupBy("node").agg(F.sum("delta").alias("delta")), "dependencies")
     scale = (n / max(k, 1)) / max((n - 1) * (n - 2), 1)
     return total.select("node", F.round(F.col("delta") * scale, 6).alias("betweenness"))
 
 
-def brokers(e: DataFrame, from_: DataFrame, n: int = 8) -> DataFrame:
+def brokers(e: DataFrame, from_: DataFrame | None = None, n: int = 8) -> DataFrame:
     return betweenness(e, from_).where("betweenness > 0").join(nodes(e).select("node", "degree"), "node").orderBy(F.desc("betweenness"), "node").limit(n)
 
 
@@ -140,21 +171,6 @@ def components(e: DataFrame) -> DataFrame:
             return label
 
 
-def communities(e: DataFrame, rounds: int = 10) -> DataFrame:
-    """Label propagation by weight, ties to the least label: a re-aim of greedy modularity, with other partitions."""
-    b = saved(both_ways(e), "community-edges")
-    label = saved(b.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "community")
-    for _ in range(rounds):
-        votes = b.join(label, b["dst"] == label["node"]).groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("new"))
-        both = saved(best.join(label, "node"), "community")
-        moved = both.where("new <> label").head(1)
-        label = both.select("node", F.col("new").alias("label"))
-        if not moved:
-            break
-    return label
-
-
 def modularity(e: DataFrame, label: DataFrame) -> DataFrame:
     b = both_ways(e)
     two_m = F.sum("weight")
@@ -164,11 +180,11 @@ def modularity(e: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _spanning_forest(e: DataFrame) -> DataFrame:
-    """node, parent and level of the nodes below the root of a breadth-first tree of each component; a parent is the least node one level up."""
+    """node, parent, level and root of the nodes below the root of a breadth-first tree of each component; a parent is the least node one level up."""
     roots = components(e).select(F.col("label").alias("node")).distinct()
-    level = distances(e, roots).select("node", "level")
-    b = both_ways(e).select("src", "dst").join(level.select(F.col("node").alias("src"), "level"), "src").join(level.select(F.col("node").alias("dst"), F.col("level").alias("above")), "dst")
-    return saved(b.where("above = level - 1").groupBy(F.col("src").alias("node"), "level").agg(F.min("dst").alias("parent")), "tree")
+    level = distances(e, roots).select("node", "level", F.col("pivot").alias("root"))
+    b = both_ways(e).select("src", "dst").join(level.withColumnRenamed("node", "src"), "src").join(level.select(F.col("node").alias("dst"), F.col("level").alias("above")), "dst")
+    return saved(b.where("above = level - 1").groupBy(F.col("src").alias("node"), "level", "root").agg(F.min("dst").alias("parent")), "tree")
 
 
 def _meeting_levels(pairs: DataFrame, tree: DataFrame) -> DataFrame:
@@ -211,7 +227,7 @@ def blocks(e: DataFrame) -> DataFrame:
     if low is not None:
         links = links.union(low.where("level > 1 AND low < level - 1").select("node", "parent"))
     label = components(saved(links.withColumn("weight", F.lit(1)), "block-links"))
-    return saved(tree.join(label, "node", "left").select("node", "parent", F.coalesce("label", "node").alias("block")), "blocks")
+    return saved(tree.join(label, "node", "left").select("node", "parent", F.coalesce("label", "node").alias("block"), "level", "root"), "blocks")
 
 
 def cut_points(e: DataFrame) -> DataFrame:
@@ -312,14 +328,14 @@ def core_numbers(e: DataFrame) -> DataFrame:
         left = kept
 
 
-def roles(e: DataFrame, from_: DataFrame) -> DataFrame:
+def roles(e: DataFrame, from_: DataFrame | None = None) -> DataFrame:
     d, b = degree_centrality(e), betweenness(e, from_)
     x = d.join(b, "node", "left").na.fill(0.0, ["betweenness"])
     role = F.when((F.col("centrality") > 0.5) & (F.col("betweenness") > 0.4), "kingpin").when(F.col("betweenness") > 0.5, "broker").when(F.col("centrality") > 0.6, "hub").otherwise("member")
     return x.withColumn("role", role)
 
 
-def structural_roles(e: DataFrame, from_: DataFrame) -> DataFrame:
+def structural_roles(e: DataFrame, from_: DataFrame | None = None) -> DataFrame:
     d, b, k = degree_centrality(e), betweenness(e, from_), core_numbers(e)
     top = b.agg(F.max("betweenness").alias("top"))
     x = d.join(b, "node", "left").join(k, "node", "left").na.fill(0).crossJoin(F.broadcast(top)).withColumn("b", F.col("betweenness") / F.when(F.col("top") > 0, F.col("top")).otherwise(1))

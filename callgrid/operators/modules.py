@@ -106,7 +106,7 @@ def call_details(rows: DataFrame) -> DataFrame:
     again = (F.lag("b_party_number").over(w) == F.col("b_party_number")) & (epoch("start_time") - epoch(F.lag("start_time").over(w)) < 300)
     r = rows.withColumn("again", F.coalesce(again, F.lit(False)))
     d = F.col("duration_seconds")
-    return r.groupBy("subject").agg(F.count_if((d > 0) & (d < 5)).alias("short"), F.count_if(d > 3000).alias("long"), F.count_if(F.hour("start_time") < 5).alias("small_hours"), F.count_if("again").alias("repeats"))
+    return r.groupBy("subject").agg(F.count_if((d > 0) & (d < 5)).alias("short"), F.count_if(d > 3600).alias("long"), F.count_if(F.hour("start_time") < 5).alias("small_hours"), F.count_if("again").alias("repeats"))
 
 
 def call_bursts(rows: DataFrame, seconds: int = 600, least: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import services as s
 from ..operators import attribution as a
+from ..operators import traffic as w
 from ..operators.reports import owned
 from .catalog import register
 
@@ -103,7 +104,19 @@ AP = f""", ap(ord,app,ports,protos,conf) AS ({_values([(i, x, s.numbers(every),
  ap1 AS (SELECT id, app, CAST(CASE WHEN contains(protos, ' '||upper(protocol)||' ') THEN least({s.APP_SURE}, conf+{s.APP_BONUS}) ELSE conf END AS BIGINT) AS confidence FROM ipdr JOIN ap ON list_contains(ports, destination_port) OR list_contains(ports, source_port) QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord)=1) """
 register("M15_app_by_port", lambda t: a.app_by_port(t.ipdr, s.apps(t.spark)), AP + "SELECT id, app, confidence FROM ap1")
 register("M15_app_summary", lambda t: a.app_summary(a.app_by_port(t.ipdr, s.apps(t.spark))), AP + "SELECT app, count(*) AS n, max(confidence) AS confidence FROM ap1 GROUP BY 1")
-register(
-    "M17_traffic_pattern", lambda t: a.traffic_pattern(t.ipdr),
-    " SELECT id, CASE WHEN b=0 THEN 'probe' WHEN bytes_uploaded/b>0.8 THEN 'upload' WHEN bytes_uploaded/b<0.1 THEN 'download' WHEN b<10000 THEN 'signalling' ELSE 'interactive' END AS pattern FROM (SELECT *, bytes_uploaded+bytes_downloaded AS b FROM ipdr)",
-)
+TC = PF + """, tp0 AS (SELECT *, coalesce(destination_port, -1) AS dp, CASE WHEN source_port<49152 OR destination_port IS NULL THEN source_port END AS sp FROM ipdr),
+ tp AS (SELECT id, dp IN (500,1194,1195,1701,1723,4500,51820,51821) OR coalesce(sp IN (500,1194,1195,1701,1723,4500,51820,51821),false) AS vpn, dp IN (3389,5900,5901,5902,5903) OR coalesce(sp IN (3389,5900,5901,5902,5903),false) AS remote,
+  dp IN (20,21,139,445,989,990) OR coalesce(sp IN (20,21,139,445,989,990),false) AS transfer, dp IN (3478,3479,3480,3481,16384,16387,19302,19303,19304,19305,8801,8810,5004) OR coalesce(sp IN (3478,3479,3480,3481,16384,16387,19302,19303,19304,19305,8801,8810,5004),false) AS media FROM tp0)""" + _sessions("ipdr") + """,
+ tf AS (SELECT source_ip, destination_ip, fam AS family, session, count(*) AS rows, CAST(floor(max(t)-min(t)) AS BIGINT) AS seconds, CAST(sum(bytes_uploaded) AS BIGINT) AS up, CAST(sum(bytes_downloaded) AS BIGINT) AS down, bool_or(vpn) AS vpn, bool_or(remote) AS remote, bool_or(transfer) AS transfer, bool_or(media) AS media,
+  bool_or(protocol='UDP') AS udp, bool_or(protocol='TCP') AS tcp, hour(min(start_time)) AS hour FROM se2 JOIN tp USING (id) GROUP BY 1,2,3,4),
+ tg AS (SELECT *, up+down AS b, CASE WHEN up+down>0 THEN up/(up+down) END AS share FROM tf),
+ tc AS (SELECT *, CASE WHEN vpn AND (udp OR tcp) AND seconds>30 THEN 'VPN / Encrypted Tunnel' WHEN remote AND tcp THEN 'Remote Desktop' WHEN transfer AND up>0 AND down>0 THEN 'File Transfer'
+  WHEN tcp AND seconds>=120 AND rows>=3 AND up>0 AND down>0 AND share BETWEEN 0.3 AND 0.7 AND b BETWEEN 100000 AND 5000000 THEN 'Cloud Sync' WHEN udp AND b>5000000 AND seconds>=60 AND share BETWEEN 0.3 AND 0.7 THEN 'Video Call'
+  WHEN udp AND media AND share BETWEEN 0.3 AND 0.7 AND seconds>=30 THEN 'Voice Call' WHEN udp AND seconds>=300 AND b BETWEEN 100000 AND 5000000 THEN 'Conference' WHEN udp AND seconds>=60 AND b BETWEEN 100000 AND 5000000 THEN 'Screen Sharing'
+  WHEN tcp AND share<0.15 AND seconds>=300 THEN 'Streaming' WHEN share>0.7 THEN 'Media Upload' WHEN udp AND seconds<=10 AND b>2000 AND b<=20000 THEN 'Messaging' WHEN tcp AND seconds<=60 AND b>2000 AND b<=5000000 THEN 'Browsing / Interactive'
+  WHEN b<=2000 AND seconds<=10 THEN 'Presence / Keep-alive' ELSE 'Network Traffic' END AS class FROM tg) """
+register("M17_traffic_pattern", lambda t: w.traffic_classes(t.ipdr, s.families(t.spark)).select("source_ip", "destination_ip", "family", "session", "rows", "seconds", "class", "confidence_change", F.array_join("evidence", "; ").alias("evidence")), TC + """SELECT source_ip, destination_ip, family, session, rows, seconds, class,
+ CASE class WHEN 'VPN / Encrypted Tunnel' THEN 10 WHEN 'Remote Desktop' THEN 10 WHEN 'File Transfer' THEN 8 WHEN 'Cloud Sync' THEN 5 WHEN 'Video Call' THEN 8 WHEN 'Voice Call' THEN 8 WHEN 'Conference' THEN 5 WHEN 'Screen Sharing' THEN 5 WHEN 'Streaming' THEN 6 WHEN 'Media Upload' THEN 5 WHEN 'Messaging' THEN 3 WHEN 'Browsing / Interactive' THEN 2 WHEN 'Presence / Keep-alive' THEN -5 ELSE 0 END AS confidence_change,
+ CASE class WHEN 'VPN / Encrypted Tunnel' THEN 'Tunnel port held open' WHEN 'Remote Desktop' THEN 'Remote desktop port over TCP' WHEN 'File Transfer' THEN 'File transfer port, data both ways' WHEN 'Cloud Sync' THEN 'Persistent TCP, data both ways' WHEN 'Video Call' THEN 'Symmetric UDP of high volume' WHEN 'Voice Call' THEN 'Symmetric UDP on media ports' WHEN 'Conference' THEN 'Long UDP session of moderate volume' WHEN 'Screen Sharing' THEN 'Sustained UDP of moderate volume'
+  WHEN 'Streaming' THEN 'Long TCP download' WHEN 'Media Upload' THEN 'Most bytes go up' WHEN 'Messaging' THEN 'Short burst of little UDP data' WHEN 'Browsing / Interactive' THEN 'Short TCP session' WHEN 'Presence / Keep-alive' THEN 'Minimal traffic' ELSE 'No distinct pattern' END || CASE WHEN hour<5 THEN '; Late-night activity' WHEN hour BETWEEN 9 AND 17 THEN '; Business hours' ELSE '' END AS evidence FROM tc""")
+register("M17_traffic_summary", lambda t: w.traffic_summary(w.traffic_classes(t.ipdr, s.families(t.spark))), TC + "SELECT class, count(*) AS sessions, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(b) AS BIGINT) AS bytes, max(seconds) AS longest FROM tc GROUP BY 1")

@@ -51,7 +51,7 @@ register(
 )
 GP = ", gp AS (SELECT a_party_number AS subject, (epoch_us(start_time)-epoch_us(lag(start_time) OVER (PARTITION BY a_party_number ORDER BY start_time, id)))/1e6/3600 AS h FROM cdr) "
 register("P11_silences", lambda t: p.silences(owned(t.cdr)), GP + "SELECT subject, count(*) AS gaps, count(*) FILTER (WHERE h>24) AS over_day, count(*) FILTER (WHERE h>168) AS over_week, round(max(h),3) AS longest, round(avg(h),3) AS average, round(sum(h),3) AS total FROM gp WHERE h>=2 GROUP BY 1")
-register("P12_call_details", lambda t: p.call_details(owned(t.cdr)), ", x AS (SELECT *, coalesce(lag(b_party_number) OVER w=b_party_number AND epoch_us(start_time)-epoch_us(lag(start_time) OVER w)<300000000,false) AS again FROM cdr WINDOW w AS (PARTITION BY a_party_number ORDER BY start_time, id)) SELECT a_party_number AS subject, count(*) FILTER (WHERE duration_seconds>0 AND duration_seconds<5) AS short, count(*) FILTER (WHERE duration_seconds>3000) AS long, count(*) FILTER (WHERE hour(start_time)<5) AS small_hours, count(*) FILTER (WHERE again) AS repeats FROM x GROUP BY 1")
+register("P12_call_details", lambda t: p.call_details(owned(t.cdr)), ", x AS (SELECT *, coalesce(lag(b_party_number) OVER w=b_party_number AND epoch_us(start_time)-epoch_us(lag(start_time) OVER w)<300000000,false) AS again FROM cdr WINDOW w AS (PARTITION BY a_party_number ORDER BY start_time, id)) SELECT a_party_number AS subject, count(*) FILTER (WHERE duration_seconds>0 AND duration_seconds<5) AS short, count(*) FILTER (WHERE duration_seconds>3600) AS long, count(*) FILTER (WHERE hour(start_time)<5) AS small_hours, count(*) FILTER (WHERE again) AS repeats FROM x GROUP BY 1")
 register("P13_call_bursts", lambda t: p.call_bursts(owned(t.cdr), 21600, 3), ", u AS (SELECT a_party_number AS subject, epoch_us(start_time) AS us, b_party_number AS b FROM cdr), b AS (SELECT x.subject, x.us AS first, max(y.us) AS last, count(*) AS n, count(DISTINCT y.b) AS contacts FROM u x JOIN u y ON x.subject=y.subject AND y.us>=x.us AND y.us<x.us+21600000000 GROUP BY 1,2) SELECT DISTINCT * FROM b WHERE n>=3")
 register("P14_dominance", lambda t: p.dominance(t.cdr), INV + "SELECT *, CASE WHEN ratio>0.6 THEN 'leader' WHEN ratio<0.4 THEN 'follower' ELSE 'peer' END AS role FROM (SELECT subject, count(*) FILTER (WHERE owned) AS made, count(*) FILTER (WHERE NOT owned) AS received, round(count(*) FILTER (WHERE owned)/count(*),3) AS ratio FROM inv GROUP BY 1)")
 register("P15_fan_out", lambda t: p.fan_out(t.cdr), " SELECT *, CASE WHEN contacts>=20 THEN 'wide' WHEN contacts>=10 THEN 'medium' ELSE 'narrow' END AS breadth FROM (SELECT a_party_number AS subject, count(DISTINCT b_party_number) AS contacts FROM cdr GROUP BY 1) WHERE contacts>=5")

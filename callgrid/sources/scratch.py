@@ -21,7 +21,12 @@ def folder(df: DataFrame) -> str:
     return _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="callgrid-"))
 
 
+def place(df: DataFrame, name: str) -> str:
+    """A new folder for tables that are written part by part."""
+    return f"{folder(df)}/callgrid/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    path = f"{folder(df)}/callgrid/{name}-{uuid.uuid4().hex}"
+    path = place(df, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

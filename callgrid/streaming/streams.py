@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.services import GAPS
+from ..operators.attribution import port_family
 from ..operators.reports import owned, volume_by_day
 
 
@@ -50,28 +53,67 @@ def meetings(calls: DataFrame) -> DataFrame:
     return side(1).join(side(2), near).where("t2 > t1 OR id2 > id1").select(F.col("tower1").alias("tower_id"), "s1", "s2", "id1", "id2")
 
 
-def impossible_travel(located: DataFrame, kmh: float = 900, km: float = 5) -> DataFrame:
-    """Per subject the last position is kept as state; a leg from it that is too fast is reported. located: subject, t, latitude, longitude."""
+def family_sessions(ipdr: DataFrame, families: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Sessions of one source, destination and port family, each family with its own gap: source_ip, destination_ip, family, start, rows, up, down and tower (of the first row).
+
+    The twin of ``ipdr_sessions``: a row exactly one gap later still belongs. Rows without a time are in no session; a missing destination is '?'.
+    """
+    gap = F.create_map(*[F.lit(x) for family, seconds in GAPS.items() for x in (family, f"{seconds} seconds")])[F.col("family")]
+    rows = timed(port_family(ipdr, families), late).withColumn("destination_ip", F.coalesce("destination_ip", F.lit("?")))
+    g = rows.groupBy(F.session_window("start_time", gap).alias("w"), "source_ip", "destination_ip", "family").agg(
+        F.count("*").alias("rows"), F.sum(F.coalesce("bytes_uploaded", F.lit(0))).alias("up"), F.sum(F.coalesce("bytes_downloaded", F.lit(0))).alias("down"), F.min_by("tower_id", F.struct("start_time", "id")).alias("tower"),
+    )
+    return g.select("source_ip", "destination_ip", "family", "w.start", "rows", "up", "down", "tower")
+
+
+#: Half the way around the earth, in km: a leg is never longer.
+FARTHEST = 20_016
+
+
+def impossible_travel(stream: DataFrame, kmh: float = 900, km: float = 5, late: str = "1 hour") -> DataFrame:
+    """subject, id, t and km of legs that are too fast, from the row just before in time. stream: subject, id, start_time, latitude, longitude.
+
+    The twin of ``legs``: a leg needs a position at both its rows. Rows wait in state until the watermark has passed them and are then taken
+    in order of time and id, so rows that come late, but within ``late``, change nothing; later ones are dropped. A subject's
+    last row is forgotten once no leg from it could be too fast any more, so the state of silent subjects ends. The end of a
+    stream that no watermark passes is not reported.
+    """
+    forget = FARTHEST / kmh * 3600
+
+    def distance(a: tuple, b: tuple) -> float | None:
+        if None in (a[2], a[3], b[2], b[3]):
+            return None
+        y1, x1, y2, x2 = map(math.radians, (a[2], a[3], b[2], b[3]))
+        h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h)))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        rows = pd.concat(list(frames)).sort_values("t")
-        last = state.get if state.exists else None
-        out = []
-        for t, lat, lon in zip(rows["t"], rows["latitude"], rows["longitude"], strict=True):
-            if last is not None:
-                a, b = np.radians([last[1], last[2]]), np.radians([lat, lon])
-                h = np.sin((b[0] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(b[0]) * np.sin((b[1] - a[1]) / 2) ** 2
-                d, hours = 2 * 6371.0088 * np.arcsin(min(1.0, np.sqrt(h))), (t - last[0]) / 3600
-                if d >= km and (hours <= 0 or d / hours > kmh):
-                    out.append((key[0], t, float(d)))
-            last = (float(t), float(lat), float(lon))
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["subject", "t", "km"])
-
-    return located.groupBy("subject").applyInPandasWithState(step, "subject string, t double, km double", "t double, latitude double, longitude double", "append", GroupStateTimeout.NoTimeout)
+        last, waiting = (None, []) if not state.exists else (state.get[0], list(state.get[1]))
+        last = tuple(last) if last is not None else None
+        none = lambda v: None if pd.isna(v) else float(v)
+        for rows in frames:
+            waiting += [(float(t), int(i), none(y), none(x)) for t, i, y, x in zip(rows["t"], rows["id"], rows["latitude"], rows["longitude"], strict=True)]
+        waiting = sorted(map(tuple, waiting), key=lambda r: r[:2])
+        passed, out = state.getCurrentWatermarkMs() / 1000, []
+        while waiting and waiting[0][0] <= passed:
+            row = waiting.pop(0)
+            far = distance(last, row) if last is not None else None
+            hours = (row[0] - last[0]) / 3600 if last is not None else 0
+            if far is not None and far >= km and (hours <= 0 or far / hours > kmh):
+                out.append((key[0], row[1], row[0], far))
+            last = row
+        if not waiting and (last is None or last[0] + forget <= passed):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, waiting))
+            due = waiting[0][0] if waiting else last[0] + forget
+            state.setTimeoutTimestamp(max(int(due * 1000) + 1, int(passed * 1000) + 1))
+        yield pd.DataFrame(out, columns=["subject", "id", "t", "km"])
+
+    row = "struct<t: double, id: long, latitude: double, longitude: double>"
+    rows = timed(stream, late).select("subject", "id", "start_time", (F.unix_micros("start_time") / 1e6).alias("t"), F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"))
+    return rows.groupBy("subject").applyInPandasWithState(step, "subject string, id long, t double, km double", f"last {row}, waiting array<{row}>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_rows(facts: DataFrame, seen: int | None) -> DataFrame:
