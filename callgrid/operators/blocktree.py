@@ -83,6 +83,7 @@ def betweenness(e: DataFrame) -> DataFrame:
     In a block each pair of members counts as often as pairs of nodes reach it through them; a cut point also lies between all that
     hang on it by different blocks.
     """
+    e = saved(e, "contacts")
     members, own = block_members(e)
     edges, large = _searched(e, members, own)
     n = graph.nodes(e).count()
@@ -104,6 +105,7 @@ def closeness(e: DataFrame) -> DataFrame:
 
     A node's sum of distances is that of its block's top and what changes from there, so sums run down the tree of blocks.
     """
+    e = saved(e, "contacts")
     members, own = block_members(e)
     edges, large = _searched(e, members, own)
     n = graph.nodes(e).count()
