@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import addresses as ad
 from ..functions import services as s
 from ..functions.exprs import epoch, ip_number
 
@@ -135,15 +136,20 @@ def by_port(ipdr: DataFrame, ports: DataFrame) -> DataFrame:
     return rows.select(*ipdr.columns, *(f"port_{c}" for c in ("service", "family", "subtype", "confidence", "category", "evidence")), "port")
 
 
-def attribute(ipdr: DataFrame, networks: DataFrame, ports: DataFrame) -> DataFrame:
+def attribute(ipdr: DataFrame, networks: DataFrame, ports: DataFrame, wide: DataFrame | None = None) -> DataFrame:
     """Adds provider, service, subtype, family, category, confidence and evidence to each session.
 
     A special destination is internal, though a port that says something keeps its service. A content provider
     names the service, its surety growing with the length of the network. Where the destination has no provider,
     the access network of the source counts; an access network leaves a port that says something its service and
-    else is all there is. Otherwise the ports decide. Addresses are looked up once each.
+    else is all there is. Otherwise the ports decide. Addresses are looked up once each. ``wide`` (ord, provider,
+    is_isp, cidr) gives the IPv6 networks, if there are any.
     """
-    found = providers(ipdr.select(F.col("destination_ip").alias("ip")).union(ipdr.select("source_ip")), networks)
+    ips = ipdr.select(F.col("destination_ip").alias("ip")).union(ipdr.select("source_ip"))
+    found = providers(ips, networks)
+    if wide is not None:
+        six = ad.providers(ips.where("contains(ip, ':')"), wide).withColumn("hosting", F.col("provider").isin(s.HOSTING))
+        found = found.unionByName(six)
     side = lambda df, key, n: df.select(F.col("ip").alias(key), *[F.col(c).alias(f"{n}_{c}") for c in ("provider", "is_isp", "hosting", "cidr", "plen")])
     rows = by_port(ipdr, ports).join(side(found, "destination_ip", "__d"), "destination_ip", "left").join(side(found.where("is_isp"), "source_ip", "__s"), "source_ip", "left")
     net = lambda c: F.coalesce(f"__d_{c}", f"__s_{c}")
@@ -241,14 +247,6 @@ def session_gaps(rows: DataFrame) -> DataFrame:
     return g.groupBy("subject").agg(F.round(F.avg("gap") / 60, 2).alias("avg_min"), F.round(F.max("gap") / 60, 2).alias("max_min"), F.round(F.min("gap") / 60, 2).alias("min_min"), *[F.count_if(F.col("gap") > h * 3600).alias(f"over_{h}h") for h in (1, 6, 24)])
 
 
-def timeline(cdr: DataFrame, ipdr: DataFrame, towers: DataFrame) -> DataFrame:
-    """Calls, sessions and towers in order of time; towers, which have none, last."""
-    a = cdr.select(F.lit("call").alias("kind"), "start_time", F.col("a_party_number").alias("subject"), F.col("b_party_number").alias("other"), "id")
-    b = ipdr.select(F.lit("session").alias("kind"), "start_time", F.col("source_ip").alias("subject"), F.col("destination_ip").alias("other"), "id")
-    c = towers.select(F.lit("tower").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("start_time"), F.col("tower_id").alias("subject"), F.col("city").alias("other"), F.lit(None).cast("long").alias("id"))
-    return a.union(b).union(c).orderBy(F.asc_nulls_last("start_time"), "kind", "id", "subject")
-
-
 def entities(cdr: DataFrame) -> DataFrame:
     """Everyone in a call: events, types, contacts, first and last time."""
     side = lambda a, b: cdr.select(F.col(a).alias("entity"), F.col(b).alias("contact"), "call_type", "start_time")

@@ -27,21 +27,24 @@ def streams(cdr: DataFrame, towers: DataFrame) -> DataFrame:
     return rows.where("subject IS NOT NULL AND start_time IS NOT NULL").withColumn("kind", F.when(F.upper("call_type") == "SMS", "sms").otherwise("call"))
 
 
+def with_leg(stream: DataFrame) -> DataFrame:
+    """Adds from_tower, from_imei, km, hours, kmh, impossible and mode of the leg from the row before, and ``moved``, whether there is one (see ``legs``)."""
+    w = by_subject()
+    before = lambda c: F.lag(c).over(w)
+    km = haversine_km(before("latitude"), before("longitude"), "latitude", "longitude")
+    rows = stream.withColumns({"from_tower": before("tower_id"), "from_imei": before("imei"), "km": km, "hours": (epoch("start_time") - epoch(before("start_time"))) / 3600})
+    rows = rows.withColumn("kmh", F.when(F.col("hours") > 0, F.col("km") / F.col("hours")))
+    moved = F.coalesce((F.col("km") >= MIN_LEG_KM) & (F.col("kmh").isNotNull() | (F.col("km") >= FAR_KM)), F.lit(False))
+    impossible = F.when(F.col("kmh").isNull(), True).otherwise((F.col("kmh") > IMPOSSIBLE_KMH) & (F.col("km") >= FAR_KM))
+    return rows.withColumns({"moved": moved, "impossible": impossible, "mode": F.when(F.col("kmh").isNull(), "impossible").otherwise(classify_speed(F.col("kmh")))})
+
+
 def legs(stream: DataFrame) -> DataFrame:
     """The leg from the row before, located or not: at least a kilometre between two located rows, with speed and mode.
 
     Impossible: faster than 900 km/h over 5 km or more, or 5 km in no time (speed null).
     """
-    w = by_subject()
-    before = lambda c: F.lag(c).over(w)
-    rows = stream.select(
-        "subject", "id", "start_time", "tower_id", "imei", before("tower_id").alias("from_tower"), before("imei").alias("from_imei"),
-        haversine_km(before("latitude"), before("longitude"), "latitude", "longitude").alias("km"), ((epoch("start_time") - epoch(before("start_time"))) / 3600).alias("hours"),
-    )
-    kmh = F.when(F.col("hours") > 0, F.col("km") / F.col("hours"))
-    out = rows.where(F.col("km") >= MIN_LEG_KM).withColumn("kmh", kmh).where(F.col("kmh").isNotNull() | (F.col("km") >= FAR_KM))
-    impossible = F.when(F.col("kmh").isNull(), True).otherwise((F.col("kmh") > IMPOSSIBLE_KMH) & (F.col("km") >= FAR_KM))
-    return out.withColumn("impossible", impossible).withColumn("mode", F.when(F.col("kmh").isNull(), "impossible").otherwise(classify_speed(F.col("kmh"))))
+    return with_leg(stream).where("moved").select("subject", "id", "start_time", "tower_id", "imei", "from_tower", "from_imei", "km", "hours", "kmh", "impossible", "mode")
 
 
 def first_impossible(stream: DataFrame) -> DataFrame:

@@ -91,10 +91,6 @@ register(
     AT.rstrip() + PF + _sessions("att") + "SELECT source_ip, destination_ip, fam AS family, session, count(*) AS rows, arg_min(service, (-confidence, start_time, id)) AS service, arg_min(subtype, (-confidence, start_time, id)) AS subtype, max(confidence) AS confidence, arg_min(family, (-confidence, start_time, id)) AS service_family FROM se2 GROUP BY 1,2,3,4",
 )
 register("N03_port_family", lambda t: a.port_family(t.ipdr, s.families(t.spark)).select("id", "family"), PF + " SELECT id, fam AS family FROM fam")
-TS = "strftime(start_time,'%Y-%m-%d %H:%M:%S')"
-register("N04_timeline", lambda t: a.timeline(t.cdr, t.ipdr, t.towers).select("kind", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("at"), "subject", "other"),
-         f" SELECT 'call' AS kind, {TS} AS at, a_party_number AS subject, b_party_number AS other FROM cdr UNION ALL SELECT 'session', {TS}, source_ip, destination_ip FROM ipdr UNION ALL SELECT 'tower', NULL, tower_id, city FROM tw")
-register("N05_attributed_timeline", lambda t: _att(t).select("id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("at"), "service").union(t.cdr.select("id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss"), "call_type")), AT + f"SELECT id, {TS} AS at, service FROM att UNION ALL SELECT id, {TS}, call_type FROM cdr")
 register("N07_entities", lambda t: a.entities(t.cdr), " SELECT entity, count(*) AS events, count(DISTINCT call_type) AS types, count(DISTINCT contact) AS contacts, strftime(min(start_time),'%Y-%m-%d %H:%M:%S') AS first, strftime(max(start_time),'%Y-%m-%d %H:%M:%S') AS last FROM (SELECT a_party_number AS entity, b_party_number AS contact, call_type, start_time FROM cdr UNION ALL SELECT b_party_number, a_party_number, call_type, start_time FROM cdr) GROUP BY 1")
 register("N08_compressed", lambda t: a.compressed(owned(t.cdr)), ", c0 AS (SELECT *, a_party_number AS subject, strftime(start_time,'%Y-%m-%d') AS day, CASE WHEN lag(call_type) OVER (PARTITION BY a_party_number, strftime(start_time,'%Y-%m-%d') ORDER BY start_time, id)=call_type THEN 0 ELSE 1 END AS c FROM cdr), c1 AS (SELECT *, CAST(sum(c) OVER (PARTITION BY subject, day ORDER BY start_time, id) AS BIGINT) AS block FROM c0) SELECT subject, day, block, call_type, count(*) AS times FROM c1 GROUP BY 1,2,3,4")
 TK = ", t0 AS (SELECT *, a_party_number AS subject, (epoch_us(start_time)-epoch_us(lag(start_time) OVER (PARTITION BY a_party_number ORDER BY start_time, id)))/1e6 AS gap FROM cdr), t1 AS (SELECT *, CAST(sum(CASE WHEN gap>1800 THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY start_time, id) AS BIGINT) AS session FROM t0) "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Canonical columns of each feed, the required ones, and other names that headers go by.
@@ -173,11 +173,37 @@ def canonical(raw: DataFrame, kind: str, case_id: str | None = None, override: d
     return raw.where(ok).select(F.lit(case_id).cast("string").alias("case_id"), *[typed(c) for c in COLUMNS[kind]]), raw.where(~ok)
 
 
-def import_report(raw: DataFrame, kind: str, override: dict[str, str] | None = None) -> DataFrame:
-    """Rows read, imported and dropped, in one pass."""
-    found, _ = resolve(raw.columns, kind, override)
+def _report_columns(raw: DataFrame, kind: str, override: dict[str, str] | None) -> tuple[list[Column], dict[str, str]]:
+    """Counts of an import: rows, those with a start time, those without, and times that no format reads by column; a missing time is no failure."""
+    found, missing = resolve(raw.columns, kind, override)
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
     bad = parse_time(F.col(f"`{found['start_time']}`")).isNull()
-    return raw.agg(F.count("*").alias("total"), F.count_if(~bad).alias("imported"), F.count_if(bad).alias("dropped"))
+    failed = lambda c: F.count_if(F.col(f"`{found[c]}`").isNotNull() & parse_time(F.col(f"`{found[c]}`")).isNull()) if c in found else F.lit(0).cast("long")
+    counts = [F.count("*").alias("total"), F.count_if(~bad).alias("imported"), F.count_if(bad).alias("dropped"), failed("start_time").alias("start_failed"), failed("end_time").alias("end_failed")]
+    return counts, found
+
+
+def import_report(raw: DataFrame, kind: str, override: dict[str, str] | None = None) -> DataFrame:
+    """Rows read, imported and dropped, and unread times of each column and in all, in one pass."""
+    counts, _ = _report_columns(raw, kind, override)
+    return raw.agg(*counts).withColumn("date_failures", F.col("start_failed") + F.col("end_failed"))
+
+
+def observed(raw: DataFrame, kind: str, case_id: str | None = None, override: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, Observation]:
+    """As ``canonical``, with the counts of ``import_report`` taken by the job that writes the good rows: no pass of their own.
+
+    Where that job runs only in part (a limit), the counts are of what it read.
+    """
+    counts, _ = _report_columns(raw, kind, override)
+    seen = Observation()
+    good, _ = canonical(raw.observe(seen, *counts), kind, case_id, override)
+    return good, canonical(raw, kind, case_id, override)[1], seen
+
+
+def examples(rejected: DataFrame, n: int = 5) -> DataFrame:
+    """Some rejected rows as a report shows them; tasks stop once they are found."""
+    return rejected.limit(n)
 
 
 def preview(raw: DataFrame, kind: str, n: int = 50, override: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
