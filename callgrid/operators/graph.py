@@ -13,6 +13,7 @@ from ..functions.exprs import epoch
 from ..sources.scratch import place, saved
 from . import blocktree
 from .communities import communities  # noqa: F401
+from .overlap import sharing_twice
 
 
 def edges(cdr: DataFrame) -> DataFrame:
@@ -355,7 +356,6 @@ def resolve_entities(cdr: DataFrame) -> DataFrame:
     links = pairs.select(F.concat(F.lit("n"), "msisdn").alias("src"), F.concat(F.lit("~"), "imei").alias("dst"), F.lit(1).alias("weight"))
     label = components(links).where("node LIKE 'n%'").select(F.substring("node", 2, 100).alias("msisdn"), F.substring("label", 2, 100).alias("entity"))
     groups = label.groupBy("entity").agg(F.count("*").alias("numbers"), F.array_join(F.sort_array(F.collect_set("msisdn")), ",").alias("members")).where("numbers > 1")
-    few = pairs.join(pairs.groupBy("imei").agg(F.count("*").alias("c")).where("c > 1"), "imei")
-    shared = few.select(F.col("msisdn").alias("a"), "imei").join(few.select(F.col("msisdn").alias("b"), "imei"), "imei").where("a < b").groupBy("a", "b").agg(F.count("*").alias("s"))
-    strong = shared.join(label.withColumnRenamed("msisdn", "a"), "a").groupBy("entity").agg(F.max("s").alias("s"))
-    return groups.join(strong, "entity", "left").select("entity", "numbers", "members", F.when(F.col("s") > 1, "high").otherwise("medium").alias("confidence"))
+    twice = sharing_twice(pairs.select(F.col("msisdn").alias("s"), F.col("imei").alias("c")))
+    strong = label.join(twice.withColumnRenamed("s", "msisdn"), "msisdn", "left_semi").select("entity", F.lit(True).alias("twice")).distinct()
+    return groups.join(strong, "entity", "left").select("entity", "numbers", "members", F.when(F.col("twice"), "high").otherwise("medium").alias("confidence"))

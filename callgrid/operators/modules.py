@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import epoch, haversine_km, hour, top_per, when_text
 from .movement import by_subject
+from .overlap import top_overlaps
 from .reports import involved
 
 
@@ -145,27 +146,19 @@ def home_and_work(rows: DataFrame) -> DataFrame:
     return g.withColumn("mobility", F.when(F.col("towers") > 4, "High").otherwise("Low"))
 
 
-def contact_pairs(cdr: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of callers by common contacts with Jaccard similarity."""
-    e = cdr.where("a_party_number <> b_party_number").select(F.col("a_party_number").alias("s"), F.col("b_party_number").alias("c")).distinct()
-    d = e.groupBy("s").agg(F.count("*").alias("d"))
-    p = e.withColumnRenamed("s", "a").join(e.withColumnRenamed("s", "b"), "c").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    p = p.join(d.select(F.col("s").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("s").alias("b"), F.col("d").alias("db")), "b")
-    return p.select("a", "b", "shared", F.round(F.col("shared") / (F.col("da") + F.col("db") - F.col("shared")), 6).alias("jaccard"))
-
-
-def closest(pairs: DataFrame, n: int) -> DataFrame:
-    return pairs.orderBy(F.desc("shared"), F.desc("jaccard"), "a", "b").limit(n)
+def contact_sets(cdr: DataFrame) -> DataFrame:
+    return cdr.where("a_party_number <> b_party_number").select(F.col("a_party_number").alias("s"), F.col("b_party_number").alias("c")).distinct()
 
 
 def shared_contacts(cdr: DataFrame, n: int = 20) -> DataFrame:
-    return closest(contact_pairs(cdr), n)
+    """The callers with most contacts in common, with Jaccard similarity."""
+    return top_overlaps(contact_sets(cdr), n)
 
 
 def silent_partners(cdr: DataFrame, n: int = 20) -> DataFrame:
     """Pairs with common contacts that never called each other."""
     direct = cdr.select(F.least("a_party_number", "b_party_number").alias("a"), F.greatest("a_party_number", "b_party_number").alias("b")).distinct()
-    return closest(contact_pairs(cdr).join(direct, ["a", "b"], "left_anti"), n)
+    return top_overlaps(contact_sets(cdr), n, barred=direct)
 
 
 def training_rows(cdr: DataFrame, n: int = 5) -> DataFrame:
