@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import evidence as ev
 from ..operators import modules as p
 from ..operators import movement as m
 from ..operators.reports import owned
@@ -53,6 +54,26 @@ GP = ", gp AS (SELECT a_party_number AS subject, (epoch_us(start_time)-epoch_us(
 register("P11_silences", lambda t: p.silences(owned(t.cdr)), GP + "SELECT subject, count(*) AS gaps, count(*) FILTER (WHERE h>24) AS over_day, count(*) FILTER (WHERE h>168) AS over_week, round(max(h),3) AS longest, round(avg(h),3) AS average, round(sum(h),3) AS total FROM gp WHERE h>=2 GROUP BY 1")
 register("P12_call_details", lambda t: p.call_details(owned(t.cdr)), ", x AS (SELECT *, coalesce(lag(b_party_number) OVER w=b_party_number AND epoch_us(start_time)-epoch_us(lag(start_time) OVER w)<300000000,false) AS again FROM cdr WINDOW w AS (PARTITION BY a_party_number ORDER BY start_time, id)) SELECT a_party_number AS subject, count(*) FILTER (WHERE duration_seconds>0 AND duration_seconds<5) AS short, count(*) FILTER (WHERE duration_seconds>3600) AS long, count(*) FILTER (WHERE hour(start_time)<5) AS small_hours, count(*) FILTER (WHERE again) AS repeats FROM x GROUP BY 1")
 register("P13_call_bursts", lambda t: p.call_bursts(owned(t.cdr), 21600, 3), ", u AS (SELECT a_party_number AS subject, epoch_us(start_time) AS us, b_party_number AS b FROM cdr), b AS (SELECT x.subject, x.us AS first, max(y.us) AS last, count(*) AS n, count(DISTINCT y.b) AS contacts FROM u x JOIN u y ON x.subject=y.subject AND y.us>=x.us AND y.us<x.us+21600000000 GROUP BY 1,2) SELECT DISTINCT * FROM b WHERE n>=3")
+_per_hour = lambda c: f"count(*) FILTER (WHERE {c})/greatest((max(t) FILTER (WHERE {c})-min(t) FILTER (WHERE {c}))/3600,1.0)"
+_avg = lambda x: f"avg({x}) FILTER (WHERE new) AS {x}1, avg({x}) FILTER (WHERE NOT new) AS {x}0"
+SHIFTED = RN + f""", z AS (SELECT *, i>floor(n*0.6) AS new, {D} AS d, {NI} AS ni FROM rn WHERE n>=10),
+ s AS (SELECT subject, b_party_number, bool_or(new) AS late, bool_or(NOT new) AS early FROM z WHERE b_party_number IS NOT NULL GROUP BY 1,2),
+ c AS (SELECT subject, count(*) FILTER (WHERE late AND NOT early) AS gained, count(*) FILTER (WHERE NOT late) AS dropped, count(*) FILTER (WHERE late) AS recent FROM s GROUP BY 1),
+ r AS (SELECT subject, {_per_hour('new')} AS r1, {_per_hour('NOT new')} AS r0, {_avg('ni')}, {_avg('d')}, count(*) FILTER (WHERE new) AS n1, count(*) FILTER (WHERE NOT new) AS n0 FROM z GROUP BY 1),
+ m AS (SELECT r.*, gained, dropped, recent, round((r1/greatest(r0,0.001)-1)*100,1) AS activity, ni1-ni0 AS night, (d1/greatest(d0,0.001)-1)*100 AS duration FROM r LEFT JOIN c USING (subject)) """
+register("P10_shift_marks", lambda t: ev.shift_marks(owned(t.cdr)), SHIFTED + """SELECT subject, 'Activity Level Change' AS type, round(CAST(activity AS DOUBLE),3) AS value, CASE WHEN abs(activity)>200 THEN 'High' ELSE 'Medium' END AS severity FROM m WHERE abs(activity)>75
+ UNION ALL SELECT subject, 'New Contact Surge', gained, CASE WHEN gained>=10 AND gained>=0.5*greatest(recent,1) THEN 'High' ELSE 'Medium' END FROM m WHERE gained>=5
+ UNION ALL SELECT subject, 'Contact Drop-off', dropped, 'Medium' FROM m WHERE dropped>=3
+ UNION ALL SELECT subject, 'Time-of-Day Pattern Shift', round(night,3), 'Medium' FROM m WHERE n0>=5 AND n1>=5 AND abs(night)>0.2
+ UNION ALL SELECT subject, 'Call Duration Shift', round(duration,3), 'Low' FROM m WHERE abs(duration)>80""")
+FIRST = ", g0 AS (SELECT a_party_number AS subject, id, start_time, epoch_us(start_time)-epoch_us(lag(start_time) OVER w) AS us, lag(b_party_number) OVER w AS before, b_party_number AS after FROM cdr WINDOW w AS (PARTITION BY a_party_number ORDER BY start_time, id)) "
+register("P11_first_gaps", lambda t: ev.first_gaps(owned(t.cdr)), FIRST + "SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY start_time, id) AS i, round(us/60e6,1) AS minutes, before, after FROM g0 WHERE us>=7200000000 QUALIFY i<=10")
+GAPS = GP + ", gs AS (SELECT subject, count(*) AS gaps, round(max(h),3) AS longest FROM gp WHERE h>=2 GROUP BY 1) SELECT subject, gaps, longest, CASE WHEN round(longest,1)>720 THEN 'away' ELSE 'quiet' END AS kind, CASE WHEN round(longest,1)>720 THEN 'High' ELSE 'Medium' END AS severity FROM gs WHERE round(longest,1)>168 UNION ALL SELECT subject, gaps, longest, 'frequent', 'Medium' FROM gs WHERE gaps>10"
+register("P11_gap_findings", lambda t: ev.gap_marks(p.silences(owned(t.cdr))), GAPS)
+CALLS = """, cd AS (SELECT a_party_number AS subject, count(*) FILTER (WHERE duration_seconds>0 AND duration_seconds<5) AS short, count(*) FILTER (WHERE hour(start_time)<5) AS odd FROM cdr GROUP BY 1), u AS (SELECT a_party_number AS subject, epoch_us(start_time) AS us FROM cdr),
+ w5 AS (SELECT subject, us, count(*) OVER w AS n, max(us) OVER w AS last FROM u WINDOW w AS (PARTITION BY subject ORDER BY us RANGE BETWEEN CURRENT ROW AND 599999999 FOLLOWING)), bu AS (SELECT subject, count(*) AS n FROM (SELECT DISTINCT subject, us, last, n FROM w5 WHERE n>=5) GROUP BY 1)
+ SELECT subject, 'short' AS kind, short AS n FROM cd WHERE short>3 UNION ALL SELECT subject, 'odd_hours', odd FROM cd WHERE odd>3 UNION ALL SELECT subject, 'bursts', n FROM bu"""
+register("P12_call_findings", lambda t: ev.call_marks(p.call_details(owned(t.cdr)), p.call_bursts(owned(t.cdr))), CALLS)
 register("P14_dominance", lambda t: p.dominance(t.cdr), INV + "SELECT *, CASE WHEN ratio>0.6 THEN 'leader' WHEN ratio<0.4 THEN 'follower' ELSE 'peer' END AS role FROM (SELECT subject, count(*) FILTER (WHERE owned) AS made, count(*) FILTER (WHERE NOT owned) AS received, round(count(*) FILTER (WHERE owned)/count(*),3) AS ratio FROM inv GROUP BY 1)")
 register("P15_fan_out", lambda t: p.fan_out(t.cdr), " SELECT *, CASE WHEN contacts>=20 THEN 'wide' WHEN contacts>=10 THEN 'medium' ELSE 'narrow' END AS breadth FROM (SELECT a_party_number AS subject, count(DISTINCT b_party_number) AS contacts FROM cdr GROUP BY 1) WHERE contacts>=5")
 register("P16_check_ins", lambda t: p.check_ins(t.cdr, 3), " SELECT a_party_number, b_party_number, n, round(mean,3) AS mean_hours, CASE WHEN mean BETWEEN 20 AND 28 THEN 'daily' ELSE 'weekly' END AS kind FROM (SELECT a_party_number, b_party_number, count(*) AS n, (epoch_us(max(start_time))-epoch_us(min(start_time)))/1e6/3600/(count(*)-1) AS mean FROM cdr GROUP BY 1,2 HAVING count(*)>=3) WHERE mean BETWEEN 20 AND 28 OR mean BETWEEN 160 AND 176")

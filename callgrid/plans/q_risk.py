@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..operators import behaviour as b
+from ..operators import evidence as ev
 from ..operators import risk as r
-from .catalog import register
+from ..sources.adapter import CTE
+from .catalog import ORACLES, register
 from .q_behaviour import _cad
 
 IPF = f""", tn AS (SELECT source_ip AS subject, count(*) FILTER (WHERE destination_port IN {tuple(b.VPN_PORTS)}) AS vpn, count(*) FILTER (WHERE destination_port IN {tuple(b.PROXY_PORTS)}) AS proxy FROM ipdr GROUP BY 1),
@@ -23,7 +25,35 @@ register(
 register("O05_watchlist_kind", lambda t: t.cdr.select(F.explode(F.array("msisdn", "imei")).alias("value")).union(t.ipdr.select("source_ip")).distinct().withColumn("kind", r.watchlist_kind(F.col("value"))),
          " SELECT DISTINCT value, CASE WHEN regexp_full_match(value,'\\d{1,3}(\\.\\d{1,3}){3}') THEN 'ip' WHEN regexp_full_match(value,'\\d{15}') THEN 'imei' ELSE 'phone' END AS kind FROM (SELECT msisdn AS value FROM cdr UNION ALL SELECT imei FROM cdr UNION ALL SELECT source_ip FROM ipdr)")
 register("O07_manifest", lambda t: r.manifest(r.ip_leaderboard(t.ipdr)), IPF + "SELECT band, count(*) AS n FROM lbb GROUP BY 1")
-register("O08_findings", lambda t: r.findings(t.cdr, t.towers))
+register("O08_findings", lambda t: ev.findings(t.cdr, t.towers))
+register("O08_factor_findings", lambda t: r.findings(t.cdr, t.towers))
+
+
+def _rule(i, query, category, title, severity, where="true"):
+    """One part of the findings in SQL, over the SQL of the query that it rests on."""
+    return f"SELECT {i} AS part, '{category}' AS category, {title} AS title, subject, {severity} AS severity FROM ({ORACLES[query] if query in ORACLES else query}) WHERE {where}"
+
+
+_t = lambda text: f"concat('{text}', subject)"
+_grave = lambda c, over: f"CASE WHEN {c}>{over} THEN 'High' ELSE 'Medium' END"
+_SIMS = CTE + "SELECT a_party_number AS subject FROM cdr GROUP BY a_party_number, imei HAVING count(DISTINCT imsi)>1"
+FOUND = "WITH fa AS (" + " UNION ALL ".join([
+    _rule(0, "K07_deep_identity", "Identity", _t("Suspected burner identity: "), _grave("burner", 50), "suspected"),
+    _rule(1, "K05_identity_report", "Identity", _t("SIM swap detected for "), "'High'", "swaps>0"),
+    _rule(2, "K05_identity_report", "Identity", _t("Device change for "), "'Medium'", "devices>0"),
+    _rule(3, _SIMS, "Identity", _t("Multi-SIM usage: "), "'Medium'"),
+    _rule(4, "K07_deep_identity", "Identity", _t("Device cycling: "), _grave("cycling", 60), "cycling>30"),
+    _rule(5, "P10_shift_marks", "Behavioral Shift", "concat(type, ': ', subject)", "severity"),
+    _rule(6, "P11_gap_findings", "Network Gap", _t("Network disappearance: "), "severity"),
+    _rule(7, "P12_call_findings", "Call Pattern", _t("Suspicious calling: "), "'Medium'"),
+    _rule(8, "P14_dominance", "Organization", _t("Potential leader identified: "), "'High'", "role='leader'"),
+    _rule(9, f"SELECT *, a AS subject FROM ({ORACLES['P17_shared_contacts']})", "Correlation", "concat('Linked subjects: ', a, ' & ', b)", "'Medium'"),
+    _rule(10, "P07_radius", "Movement", _t("Wide operational range: "), "'Medium'", "km>100"),
+    _rule(11, "N09_session_gaps", "Session Pattern", _t("Gap-rich communication: "), "'Medium'", "over_24h>3"),
+    _rule(12, "P03_time_profile", "Behavioral", _t("Night-dominant activity: "), "'Low'", "night_owl"),
+]) + "), fw AS (SELECT *, CAST(CASE severity WHEN 'High' THEN 75 WHEN 'Medium' THEN 50 ELSE 25 END AS BIGINT) AS weight FROM fa), ff AS (SELECT category, title, subject, severity, weight FROM fw QUALIFY row_number() OVER (PARTITION BY title ORDER BY weight DESC, part)=1) "
+register("O08_record_findings", lambda t: ev.ranked(ev.record_parts(t.cdr, t.towers)).drop("detail"), FOUND + "SELECT * FROM ff", cte="")
+register("O08_counts", lambda t: ev.counts(ev.ranked(ev.record_parts(t.cdr, t.towers))), FOUND + "SELECT severity, category, count(*) AS n FROM ff GROUP BY GROUPING SETS ((severity), (category), ())", cte="")
 
 
 def _chain(t):
