@@ -32,10 +32,11 @@ def _named(df: DataFrame, subject: str, factor: str) -> DataFrame:
     return df.select(F.col(subject).alias("subject"), F.lit(factor).alias("factor")).distinct()
 
 
-def cdr_factors(cdr: DataFrame, towers: DataFrame) -> DataFrame:
+def cdr_factors(cdr: DataFrame, towers: DataFrame, network: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """subject, factor, weight: each factor once a subject; of cloned, impossible and multi-handset the strongest, of broker and cut point the first.
 
-    Shared routes, brokers and cut points are those of the reports, which are top lists.
+    Shared routes, brokers and cut points are those of the reports, which are top lists; ``network`` gives the last two
+    (node) where they are known.
     """
     stream, own = m.streams(cdr, towers), owned(cdr)
     legs = m.legs(stream)
@@ -43,10 +44,12 @@ def cdr_factors(cdr: DataFrame, towers: DataFrame) -> DataFrame:
     devices = b.device_anomalies(cdr)
     burners = devices.where("kind = 'handset'").select(F.explode(F.split("others", ",")).alias("subject"))
     pairs = h.convoys(h.co_presence(stream), cdr)
-    contacts = g.edges(cdr)
-    every = g.nodes(contacts).select("node")
-    brokers = saved(g.brokers(contacts, every).select("node"), "brokers")
-    cuts = g.top_cut_points(contacts).select("node").join(brokers, "node", "left_anti")
+    if network is None:
+        contacts = g.edges(cdr)
+        every = g.nodes(contacts).select("node")
+        network = saved(g.brokers(contacts, every).select("node"), "brokers"), g.top_cut_points(contacts).select("node")
+    brokers, cuts = network
+    cuts = cuts.join(brokers, "node", "left_anti")
     both = lambda df, name: _named(df.select(F.explode(F.array("a", "b")).alias("s")), "s", name)
     parts = [
         _named(clones.where("cloned"), "subject", "cloned_sim"), _named(legs.where("impossible"), "subject", "impossible_travel"), _named(devices.where("kind = 'number'"), "key", "sim_multi_handset"),
@@ -87,8 +90,8 @@ def scores(factors: DataFrame, events: DataFrame) -> DataFrame:
     return s.withColumn("band", band)
 
 
-def leaderboard(cdr: DataFrame, towers: DataFrame) -> DataFrame:
-    return scores(cdr_factors(cdr, towers), owned(cdr).groupBy("subject").agg(F.count("*").alias("events"))).orderBy(F.desc("score"), "subject")
+def leaderboard(cdr: DataFrame, towers: DataFrame, network: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return scores(cdr_factors(cdr, towers, network), owned(cdr).groupBy("subject").agg(F.count("*").alias("events"))).orderBy(F.desc("score"), "subject")
 
 
 def ip_leaderboard(ipdr: DataFrame) -> DataFrame:
@@ -108,6 +111,24 @@ def with_watchlist(board: DataFrame, watch: DataFrame) -> DataFrame:
     return out.withColumn("score", F.when(F.col("watched"), F.lit(100)).otherwise(F.col("score")).cast("long")).withColumn("band", F.when(F.col("watched"), "critical").otherwise(F.col("band")))
 
 
+def watchlist_hits(phones: DataFrame, addresses: DataFrame, watch: DataFrame) -> DataFrame:
+    """subject, kind: numbers of the list (value) on the board of calls, addresses of it on that of sessions; never crossed."""
+    listed = watch.select(F.col("value").alias("subject"), watchlist_kind(F.col("value")).alias("kind")).distinct()
+    on = lambda board, kind: listed.where(F.col("kind") == kind).join(board.select("subject"), "subject", "left_semi")
+    return on(phones, "phone").union(on(addresses, "ip"))
+
+
+def raised(board: DataFrame, hits: DataFrame, kind: str) -> DataFrame:
+    """The board with its hits first: score 100, critical, and the match as first of the factors."""
+    hit = F.col("hit").isNotNull()
+    out = board.join(hits.where(F.col("kind") == kind).select("subject", F.lit(True).alias("hit")), "subject", "left")
+    out = out.withColumns({
+        "score": F.when(hit, F.lit(100)).otherwise(F.col("score")).cast("long"), "band": F.when(hit, "critical").otherwise(F.col("band")),
+        "factors": F.col("factors") + F.when(hit, 1).otherwise(0), "why": F.when(hit, F.concat(F.lit("watchlist_match,"), "why")).otherwise(F.col("why")),
+    })
+    return out.drop("hit").orderBy(F.desc("score"), "subject")
+
+
 def findings(cdr: DataFrame, towers: DataFrame) -> DataFrame:
     """Rule outputs as one table: severity, title, subject; the first of equal titles."""
     f = cdr_factors(cdr, towers)

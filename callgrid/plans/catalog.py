@@ -18,4 +18,4 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
         ORACLES[name] = cte + sql
 
 
-from . import q_attribution, q_behaviour, q_compare, q_graph, q_ingest, q_modules, q_movement, q_records, q_reports, q_risk, q_stats, q_timelines  # noqa: E402,F401  each module registers its queries
+from . import q_attribution, q_behaviour, q_compare, q_graph, q_ingest, q_modules, q_movement, q_records, q_reports, q_risk, q_stats, q_timelines, q_assembly  # noqa: E402,F401,I001  each module registers its queries
