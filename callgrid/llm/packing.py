@@ -104,7 +104,8 @@ class WordTokenizer:
     def learn(self, words: list[str], asked: int) -> list[bytes]:
         """The ids of each word, as 16-bit integers; ``asked``: of how many words these are the unknown ones."""
         cut = [self.cut(w) for w in words]
-        new = list(set().union(*cut).difference(self.parts))
+        parts = self.parts
+        new = [p for p in set().union(*cut) if p not in parts]  # set.difference() would walk the whole cache
         with self.parts.holding(dict(zip(new, self.whole(new, "H"), strict=True)) if new else {}, asked) as known:
             return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in cut]
 
@@ -127,8 +128,8 @@ class WordTokenizer:
                     table = self.rest = WordTable(2 * len(new))
         if len(new):
             table.add(new, self.learn([joined[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], len(h)))
-            main = self.words.find(h)
-            odd = np.flatnonzero(main < 0)
+            main[odd] = self.words.find(h[odd])
+            odd = odd[main[odd] < 0]
             other = self.rest.find(h[odd])
         low, high = self.words.ends[main], self.words.ends[main + 1]
         low[odd], high[odd] = self.rest.ends[other] + len(self.words.ids), self.rest.ends[other + 1] + len(self.words.ids)

@@ -332,6 +332,20 @@ def test_caches_when_full(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_packing_asks_its_cache_for_new_pieces_only():
+    """Learning words costs what these words cost, not a walk over all pieces that are kept."""
+
+    class Asked(bpe.Cache):
+        def __iter__(self):
+            raise AssertionError("the whole cache was walked")
+
+    w = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    w.parts = Asked(100)
+    texts = ["one two, three", "two three four's 5", "one one"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in w.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [w.encode([t])[0] for t in texts] == want == w.encode(texts)
+
+
 def test_shards(docs, none):
     got = rows(shard.shard(docs, 4))
     want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
