@@ -532,3 +532,31 @@ def test_keep_good_judges_each_row(spark):
     df = spark.createDataFrame([(i, t, "src" if i != 8 else None) for i, t in rows], "doc_id long, text string, source string").repartition(3)
     got = Counter((r["doc_id"], r["text"]) for r in quality.keep_good(df).collect())
     assert got == Counter({(None, good): 1, (7, good + " seven"): 2})
+
+
+def test_line_sets_by_one_sort(monkeypatch):
+    """Sets and lines are as by plain Python, without the hash table of np.unique(), which took most of the time of a comparison."""
+
+    def refused(*_, **__):
+        raise AssertionError("np.unique() was called")
+
+    monkeypatch.setattr(np, "unique", refused)
+    r = random.Random(5)
+    texts = ["", "  ", "a", "one line \n\n two", *("".join(r.choice(s) for _ in range(r.randrange(80))) for s in ("ab \n", "ab \t\n\r\x0b\x0cé", "aÄ🙂İ \x1c\x85\n", "ab\n") for _ in range(200))]
+    k, seen = lines.SHINGLE, {}
+    for t in texts:
+        got = lines.normalised_lines(t)
+        assert got == [b" ".join(x.split()) for x in t.lower().encode().split(b"\n")]
+        for line in filter(None, got):
+            x, s = line.decode(), lines.line_set(line)
+            parts = {x[i : i + k] for i in range(max(1, len(x) - k + 1))}
+            assert s.tolist() == sorted(set(s.tolist())) and len(s) == len(parts)
+            seen.setdefault(frozenset(parts), s.tolist())
+            assert seen[frozenset(parts)] == s.tolist()
+    oph = OnePermutation(lines.BANDS * lines.ROWS)
+    each = sorted({x for t in texts for x in lines.normalised_lines(t) if x})
+    together = lines.line_sketches(each, oph)
+    for x, row in zip(each, together, strict=True):
+        values, full = oph.sketch(lines.line_set(x))
+        assert row.tolist() == oph.densify(values[None], full[None])[0].tolist()
+    assert len(lines.line_set(b"")) == 0
