@@ -181,3 +181,28 @@ def test_communities(spark):
         assert quality(rows, label) >= greedy(rows) - 1e-9
         if rows[0][0].startswith("m"):
             assert label == {x["node"]: x["label"] for x in g.communities(e.repartition(3)).collect()}
+
+
+def test_centralities_by_each_way(spark, monkeypatch):
+    """Whole graphs in arrays, blocks in arrays and blocks by joins agree with plain searches; so does a graph of many like nodes."""
+    r = random.Random(4)
+    like = shapes() + [(f"l{i}", f"t{(i + k) % 7}") for i in range(40) for k in range(3)] + [(f"t{i}", f"t{i + 1}") for i in range(0, 6, 2)] + [(f"z{i}", f"z{r.randrange(30)}") for i in range(30)]
+    e, (between, close) = frame(spark, like), brute_paths(like)
+    for whole, held in ((10**9, 10**6), (0, 10**6), (0, 0)):
+        monkeypatch.setattr(g.blocktree, "WHOLE", whole)
+        monkeypatch.setattr(g.blocktree.searches, "HELD", held)
+        monkeypatch.setattr(g.blocktree.searches, "SEEN", 50)  # many batches
+        got = {x["node"]: x["betweenness"] for x in g.betweenness(e).collect()}
+        assert got.keys() == between.keys() and all(abs(got[v] - between[v]) < 2e-6 for v in got)
+        got = {x["node"]: x["closeness"] for x in g.closeness(e).collect()}
+        assert got.keys() == close.keys() and all(abs(got[v] - close[v]) < 2e-6 for v in got)
+
+
+def test_centralities_need_few_jobs(spark, monkeypatch):
+    """A graph of 3,000 callers of 100 numbers is searched in arrays: no level is a table, and like callers are one class."""
+    monkeypatch.setattr(g, "distances", None)
+    pairs = [(f"c{i}", f"n{(i + k) % 100}") for i in range(3000) for k in range(8)]
+    found = g.blocktree.searches.classes(frame(spark, pairs))
+    assert (found.table.count(), found.contacts.count()) == (200, 800)
+    top = {x["node"]: x["betweenness"] for x in g.brokers(frame(spark, pairs)).collect()}
+    assert len(top) == 8 and all(k.startswith("n") for k in top)
