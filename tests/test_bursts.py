@@ -18,3 +18,14 @@ def test_days_at_the_limit(spark):
     limit = ((2, 2.0), (3, 2.0), (5, 3.438))
     want = {(f"{kind}-{i}", f"2024-01-{d:02d}", n, limit[kind][1]) for kind, days in enumerate(DAYS) for i in range(60) for d, n in days.items() if n == limit[kind][0]}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_bursts_of_a_store(spark):
+    """The bursts that a case's store holds are those of the exact rule."""
+    from callgrid.operators.assembly import case_analytics
+
+    rows = [(i, "1", f"{kind}-{i}", f"2024-01-{d:02d} 10:00:00") for kind, days in enumerate(DAYS) for i in range(40) for d, n in days.items() for _ in range(n)]
+    cdr = spark.createDataFrame(rows, "id long, case_id string, a_party_number string, t string").selectExpr("id", "case_id", "a_party_number", "a_party_number as b_party_number", "cast(t as timestamp) as start_time")
+    ipdr = spark.createDataFrame([], "id long, case_id string, source_ip string, msisdn string, start_time timestamp")
+    got = case_analytics(cdr, ipdr)["bursts"]().groupBy("case_id", "n").count().collect()
+    assert sorted(tuple(r) for r in got) == [("1", 2, 160), ("1", 3, 80), ("1", 5, 40)]
