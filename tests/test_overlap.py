@@ -63,3 +63,29 @@ def test_entities_of_a_shared_handset(spark):
     more = spark.createDataFrame([("n1", "x"), ("n2", "x"), ("k1", "y"), ("k2", "y"), ("alone", "z")], "msisdn string, imei string")
     got = sorted((r["entity"], r["numbers"], r["confidence"]) for r in resolve_entities(hub.union(more)).collect())
     assert got == [("k1", 2, "medium"), ("n0", 20_000, "high")]
+
+
+def test_many_owners_of_one_set(spark):
+    """30,000 owners of five sets are not paired, 450 million pairs: n + 1 of each set are enough, also where pairs are barred."""
+    hub = spark.range(30_000).selectExpr("concat('s', lpad(id, 5, '0')) as s", "explode(transform(sequence(0, 7), k -> concat('c', (id + k) % 5 + 10 * (k div 5)))) as c").distinct()
+    assert overlap.first_of_like(hub, 20).select("s").distinct().count() == 5 * 21
+    got = [tuple(r) for r in overlap.top_overlaps(hub, 4).collect()]
+    assert got == [("s00000", f"s{i:05d}", 8, 1.0) for i in (5, 10, 15, 20)]
+    # the first owner is barred with the next two of its set, and one of them with a third
+    barred = spark.createDataFrame([("s00000", "s00005"), ("s00000", "s00010"), ("s00005", "s00015"), ("s00000", "s00000")], "a string, b string")
+    got = [tuple(r) for r in overlap.top_overlaps(hub, 3, barred=barred).collect()]
+    assert got == [("s00000", f"s{i:05d}", 8, 1.0) for i in (15, 20, 25)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_like_owners_with_barred_pairs(spark, seed):
+    """Few sets, each of many owners, who are members of sets themselves: against plain loops."""
+    r = random.Random(seed)
+    kinds = [r.sample(range(12), r.randint(2, 5)) for _ in range(4)]
+    rows = sorted({(f"{i:02d}", f"{c:02d}") for i in range(40) for c in kinds[i % 4] if c != i})
+    sets = spark.createDataFrame(rows, "s string, c string")
+    barred = {tuple(sorted(x)) for x in rows} | {(f"{r.randrange(20):02d}", f"{r.randrange(20, 40):02d}") for _ in range(60)}
+    no = spark.createDataFrame(sorted(barred), "a string, b string")
+    for n in (1, 3, 8):
+        assert [tuple(x) for x in overlap.top_overlaps(sets, n, barred=no).collect()] == plain(rows, n, barred=barred)
+        assert [tuple(x) for x in overlap.top_overlaps(sets, n).collect()] == plain(rows, n)
